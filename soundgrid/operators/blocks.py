@@ -47,21 +47,42 @@ def halo(df: DataFrame, keys: list[str], pos: str, before: int, after: int, bloc
     return Halo(df.withColumn("_blk", F.explode(blocks)), list(keys), pos, size)
 
 
-def running_sums(df: DataFrame, keys: list[str], pos: str, sums: dict[str, Column], block: int = BLOCK) -> DataFrame:
-    """Inclusive prefix sums along `pos`, two-level: blocks first, then inside a block."""
+_FOLDS = {"sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))), "max": (F.max, F.greatest), "min": (F.min, F.least)}
+
+
+def running(df: DataFrame, keys: list[str], pos: str, outs: dict[str, tuple[str, Column]], *, before_only: bool = False,
+            forward: bool = True, tie: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """Running sum/max/min along `pos`, two-level: block totals first, then inside a block.
+
+    `outs` maps a new column to (fold, expression). `before_only` leaves the row
+    itself out; `forward=False` runs from the end.
+    """
+    sign = 1 if forward else -1
     d = df.withColumn("_blk", F.floor(F.col(pos) / block))
-    for name, c in sums.items():
-        d = d.withColumn(name, c)
-    totals = d.groupBy(*keys, "_blk").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_blk", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
-    )
-    inside = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    out = d.withColumns({n: F.sum(n).over(inside) for n in sums}).join(offsets, [*keys, "_blk"])
-    return out.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in sums}).drop(
-        "_blk", *[f"_o_{n}" for n in sums]
-    )
+    for i, (_, c) in enumerate(outs.values()):
+        d = d.withColumn(f"_x{i}", c)
+    totals = d.groupBy(*keys, "_blk").agg(*[_FOLDS[f][0](f"_x{i}").alias(f"_t{i}") for i, (f, _) in enumerate(outs.values())])
+    earlier = Window.partitionBy(*keys).orderBy(F.col("_blk") * sign).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_blk", *[_FOLDS[f][0](f"_t{i}").over(earlier).alias(f"_o{i}") for i, (f, _) in enumerate(outs.values())])
+    order = [F.col(pos) * sign] + [F.col(t) * sign for t in (tie or [])]
+    inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before_only else 0)
+    d = d.withColumns({f"_r{i}": _FOLDS[f][0](f"_x{i}").over(inside) for i, (f, _) in enumerate(outs.values())})
+    out = d.join(offsets, [*keys, "_blk"])
+    for i, (name, (f, _)) in enumerate(outs.items()):
+        out = out.withColumn(name, _FOLDS[f][1](F.col(f"_o{i}"), F.col(f"_r{i}")))
+    return out.drop("_blk", *[f"_{a}{i}" for i in range(len(outs)) for a in "xro"])
+
+
+def previous_row(df: DataFrame, keys: list[str], pos: str, cols: dict[str, str], block: int = BLOCK) -> DataFrame:
+    """Columns of the row before, whatever the gap; block ends carry over."""
+    d = df.withColumn("_blk", F.floor(F.col(pos) / block))
+    take = F.struct(*cols.values())
+    ends = d.groupBy(*keys, "_blk").agg(F.max_by(take, pos).alias("_end"))
+    carry = ends.select(*keys, "_blk", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_blk")).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(pos)
+    d = d.withColumn("_prev", F.lag(take).over(inside)).join(carry, [*keys, "_blk"])
+    prev = F.coalesce("_prev", "_carry")
+    return d.withColumns({new: prev[old] for new, old in cols.items()}).drop("_blk", "_prev", "_carry")
 
 
 def running_last(df: DataFrame, keys: list[str], pos: str, value: str, out: str, forward: bool = True,
