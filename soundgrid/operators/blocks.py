@@ -85,25 +85,31 @@ def previous_row(df: DataFrame, keys: list[str], pos: str, cols: dict[str, str],
     return d.withColumns({new: prev[old] for new, old in cols.items()}).drop("_blk", "_prev", "_carry")
 
 
-def running_last(df: DataFrame, keys: list[str], pos: str, value: str, out: str, forward: bool = True,
-                 block: int = BLOCK, tie: list[str] | None = None) -> DataFrame:
-    """Last non-NULL `value` at or before each row (or first at or after, backward).
+def nearest_marks(df: DataFrame, keys: list[str], pos: str, mark: str, before: str | None, after: str | None,
+                  tie: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """Last non-NULL `mark` at or before each row and/or first one at or after it.
 
-    Works per block; the carry into a block is the latest value of an earlier
-    block, found over one row per block.
+    Works per block; the carry into a block is found over one row per block. `tie`
+    puts marks before the other rows of the same position, in both directions.
     """
-    sign = 1 if forward else -1
-    order = [F.col(pos) * sign] + [F.col(t) for t in (tie or [])]
     d = df.withColumn("_blk", F.floor(F.col(pos) / block))
-    pick = F.max_by if forward else F.min_by
-    ends = d.where(F.col(value).isNotNull()).groupBy(*keys, "_blk").agg(pick(value, pos).alias("_end"))
-    every = d.select(*keys, "_blk").distinct().join(ends, [*keys, "_blk"], "left")
-    earlier = Window.partitionBy(*keys).orderBy(F.col("_blk") * sign).rowsBetween(Window.unboundedPreceding, -1)
-    carry = every.select(*keys, "_blk", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        d.withColumn(out, F.last(value, ignorenulls=True).over(inside))
-        .join(carry, [*keys, "_blk"])
-        .withColumn(out, F.coalesce(out, "_carry"))
-        .drop("_blk", "_carry")
-    )
+    at = F.when(F.col(mark).isNotNull(), F.col(pos))
+    ends = d.groupBy(*keys, "_blk").agg(F.max_by(mark, at).alias("_last"), F.min_by(mark, at).alias("_first"))
+    blocks = Window.partitionBy(*keys).orderBy("_blk")
+    past = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = blocks.rowsBetween(1, Window.unboundedFollowing)
+    carry = ends.select(
+        *keys, "_blk", F.last("_last", ignorenulls=True).over(past).alias("_cb"), F.first("_first", ignorenulls=True).over(ahead).alias("_ca"))
+    inside = Window.partitionBy(*keys, "_blk")
+    ties = [F.col(t) for t in (tie or [])]
+    upto = (Window.unboundedPreceding, 0)
+    cols = {}
+    if before:
+        cols[before] = F.last(mark, ignorenulls=True).over(inside.orderBy(F.col(pos), *ties).rowsBetween(*upto))
+    if after:
+        cols[after] = F.last(mark, ignorenulls=True).over(inside.orderBy(F.col(pos).desc(), *ties).rowsBetween(*upto))
+    d = d.withColumns(cols).join(carry, [*keys, "_blk"])
+    for name, c in ((before, "_cb"), (after, "_ca")):
+        if name:
+            d = d.withColumn(name, F.coalesce(name, c))
+    return d.drop("_blk", "_cb", "_ca")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from soundgrid.functions.scalar import smoothstep
 from soundgrid.operators.blocks import running
 from soundgrid.operators.joins import asof
+from soundgrid.session import materialise
 
 MAX_REGIONS = 256
 
@@ -18,7 +19,7 @@ def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end"
     ended; the region is named by the start of its opener.
     """
     # One row per start first: equal starts need no order among themselves.
-    d = df.where(F.col(end) > F.col(start)).groupBy(*keys, start).agg(F.max(end).alias(end))
+    d = materialise(df.where(F.col(end) > F.col(start)).groupBy(*keys, start).agg(F.max(end).alias(end)))
     d = running(d, keys, start, {"_reach": ("max", F.col(end))}, before_only=True, block=block)
     opener = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(start))
     d = running(d, keys, start, {"_open": ("max", opener)}, block=block)
@@ -60,8 +61,7 @@ def reclock(df: DataFrame, keys: list[str], source_rate: int, rate: int) -> Data
 def exclusion_weight(points: DataFrame, regions: DataFrame, keys: list[str], pos: str, feather: float, guard: float, out: str) -> DataFrame:
     """0 inside a region, rising by smoothstep with the distance outside it."""
     marks = regions.select(*keys, "start", F.struct("start", "end").alias("_iv"))
-    d = asof(points, marks, keys, pos, "start", "_iv", "_before")
-    d = asof(d, marks, keys, pos, "start", "_iv", "_after", forward=False)
+    d = asof(points, marks, keys, pos, "start", "_iv", "_before", "_after")
     p = F.col(pos)
     inside = F.coalesce(p < F.col("_before.end"), F.lit(False)) | F.coalesce(p == F.col("_after.start"), F.lit(False))
     distance = F.least(p - F.col("_before.end"), F.col("_after.start") - p)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soundgrid.operators.blocks import BLOCK, running_last
+from soundgrid.operators.blocks import BLOCK, nearest_marks
 
 
 def range_join(ranges: DataFrame, points: DataFrame, keys: list[str], lo: str, hi: str, pos: str, bucket: int, how: str = "inner") -> DataFrame:
@@ -22,13 +22,13 @@ def range_join(ranges: DataFrame, points: DataFrame, keys: list[str], lo: str, h
     return r.join(p, on, how).where((F.col(pos) >= F.col(lo)) & (F.col(pos) <= F.col(hi))).drop("_b")
 
 
-def asof(points: DataFrame, marks: DataFrame, keys: list[str], pos: str, mark_pos: str, payload: str, out: str,
-         forward: bool = True, block: int = BLOCK) -> DataFrame:
-    """Latest mark at or before each point (or earliest at or after, backwards)."""
+def asof(points: DataFrame, marks: DataFrame, keys: list[str], pos: str, mark_pos: str, payload: str,
+         before: str | None = None, after: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Latest mark at or before each point and/or the earliest at or after it."""
     p = points.withColumn("_m", F.lit(None).cast(marks.schema[payload].dataType)).withColumn("_kind", F.lit(1))
     m = marks.select(*keys, F.col(mark_pos).alias(pos), F.col(payload).alias("_m"), F.lit(0).alias("_kind"))
     u = p.unionByName(m, allowMissingColumns=True)
-    return running_last(u, keys, pos, "_m", out, forward, block, ["_kind"]).where("_kind = 1").drop("_m", "_kind")
+    return nearest_marks(u, keys, pos, "_m", before, after, ["_kind"], block).where("_kind = 1").drop("_m", "_kind")
 
 
 def overlap_resample(cells: DataFrame, keys: list[str], pos: str, length: Column, value: str, bins: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from soundgrid.functions import quantiles
 from soundgrid.operators.blocks import halo, previous_row, running
+from soundgrid.session import materialise
 
 
 def moving_average(df: DataFrame, keys: list[str], pos: str, value: str, radius: int, out: str) -> DataFrame:
@@ -63,7 +64,7 @@ def greedy_gap(df: DataFrame, keys: list[str], pos: str, gap: int) -> DataFrame:
     A candidate that far from its predecessor is always kept, so the sequence
     splits there and each short run is folded on its own.
     """
-    d = previous_row(df.select(*keys, pos), keys, pos, {"_p": pos})
+    d = previous_row(materialise(df.select(*keys, pos)), keys, pos, {"_p": pos})
     head = F.when(F.col("_p").isNull() | (F.col(pos) - F.col("_p") >= gap), F.col(pos))
     d = running(d, keys, pos, {"_head": ("max", head)})
     runs = d.groupBy(*keys, "_head").agg(F.array_sort(F.collect_list(pos)).alias("_a"))
@@ -100,7 +101,7 @@ def slew_limit(df: DataFrame, keys: list[str], pos: str, value: str, rise: float
     g[i] = min over j <= i of (g[j] + rise (i - j)): a running minimum.
     """
     i = F.col(pos)
-    d = running(df, keys, pos, {"_f": ("min", F.col(value) - rise * i)}).withColumn("_g", F.col("_f") + rise * i)
+    d = running(materialise(df), keys, pos, {"_f": ("min", F.col(value) - rise * i)}).withColumn("_g", F.col("_f") + rise * i)
     d = running(d, keys, pos, {"_b": ("min", F.col("_g") + attack * i)}, forward=False)
     return d.withColumn(out, F.col("_b") - attack * i).drop("_f", "_g", "_b")
 
@@ -110,6 +111,7 @@ def robust_scale(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
 
     Lower medians. Meant for cells, whose number per track the clock bounds.
     """
+    df = materialise(df)
     m = df.groupBy(*keys).agg(quantiles.lower_median(value).alias("_med"), quantiles.lower(value, 0.95).alias("_p95"))
     d = df.join(m, keys).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
     mad = d.groupBy(*keys).agg(quantiles.lower_median("_dev").alias("_mad"))

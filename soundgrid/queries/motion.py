@@ -10,6 +10,7 @@ from soundgrid.operators import cells, windows
 from soundgrid.operators.blocks import previous_row
 from soundgrid.queries.levels import CELLS_SQL, K
 from soundgrid.queries.registry import query, rnd
+from soundgrid.session import materialise
 from soundgrid.sources.views import EV_SQL, HOP, WB_SQL, event_samples, table, window_bands
 
 DB = "10 * log10(greatest(1e-100, {}))"
@@ -90,7 +91,7 @@ def level_step_candidates(spark, root):
     """Abrupt, lasting level changes: 1 s contexts on both sides, local maxima only."""
     from soundgrid.functions import quantiles
 
-    h = ev_hops(spark, root)
+    h = materialise(ev_hops(spark, root))
     floor = h.groupBy("track_id").agg(F.greatest(F.lit(-65.0), scalar.power_db(quantiles.floor_rank("power", 0.9)) - 35).alias("floor"))
     spans = {"left": (-10, 0), "right": (0, 10), "l1": (-10, -5), "l2": (-5, 0), "r1": (0, 5), "r2": (5, 10)}
     d = windows.frame_mean(h, K, "hop", "energy", "n", spans)
@@ -110,7 +111,7 @@ pick AS (SELECT track_id, min(hop) AS hop FROM cand GROUP BY 1
          UNION ALL SELECT p.track_id, (SELECT min(c.hop) FROM cand c WHERE c.track_id = p.track_id AND c.hop >= p.hop + 20) AS hop FROM pick p WHERE p.hop IS NOT NULL)
 SELECT p.track_id, p.hop, R6(c.novelty) AS step_db FROM pick p JOIN cand c ON c.track_id = p.track_id AND c.hop = p.hop""")
 def level_steps(spark, root):
-    c = level_step_candidates(spark, root).where("hop >= 20").select("track_id", "hop", "novelty")
+    c = materialise(level_step_candidates(spark, root).where("hop >= 20").select("track_id", "hop", "novelty"))
     kept = windows.greedy_gap(c, K, "hop", 20)
     return c.join(kept, ["track_id", "hop"]).select("track_id", "hop", rnd("novelty").alias("step_db"))
 

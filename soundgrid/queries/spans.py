@@ -8,6 +8,7 @@ from soundgrid.operators import cells, intervals, joins, peaks, windows
 from soundgrid.queries.levels import K
 from soundgrid.queries.motion import GAIN_SQL, HOPS_SQL, ev_gains, ev_hops
 from soundgrid.queries.registry import query, rnd
+from soundgrid.session import materialise
 from soundgrid.sources.views import EV_SQL, HOP, event_samples
 
 IV_SQL = """,
@@ -31,7 +32,7 @@ EX_SQL = EV_SQL + IV_SQL + merge_sql("iv", "ex")
 
 
 def ev_exclusions(spark, root):
-    return intervals.merge(ev_intervals(spark, root), K)
+    return materialise(intervals.merge(ev_intervals(spark, root), K))
 
 
 @query("I2", "WITH" + EX_SQL + """ SELECT track_id, start, "end", count(*) OVER (PARTITION BY track_id) AS regions, count(*) OVER (PARTITION BY track_id) <= 256 AS allowed FROM ex""")
@@ -98,7 +99,7 @@ def gain_piece_lookup(spark, root):
 
 def piece_gain(points, pieces):
     marks = pieces.select("track_id", F.col("start").alias("_at"), F.struct("start", "end", "start_db", "end_db", "shape").alias("p"))
-    d = joins.asof(points, marks, K, "frame", "_at", "p", "piece")
+    d = joins.asof(points, marks, K, "frame", "_at", "p", before="piece")
     g = scalar.piece_gain_db(F.col("frame"), *[F.col(f"piece.{c}") for c in ("start", "end", "start_db", "end_db", "shape")])
     return d.withColumn("gain_db", F.when(F.col("frame") < F.col("piece.end"), g).otherwise(F.lit(0.0))).drop("piece")
 

@@ -1,8 +1,9 @@
-"""Session builder and durable-checkpoint helper."""
+"""Session builder and materialised intermediates."""
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +25,25 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: the one the cluster names.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only when no
-    folder is configured at all (tests) is a scratch folder set.
+    Only a session without one (tests) gets a scratch folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-soundgrid-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once and continue from it.
+
+    Used where a reduced table (cells, regions, onsets) feeds several branches, so
+    that the raw scan behind it runs once and a lost executor costs no re-scan.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/soundgrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
