@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from soundgrid.operators.blocks import halo
 from soundgrid.operators.joins import range_join
 from soundgrid.operators.windows import greedy_gap
+from soundgrid.session import materialise
 
 
 def refine_attacks(onsets: DataFrame, power: DataFrame, lengths: DataFrame, keys: list[str], onset_keys: list[str], window: int, radius: int) -> DataFrame:
@@ -41,28 +42,49 @@ def punch_weight(points: DataFrame, onsets: DataFrame, keys: list[str], pos: str
     return points.join(best, [*keys, pos], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
-def pick(novelty: DataFrame, keys: list[str], pos: str, value: str, radius: int, gap: int, margin: float = 0.06) -> DataFrame:
-    """Local maxima above the mean around them plus a margin, at least `gap` apart.
+def energy_flux(samples: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Rise of the cell magnitude over the cell before, relative to the track's largest.
 
-    The first and last cell never count. Input is dense: every cell of a track.
+    Sparse: a cell that does not rise has no row and stands for zero.
     """
-    h = halo(novelty, keys, pos, radius, radius)
-    v = F.col(value)
-    prev, nxt = F.max(value).over(h.window.rangeBetween(-1, -1)), F.max(value).over(h.window.rangeBetween(1, 1))
-    h = h.with_columns({"_prev": prev, "_next": nxt, "_mean": F.avg(value).over(h.reach(radius, radius))})
-    c = h.own().where((v >= F.col("_prev")) & (v >= F.col("_next")) & (v >= F.col("_mean") + margin)).select(*keys, pos, value)
-    return c.join(greedy_gap(c, keys, pos, gap), [*keys, pos])
+    l, r = F.col("l"), F.col("r")
+    c = samples.groupBy(*keys, F.expr(f"frame div {width}").alias("cell")).agg(F.sqrt(F.sum(l * l + r * r)).alias("m"))
+    h = halo(c, keys, "cell", 1, 0)
+    before = F.coalesce(F.max("m").over(h.window.rangeBetween(-1, -1)), F.lit(0.0))
+    flux = materialise(h.with_columns({"flux": F.greatest(F.lit(0.0), F.col("m") - before)}).own().where("flux > 0").select(*keys, "cell", "flux"))
+    top = flux.groupBy(*keys).agg(F.max("flux").alias("_top"))
+    return flux.join(top, keys).select(*keys, "cell", (F.col("flux") / F.col("_top")).alias("novelty"))
+
 
+def pick(novelty: DataFrame, lengths: DataFrame, keys: list[str], radius: int, gap: int, margin: float = 0.06) -> DataFrame:
+    """Local maxima above the mean around them plus a margin, at least `gap` apart.
 
-def durations(onsets: DataFrame, novelty: DataFrame, keys: list[str], pos: str, value: str, limit: int, drop: float = 0.35) -> DataFrame:
-    """Cells until the novelty falls to `drop` of the onset, at most `limit`."""
-    o = onsets.select(*keys, F.col(pos).alias("onset"), F.col(value).alias("strength")).withColumns(
-        {"_lo": F.col("onset") + 1, "_hi": F.col("onset") + limit})
-    hit = range_join(o, novelty.select(*keys, pos, value), keys, "_lo", "_hi", pos, 8 * limit)
-    low = F.col(value) <= drop * F.col("strength")
-    ends = hit.groupBy(*keys, "onset").agg(F.coalesce(F.min(F.when(low, F.col(pos))), F.max(pos)).alias("_end"))
-    return o.join(ends, [*keys, "onset"], "left").select(
-        *keys, "onset", "strength", (F.coalesce("_end", F.col("onset")) - F.col("onset")).alias("cells"))
+    `lengths` gives the number of cells of a track; its first and last never count.
+    """
+    h = halo(novelty, keys, "cell", radius, radius)
+    v, i, n = F.col("novelty"), F.col("cell"), F.col("cells")
+    zero = F.lit(0.0)
+    h = h.with_columns({
+        "_prev": F.coalesce(F.max(v).over(h.window.rangeBetween(-1, -1)), zero),
+        "_next": F.coalesce(F.max(v).over(h.window.rangeBetween(1, 1)), zero),
+        "_sum": F.sum(v).over(h.reach(radius, radius)),
+    })
+    width = F.least(n - 1, i + radius) - F.greatest(F.lit(0), i - radius) + 1
+    ok = (i >= 1) & (i <= n - 2) & (v >= F.col("_prev")) & (v >= F.col("_next")) & (v >= F.col("_sum") / width + margin)
+    c = materialise(h.own().join(lengths, keys).where(ok).select(*keys, "cell", F.col("novelty").alias("strength"), "cells"))
+    return c.join(greedy_gap(c, keys, "cell", gap), [*keys, "cell"])
+
+
+def durations(onsets: DataFrame, novelty: DataFrame, keys: list[str], limit: int, drop: float = 0.35) -> DataFrame:
+    """Cells until the novelty has fallen to `drop` of the onset, at most `limit`."""
+    ahead = (
+        onsets.select(*keys, "cell", "strength", "cells", F.explode(F.sequence(F.lit(1), F.lit(limit))).alias("_j"))
+        .withColumn("_at", F.col("cell") + F.col("_j")).where("_at < cells")
+        .join(novelty.select(*keys, F.col("cell").alias("_at"), "novelty"), [*keys, "_at"], "left")
+    )
+    low = F.coalesce("novelty", F.lit(0.0)) <= drop * F.col("strength")
+    ends = ahead.groupBy(*keys, "cell").agg(F.coalesce(F.min(F.when(low, F.col("_j"))), F.max("_j")).alias("length"))
+    return onsets.join(ends, [*keys, "cell"], "left").withColumn("length", F.coalesce("length", F.lit(0)))
 
 
 # --- tempo ------------------------------------------------------------------
@@ -118,3 +140,75 @@ def tempo_scores(hist: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("bpm", bpm)
         .withColumn("score", F.col("support") * F.exp(-0.5 * octave * octave))
     )
+
+
+RELIABLE = 0.25
+GRID = int((MAX_BPM - MIN_BPM) / BPM_STEP) + 1
+
+
+def _support(bpm: Column) -> Column:
+    """Contribution of one lag bin to the rhythmic support of a tempo."""
+    lag = F.col("bin") * BIN_SEC
+    total = F.lit(0.0)
+    for mult, weight in PERIOD_WEIGHTS:
+        period = mult * 60 / bpm
+        total = total + F.when(
+            (period <= MAX_LAG_SEC) & (F.col("bin") >= 1), weight * F.greatest(F.lit(0.0), 1 - F.abs(lag - period) / KERNEL_SEC)
+        ).otherwise(F.lit(0.0))
+    return F.col("salience") * total
+
+
+def estimate(onsets: DataFrame, keys: list[str]) -> DataFrame:
+    """Tempo and confidence per key; (0, 0) is unknown.
+
+    Onsets come as (keys, t, strength) with t in seconds.
+    """
+    hist = materialise(lag_histogram(onsets, keys))
+    span = onsets.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span"))
+    pairs = hist.groupBy(*keys).agg(F.sum("pairs").alias("pairs"))
+    scores = tempo_scores(hist, keys).groupBy(*keys).agg(
+        F.max_by(F.struct("bpm", "score"), F.struct(F.col("score"), -F.col("cand"))).alias("best"),
+        F.array_sort(F.collect_list("score")).alias("all"),  # at most one per grid tempo
+    )
+    zeros = GRID - F.size("all")
+    middle = F.when(F.lit(GRID // 2) < zeros, 0.0).otherwise(F.try_element_at("all", (F.lit(GRID // 2) - zeros + 1).cast("int")))
+    s = scores.select(*keys, F.col("best.bpm").alias("bpm"), F.col("best.score").alias("score"), middle.alias("median"))
+    bpm = F.col("bpm")
+    alt = hist.join(s.select(*keys, "bpm"), keys).groupBy(*keys).agg(
+        F.sum(_support(bpm)).alias("own"), F.sum(_support(bpm / 2)).alias("half"), F.sum(_support(bpm * 2)).alias("double"))
+    d = span.join(pairs, keys, "left").join(s, keys, "left").join(alt, keys, "left")
+    prominence = F.col("score") / F.greatest(F.col("median"), 0.02 * F.col("score"))
+    known = (F.col("n") >= 8) & (F.col("span") >= 4) & (F.col("pairs") >= 40) & (F.col("score") > 0) & (prominence >= 2)
+    octave = F.greatest(F.when(bpm / 2 >= MIN_BPM, F.col("half")).otherwise(0.0), F.when(bpm * 2 <= MAX_BPM, F.col("double")).otherwise(0.0))
+    conf = F.least(F.lit(1.0), (prominence - 1) / 4)
+    conf = F.when(octave >= 0.85 * F.col("own"), F.least(conf, F.lit(0.65))).otherwise(conf)
+    return d.select(
+        *keys, "n", "span",
+        F.when(known, bpm).otherwise(0.0).alias("bpm"),
+        F.when(known, conf).otherwise(0.0).alias("confidence"),
+    )
+
+
+def tempo(onsets: DataFrame, keys: list[str]) -> DataFrame:
+    """Tempo of the whole track, checked against its two halves where they are long enough."""
+    on = materialise(onsets.select(*keys, "t", "strength"))
+    whole = materialise(estimate(on, keys))
+    mid = on.groupBy(*keys).agg(((F.min("t") + F.max("t")) * 0.5).alias("mid"))
+    long_enough = whole.where((F.col("confidence") >= RELIABLE) & (F.col("n") >= 48) & (F.col("span") >= 16)).select(*keys)
+    halves = on.join(long_enough, keys).join(mid, keys).withColumn("part", F.when(F.col("t") < F.col("mid"), 1).otherwise(2))
+    h = estimate(halves.select(*keys, "part", "t", "strength"), [*keys, "part"])
+    pivot = h.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("part") == i, F.col(c))).alias(f"{c}{i}") for i in (1, 2) for c in ("n", "bpm", "confidence")])
+    d = whole.join(pivot, keys, "left")
+    usable = F.coalesce((F.col("n1") >= 16) & (F.col("n2") >= 16), F.lit(False))
+    weak = (F.col("confidence1") < RELIABLE) | (F.col("confidence2") < RELIABLE)
+    ratio = F.col("bpm1") / F.col("bpm2")
+    verdict = (
+        F.when(~usable, "whole").when(weak, "weak_half").when(F.abs(ratio - 1) < 0.03, "whole")
+        .when((F.abs(ratio - 2) < 0.06) | (F.abs(ratio - 0.5) < 0.015), "octave").otherwise("conflict")
+    )
+    d = d.withColumn("verdict", verdict)
+    factor = F.when(F.col("verdict") == "weak_half", 0.8).when(F.col("verdict") == "octave", 0.65).when(F.col("verdict") == "conflict", 0.0).otherwise(1.0)
+    return d.select(
+        *keys, "n", "verdict", F.when(F.col("verdict") == "conflict", 0.0).otherwise(F.col("bpm")).alias("bpm"),
+        (F.col("confidence") * factor).alias("confidence"))
