@@ -5,10 +5,14 @@ flux and activity. Everything works on that reduced table, in blocks along time.
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from soundgrid.functions import quantiles
+from soundgrid.operators import kernels
 from soundgrid.operators.blocks import halo
 from soundgrid.operators.spectra import unit
 from soundgrid.operators.windows import local_maxima, robust_scale
@@ -64,28 +68,29 @@ def cosine_distance(a: Column, b: Column, chroma: bool) -> Column:
 def raw_novelty(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Difference of the medians before and after each boundary at three radii.
 
-    `cells` has chroma, shape, activity, flux; boundary b lies before cell b.
+    `cells` has chroma, shape, activity, flux; boundary b lies before cell b. The
+    medians run in numpy over one block of cells and its halo at a time.
     """
     far = max(RADII)
     vec = F.concat("chroma", "shape", F.array("activity", "flux"))
-    h = halo(cells.withColumn("_v", vec).drop("chroma", "shape", "activity", "flux"), keys, "idx", far, far - 1)
-    h = h.with_columns({"_pre": F.collect_list("_v").over(h.window.rangeBetween(-far, -1)), "_post": F.collect_list("_v").over(h.window.rangeBetween(0, far - 1))})
-    d = h.own().where("idx > 0").withColumn("radius", F.explode(F.array(*[F.lit(r) for r in RADII])))
-    size = F.least(F.size("_pre"), F.col("radius"))
-    pre = F.slice("_pre", F.size("_pre") - size + 1, size)
-    post = F.slice("_post", F.lit(1), F.least(F.size("_post"), F.col("radius")))
-
-    def medians(side: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(NC + NS + 1)), lambda c: _lower_middle(F.transform(side, lambda v: F.get(v, c))))
-
-    d = d.select(*keys, "idx", "radius", medians(pre).alias("a"), medians(post).alias("b"))
-    part = lambda x, start, n: F.slice(x, start, n)
-    dc = cosine_distance(part("a", 1, NC), part("b", 1, NC), True)
-    ds = cosine_distance(part("a", NC + 1, NS), part("b", NC + 1, NS), False)
-    act = F.abs(F.col("a")[NC + NS] - F.col("b")[NC + NS])
-    fa, fb = F.col("a")[NC + NS + 1], F.col("b")[NC + NS + 1]
-    flux = F.abs(fa - fb) / (F.abs(fa) + F.abs(fb) + 1e-12)
-    return d.select(*keys, "idx", "radius", (0.5 * dc + 0.3 * ds + 0.1 * act + 0.1 * flux).alias("raw"))
+    h = halo(cells.select(*keys, "idx", vec.alias("v")), keys, "idx", far, far - 1)
+    size = h.block
+    schema = T.StructType([f for f in h.df.schema if f.name in keys or f.name == "idx"] + [
+        T.StructField("radius", T.IntegerType()), T.StructField("raw", T.DoubleType())])
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        own = (pdf["idx"].to_numpy() // size == pdf["_blk"].iloc[0]) & (pdf["idx"].to_numpy() > 0)
+        v = np.stack(pdf["v"].to_numpy())
+        parts = []
+        for r in RADII:
+            d = pdf.loc[own, [*keys, "idx"]].copy()
+            d["radius"] = r
+            d["raw"] = kernels.novelty_of_block(v, r)[own]
+            parts.append(d)
+        return pd.concat(parts)
+
+    return h.df.groupBy(*keys, "_blk").applyInPandas(block, schema)
 
 
 def _lower_middle(values: Column) -> Column:

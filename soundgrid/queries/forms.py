@@ -62,7 +62,7 @@ sq AS (SELECT track_id, idx, radius, sum(a * a) FILTER (c < 12) AS ca, sum(b * b
 rw AS (SELECT track_id, idx, radius, 0.5 * ({DC}) + 0.3 * ({DS}) + 0.1 * da + 0.1 * df AS raw FROM sq),
 q1 AS (SELECT track_id, radius, quantile_disc(raw, 0.5) AS med, quantile_disc(raw, 0.95) AS p95 FROM rw GROUP BY 1, 2),
 q2 AS (SELECT track_id, radius, quantile_disc(abs(raw - med), 0.5) AS mad FROM rw JOIN q1 USING (track_id, radius) GROUP BY 1, 2),
-nv AS (SELECT track_id, idx, sum(greatest(0, (raw - med) / CASE WHEN mad > 0 THEN mad ELSE greatest(p95 - med, 1e-12) END)) / 3 AS novelty FROM rw JOIN q1 USING (track_id, radius) JOIN q2 USING (track_id, radius) GROUP BY 1, 2)"""
+nv AS MATERIALIZED (SELECT track_id, idx, sum(greatest(0, (raw - med) / CASE WHEN mad > 0 THEN mad ELSE greatest(p95 - med, 1e-12) END)) / 3 AS novelty FROM rw JOIN q1 USING (track_id, radius) JOIN q2 USING (track_id, radius) GROUP BY 1, 2)"""
 
 
 @query("E16 F15", "WITH" + NOV_SQL + " SELECT track_id, idx, R6(ln(1 + novelty)) AS log_novelty FROM nv")
