@@ -107,7 +107,8 @@ def loudness_ramps(spark, root):
     return structure.ramp_contrast(ev_short_term(spark, root), K, 5, 0.1).select("track_id", "idx", rnd("ramp").alias("ramp"))
 
 
-@query("F6 H3 H4", "WITH" + NOV_SQL + """,
+@query("F6 H3 H4", "WITH" + NOV_SQL.replace("nv AS MATERIALIZED", "nv0 AS") + """,
+nv AS MATERIALIZED (SELECT track_id, idx, R9(novelty) AS novelty FROM nv0),
 lm AS (SELECT *, max(novelty) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS pl, max(novelty) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS pr FROM nv),
 cd AS (SELECT track_id, idx, novelty FROM lm WHERE novelty > 0 AND (pl IS NULL OR novelty > pl) AND (pr IS NULL OR novelty >= pr)),
 n1 AS (SELECT track_id, quantile_disc(novelty, 0.5) AS med, quantile_disc(novelty, 0.95) AS p95, quantile_disc(novelty, 0.975) AS t1, quantile_disc(novelty, 0.99) AS t2 FROM nv GROUP BY 1),
@@ -119,7 +120,8 @@ SELECT n1.track_id, ok.rung IS NOT NULL AS ready, coalesce(ct.n, 0) AS boundarie
 FROM n1 LEFT JOIN ok USING (track_id) LEFT JOIN ct ON ct.track_id = n1.track_id AND ct.rung = ok.rung""")
 def boundary_ladder(spark, root):
     """Boundaries of the first threshold that keeps a track within four segments."""
-    d = structure.ladder(structure.novelty(materialise(ev_features(spark, root)), K), K, "novelty")
+    n = structure.novelty(materialise(ev_features(spark, root)), K).withColumn("novelty", rnd("novelty", 9))
+    d = structure.ladder(n, K, "novelty")
     b = F.coalesce(*[F.when(F.size(f"b{i}") + 1 <= 4, F.col(f"b{i}")) for i in range(3)])
     return d.withColumn("b", b).select(
         "track_id", F.col("b").isNotNull().alias("ready"), F.coalesce(F.size("b"), F.lit(0)).cast("bigint").alias("boundaries"),
