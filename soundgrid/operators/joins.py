@@ -47,3 +47,20 @@ def overlap_resample(cells: DataFrame, keys: list[str], pos: str, length: Column
         d.withColumn("_p", part).where("_p > 0")
         .groupBy(*keys, "bin").agg((F.sum(F.col("_p") * F.col(value)) / F.max("_w")).alias("value"))
     )
+
+
+def nearest_long_cell(short: DataFrame, keys: list[str], width: int, long_width: int) -> DataFrame:
+    """Nearest long cell by centre for each short cell: three candidates, the first wins ties.
+
+    Pure arithmetic on the two clocks; `short` has cell and frames.
+    """
+
+    def center(i: Column, w: int) -> Column:
+        return i * w + F.floor((F.least(F.col("frames"), (i + 1) * w) - i * w - 1) / 2)
+
+    top = F.expr(f"(frames - 1) div {long_width}")
+    at = center(F.col("cell"), width)
+    home = F.least(top, F.floor(at / long_width))
+    options = F.filter(F.array(home - 1, home, home + 1), lambda i: (i >= 0) & (i <= top))
+    best = F.array_min(F.transform(options, lambda i: F.struct(F.abs(center(i, long_width) - at).alias("gap"), i.alias("nearest"))))
+    return short.withColumn("_best", best).select(*keys, "cell", "_best.nearest", "_best.gap")

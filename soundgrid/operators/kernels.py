@@ -42,3 +42,100 @@ def novelty_of_block(v: np.ndarray, r: int) -> np.ndarray:
     da = np.abs(a[:, act] - b[:, act])
     df = np.abs(a[:, flux] - b[:, flux]) / (np.abs(a[:, flux]) + np.abs(b[:, flux]) + 1e-12)
     return 0.5 * dc + 0.3 * ds + 0.1 * da + 0.1 * df
+
+
+BAND = 4            # warping band in bins
+MIN_VALID, MAX_GAP = 24, 4
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All pairwise row cosines; 0 where a row is empty."""
+    na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        c = (a @ b.T) / np.outer(na, nb)
+    return np.where(np.outer(na > 1e-12, nb > 1e-12), c, 0.0)
+
+
+def warp_cost(local: np.ndarray, at: np.ndarray) -> float:
+    """Mean local cost along the cheapest monotone path inside the band; NaN without a path.
+
+    Ties prefer the diagonal, then a step in the first sequence.
+    """
+    n = len(at)
+    cost, length = np.full((n + 1, n + 1), np.inf), np.zeros((n + 1, n + 1), dtype=int)
+    cost[0, 0] = 0.0
+    for i in range(n):
+        for j in range(max(0, i - BAND), min(n, i + BAND + 1)):
+            if abs(at[i] - at[j]) > BAND:
+                continue
+            best, steps = cost[i, j], length[i, j]
+            for c, s in ((cost[i, j + 1], length[i, j + 1]), (cost[i + 1, j], length[i + 1, j])):
+                if c < best - 1e-12:
+                    best, steps = c, s
+            if np.isfinite(best):
+                cost[i + 1, j + 1], length[i + 1, j + 1] = best + local[i, j], steps + 1
+    return cost[n, n] / length[n, n] if length[n, n] else float("nan")
+
+
+def compare_bins(a: np.ndarray, b: np.ndarray, ratio: float, low: float = 0.75, high: float = 1.33) -> tuple:
+    """Scores of two 32 x 21 bin tables: (harmonic, timbre, alignment, combined, rotation, valid, reason)."""
+    reject = lambda why, n=0, r=0: (0.0, 0.0, 0.0, 0.0, r, n, why)
+    if not low <= ratio <= high:
+        return reject("duration_ratio")
+    a, b = a.reshape(-1, NC + NS + 1), b.reshape(-1, NC + NS + 1)
+    ca, cb, sa, sb, aa, ab = a[:, :NC], b[:, :NC], a[:, NC:NC + NS], b[:, NC:NC + NS], a[:, -1], b[:, -1]
+    ok = np.ones(len(a), dtype=bool)
+    for m in (ca, cb, sa, sb):
+        ok &= np.sqrt((m * m).sum(1)) > 1e-12
+    at = np.flatnonzero(ok)
+    n = len(at)
+    if n < MIN_VALID:
+        return reject("insufficient_valid_bins", n)
+    gaps = np.diff(np.concatenate([[-1], at, [len(a)]])) - 1
+    if gaps.max() > MAX_GAP:
+        return reject("invalid_bin_run", n)
+    rot = np.stack([np.diag(_cosines(ca[at], np.roll(cb[at], -r, axis=1))) for r in range(NC)])
+    means = np.clip(rot, 0, 1).mean(1)
+    best = 0
+    for r in range(1, NC):
+        if means[r] > means[best] + 1e-12:
+            best = r
+    if best and ((rot[best] >= rot.max(0) - 1e-12).sum() * 5 < n * 4):
+        return reject("ambiguous", n, best)
+    rho = n / len(a)
+    harmonic = rho * float(np.clip(means[best] - (0.05 if best else 0.0), 0, 1))
+    ss = np.clip(_cosines(sa[at], sb[at]), -1, 1)
+    act = np.abs(aa[at][:, None] - ab[at][None, :])
+    timbre = rho * float((0.8 * (1 + np.diag(ss)) / 2 + 0.2 * (1 - np.diag(act))).mean())
+    local = 0.5 * (1 - np.clip(_cosines(ca[at], np.roll(cb[at], -best, axis=1)), 0, 1)) + 0.3 * (1 - (1 + ss) / 2) + 0.2 * act
+    path = warp_cost(local, at)
+    if not np.isfinite(path):
+        return reject("non_finite", n, best)
+    alignment = rho * float(np.clip(1 - path, 0, 1))
+    return harmonic, timbre, alignment, min(harmonic, timbre + 0.05, alignment + 0.03), best, n, "none"
+
+
+def complete_linkage(n: int, ok: np.ndarray, score: np.ndarray) -> list[list[int]]:
+    """Agglomerate while every cross pair of two clusters is allowed; best cohesion first.
+
+    Equal cohesion prefers the larger, then the lexicographically first merger.
+    """
+    groups = [[i] for i in range(n)]
+    inner = [1.0] * n
+    while True:
+        best = None
+        for i in range(len(groups)):
+            for j in range(i + 1, len(groups)):
+                block = np.ix_(groups[i], groups[j])
+                if not ok[block].all():
+                    continue
+                cohesion = min(float(score[block].min()), inner[i], inner[j])
+                merged = sorted(groups[i] + groups[j])
+                rank = (-round(cohesion, 12), -len(merged), merged)
+                if best is None or rank < best[0]:
+                    best = (rank, i, j, cohesion)
+        if best is None:
+            return groups
+        _, i, j, cohesion = best
+        groups[i], inner[i] = sorted(groups[i] + groups[j]), cohesion
+        del groups[j], inner[j]

@@ -67,14 +67,15 @@ def loudness_range(blocks: DataFrame, keys: list[str], power: str = "s_power") -
     )
 
 
-def regional(regions: DataFrame, readings: DataFrame, keys: list[str], region_keys: list[str], hop: int) -> DataFrame:
-    """Lower-median short-term loudness of the windows inside each region.
+def regional(regions: DataFrame, readings: DataFrame, keys: list[str], region_keys: list[str], hop: int,
+             power: str = "s_power", window_hops: int = SHORT_TERM_HOPS) -> DataFrame:
+    """Lower-median loudness of the complete windows inside each region.
 
-    Absent (no row) for regions under 3 s, with fewer than three readings, or
-    less than half of them valid. Windows are found through hop buckets, so only
-    windows near a region meet it.
+    Absent (no row) for regions shorter than a window, with fewer than three
+    readings, or less than half of them valid. Windows are found through hop
+    buckets, so only windows near a region meet it.
     """
-    size = SHORT_TERM_HOPS * hop
+    size = window_hops * hop
     bucket = 256
     want = (
         regions.withColumn("_lo", F.ceil(F.col("start") / hop))
@@ -82,7 +83,7 @@ def regional(regions: DataFrame, readings: DataFrame, keys: list[str], region_ke
         .where((F.col("end") - F.col("start") >= size) & (F.col("_hi") >= F.col("_lo")))
         .withColumn("_b", F.explode(F.sequence(F.expr(f"_lo div {bucket}"), F.expr(f"_hi div {bucket}"))))
     )
-    have = readings.select(*keys, "hop", scalar.lufs(F.col("s_power")).alias("s_lufs"), F.expr(f"hop div {bucket}").alias("_b"))
+    have = readings.select(*keys, "hop", scalar.lufs(F.col(power)).alias("s_lufs"), F.expr(f"hop div {bucket}").alias("_b"))
     inside = want.join(have, [*keys, "_b"]).where("hop BETWEEN _lo AND _hi")
     g = [*keys, *region_keys]
     x = F.col("s_lufs")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["levels", "motion", "spans", "tones", "study", "forms"]
+MODULES = ["levels", "motion", "spans", "tones", "study", "forms", "bodies"]
 
 
 def load():
