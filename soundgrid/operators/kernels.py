@@ -139,3 +139,201 @@ def complete_linkage(n: int, ok: np.ndarray, score: np.ndarray) -> list[list[int
         _, i, j, cohesion = best
         groups[i], inner[i] = sorted(groups[i] + groups[j]), cohesion
         del groups[j], inner[j]
+
+
+# --- ordered folds --------------------------------------------------------------------
+
+TINY = 36.8  # exp(-36.8) is below double rounding
+
+
+def warmup(slowest_seconds: float, rate: float) -> int:
+    """Cells after which a follower has forgotten any start value to double precision."""
+    return int(np.ceil(TINY * max(slowest_seconds, 1e-9) * rate)) + 1
+
+
+def follow_down(x: np.ndarray, attack: float, release: float, start: float = 1.0) -> np.ndarray:
+    """One-pole follower of a gain: `attack` while falling, `release` while rising."""
+    out, env = np.empty(len(x)), start
+    for i, t in enumerate(x):
+        env = t + (attack if t < env else release) * (env - t)
+        out[i] = env
+    return out
+
+
+def follow_size(x: np.ndarray, attack: float, release: float) -> np.ndarray:
+    """Follower that engages while the magnitude grows and relaxes otherwise; starts on the first value."""
+    out, g = np.empty(len(x)), x[0]
+    for i, d in enumerate(x):
+        g = d + (attack if abs(d) > abs(g) else release) * (g - d)
+        out[i] = g
+    return out
+
+
+def sustain_peak(frames: np.ndarray, a: np.ndarray, attack: float, release: float) -> float:
+    """Largest value of an attack/release envelope of sparse magnitudes; silence between them decays in closed form."""
+    env, best, last = 0.0, 0.0, None
+    for f, v in zip(frames, a):
+        if last is not None and f > last + 1:
+            env *= release ** (f - last - 1)
+        env = v + (attack if v > env else release) * (env - v)
+        best = max(best, env)
+        last = f
+    return best
+
+
+def limiter_envelope(peaks: np.ndarray, threshold: float, attack: int, release: float) -> np.ndarray:
+    """Look-ahead limiter gain: held minimum, min-release, two box averages, hard bound.
+
+    The averages span the attack exactly, so the gain at a cell never exceeds what
+    its own peak requires.
+    """
+    n, span = len(peaks), max(1, attack)
+    a = span // 2 + 1
+    b = span - (a - 1) + 1
+    need = np.where(peaks > threshold, threshold / np.maximum(peaks, 1e-300), 1.0)
+    padded = np.concatenate([np.ones(span), need, np.ones(span)])
+    held = np.lib.stride_tricks.sliding_window_view(padded, span + 1).min(1)  # held[k] covers need[k-span .. k]
+    recovery = -np.expm1(-1.0 / max(1.0, release))
+    env, e = np.empty(len(held)), 1.0
+    for i, h in enumerate(held):
+        e = min(h, e + recovery * (h - e))
+        env[i] = e
+    first = np.convolve(np.concatenate([np.ones(a - 1), env]), np.ones(a) / a, "valid")
+    second = np.convolve(np.concatenate([np.ones(b - 1), first]), np.ones(b) / b, "valid")
+    return np.maximum(0.0, np.minimum(need, np.minimum(1.0, second[span:span + n])))
+
+
+def bound_energy(gains: np.ndarray, energy: np.ndarray, frames: np.ndarray, width: int, target: float, starts: np.ndarray) -> np.ndarray:
+    """Retract extra gain so that no window of `width` cells exceeds the target power.
+
+    `gains` has one more point than there are cells; `starts` are the windows to
+    visit in order. Only ever moves a gain towards unity.
+    """
+    g = gains.copy()
+    for s in starts:
+        e = s + width
+        x = np.maximum(g[s:e], g[s + 1:e + 1]) - 1
+        c, a, b = energy[s:e].sum(), (energy[s:e] * x * x).sum(), 2 * (energy[s:e] * x).sum()
+        budget = max(0.0, target * frames[s:e].sum() - c)
+        if a + b > budget and a + b > 0:
+            k = budget / b if a == 0 else 2 * budget / (b + np.sqrt(b * b + 4 * a * budget))
+            g[s:e + 1] = 1 + (g[s:e + 1] - 1) * min(1.0, max(0.0, k))
+    return g
+
+
+# --- ramps ----------------------------------------------------------------------------
+
+def _clip_db(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, -6.0, 3.0)
+
+
+def _reserve(weighted: np.ndarray, q: np.ndarray, seconds: float) -> np.ndarray:
+    """Transition time wanted at each edge of a component."""
+    w, v = np.concatenate([[0.0], weighted, [0.0]]), np.concatenate([[0.0], np.abs(q), [0.0]])
+    return np.where(w[:-1] == w[1:], 0.0, np.maximum(seconds, 0.75 * (v[:-1] + v[1:])))
+
+
+def _fits(length: np.ndarray, reserve: np.ndarray, rate: int) -> bool:
+    half = reserve / 2
+    half[0], half[-1] = reserve[0], reserve[-1]
+    return bool(np.all(rate * (half[:-1] + half[1:]) <= length))
+
+
+def ramp_component(start: np.ndarray, end: np.ndarray, weighted: np.ndarray, rate: int, leveling: float, speed: float) -> tuple[list[tuple], float]:
+    """Gain pieces (start, end, from dB, to dB, shape) and capacity of one run of free segments.
+
+    The common amount is the largest share, up to the control, whose transitions
+    fit into the segments.
+    """
+    seconds, length = 4 * 0.1875**speed, (end - start).astype(float)
+
+    def fits(k: float) -> bool:
+        return _fits(length, _reserve(weighted, _clip_db(k * weighted), seconds), rate)
+
+    cap = 0.0
+    if fits(0.0):
+        if fits(1.0):
+            cap = 1.0
+        else:
+            lo, hi = 0.0, 1.0
+            for _ in range(60):
+                mid = lo + (hi - lo) / 2
+                lo, hi = (mid, hi) if fits(mid) else (lo, mid)
+            cap = lo
+    q = _clip_db(min(leveling, cap) * weighted)
+    if not np.any(q):
+        return [], cap
+    r = _reserve(weighted, q, seconds) * rate
+    n = len(q)
+    edge_from = np.concatenate([[start[0]], end[:-1] - r[1:-1] / 2, [end[-1] - r[-1]]])
+    edge_to = np.concatenate([[start[0] + r[0]], end[:-1] + r[1:-1] / 2, [end[-1]]])
+    level = np.concatenate([[0.0], q, [0.0]])
+    pieces: list[tuple] = []
+    for i in range(n + 1):
+        if edge_to[i] > edge_from[i] and (level[i] or level[i + 1]):
+            pieces.append((edge_from[i], edge_to[i], level[i], level[i + 1], "HOLD" if level[i] == level[i + 1] else "SMOOTHSTEP"))
+        if i < n and edge_from[i + 1] > edge_to[i] and level[i + 1]:
+            pieces.append((edge_to[i], edge_from[i + 1], level[i + 1], level[i + 1], "HOLD"))
+    return pieces, cap
+
+
+# --- PCM ------------------------------------------------------------------------------
+
+# The two weighting biquads at 48 kHz as b0, b1, b2, a1, a2.
+SHELF_48K = (1.53512485958697, -2.69169618940638, 1.19839281085285, -1.69065929318241, 0.73248077421585)
+HIGHPASS_48K = (1.0, -2.0, 1.0, -1.99004745483398, 0.99007225036621)
+
+
+def rewarp(q: tuple[float, ...], rate: float) -> np.ndarray:
+    """The same analogue biquad at another rate (inverse then forward bilinear transform)."""
+    if rate == 48000:
+        return np.array(q)
+    k = rate / 48000.0
+    # z^-1 at 48 kHz in terms of z^-1 at the new rate: ((k - 1) + (k + 1) z) / ((k + 1) + (k - 1) z).
+    num, den = np.array([k - 1, k + 1]), np.array([k + 1, k - 1])
+    powers = [np.convolve(den, den), np.convolve(num, den), np.convolve(num, num)]
+    b = sum(c * p for c, p in zip(q[:3], powers))
+    a = sum(c * p for c, p in zip((1.0, q[3], q[4]), powers))
+    return np.concatenate([b / a[0], a[1:] / a[0]])
+
+
+def weighting(rate: float) -> tuple[np.ndarray, np.ndarray]:
+    s, h = rewarp(SHELF_48K, rate), rewarp(HIGHPASS_48K, rate)
+    h[1], h[2] = -2 * h[0], h[0]  # keep the exact double zero at DC
+    return s, h
+
+
+def weigh(x: np.ndarray, rate: float, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Both biquads over every row of x at once; returns the output and the four end states per row."""
+    s, h = weighting(rate)
+    z = np.zeros((4, len(x))) if state is None else state.T.copy()
+    y = np.empty_like(x)
+    for i in range(x.shape[1]):
+        v = x[:, i]
+        u = s[0] * v + z[0]
+        z[0] = s[1] * v - s[3] * u + z[1]
+        z[1] = s[2] * v - s[4] * u
+        w = h[0] * u + z[2]
+        z[2] = h[1] * u - h[3] * w + z[3]
+        z[3] = h[2] * u - h[4] * w
+        y[:, i] = w
+    return y, z.T
+
+
+def transition(rate: float, n: int) -> np.ndarray:
+    """How n silent frames carry the four states forward (columns are unit states)."""
+    _, end = weigh(np.zeros((4, n)), rate, np.eye(4))
+    return end.T
+
+
+def dense(pos: list, val: list, width: int) -> np.ndarray:
+    """Rows of sparse (position, value) lists as a dense matrix."""
+    out = np.zeros((len(pos), width))
+    for i, (p, v) in enumerate(zip(pos, val)):
+        if p is not None and len(p):
+            out[i, np.asarray(p)] = np.asarray(v)
+    return out
+
+
+def hann(n: int) -> np.ndarray:
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
