@@ -197,9 +197,11 @@ def macro_curve(spark, root):
 
 @query("J6 M5")
 def ramp_pieces(spark, root):
-    """Gain pieces from the targets of the structure report."""
-    from soundgrid.plans.leveler import report
+    """Gain pieces that lift the segments cut at the sign-ups half-way to the loudest one."""
+    from soundgrid.queries.bodies import descriptors
     from soundgrid.queries.forms import RATE as SLOW
 
-    r = materialise(report(spark, root)).withColumn("protected", F.col("bits") != 0)
-    return gain.ramps(r, K, SLOW)
+    d = descriptors(spark, root)
+    top = d.groupBy("track_id").agg(F.max("lufs").alias("top"))
+    d = d.join(top, "track_id").withColumns({"protected": F.col("lufs").isNull(), "weighted_db": F.coalesce((F.col("top") - F.col("lufs")) / 2, F.lit(0.0))})
+    return gain.ramps(d, K, SLOW)

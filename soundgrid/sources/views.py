@@ -23,7 +23,10 @@ def event_samples(spark: SparkSession, root: str) -> DataFrame:
     The event type is the pan: left only, right only, both equal, opposite sign,
     or left-weighted. Frames without an event are digital silence.
     """
-    e = table(spark, root, "events")
+    return pan(table(spark, root, "events"))
+
+
+def pan(e: DataFrame) -> DataFrame:
     x = F.col("value") / 100
     frame = (
         F.datediff(F.col("ts").cast("date"), F.lit(EPOCH).cast("date")).cast("bigint") * 1440
