@@ -45,11 +45,20 @@ def smooth_gain(df: DataFrame, keys: list[str], pos: str, value: str, rate: floa
     return by_block(df, keys, pos, value, out, w, 0, lambda x, _: kernels.follow_down(x, a, r), block)
 
 
-def ride_band(df: DataFrame, keys: list[str], pos: str, value: str, rate: float, attack_s: float, release_s: float, out: str, block: int = 4096) -> DataFrame:
-    """Band correction that engages with `attack` and relaxes with `release`."""
+def ride_bands(df: DataFrame, keys: list[str], pos: str, values: str, rate: float, attack_s: float, release_s: float, out: str, block: int = 4096) -> DataFrame:
+    """Corrections of all bands of a frame (one array), each engaging with `attack` and relaxing with `release`."""
     a, r = coefficient(attack_s, rate), coefficient(release_s, rate)
-    w = kernels.warmup(max(attack_s, release_s), rate)
-    return by_block(df, keys, pos, value, out, w, 0, lambda x, _: kernels.follow_size(x, a, r), block)
+    h = halo(df.select(*keys, pos, values), keys, pos, kernels.warmup(max(attack_s, release_s), rate), 0, block)
+    size = h.block
+    schema = T.StructType([f for f in df.schema if f.name in (*keys, pos)] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos)
+        y = kernels.follow_size(np.stack(pdf[values].to_numpy()), a, r)
+        own = pdf[pos].to_numpy() // size == pdf["_blk"].iloc[0]
+        return pdf.loc[own, [*keys, pos]].assign(**{out: list(y[own])})
+
+    return h.df.groupBy(*keys, "_blk").applyInPandas(run, schema)
 
 
 def limiter(df: DataFrame, keys: list[str], pos: str, peak: str, threshold: float, attack: int, release: int, out: str, block: int = 4096) -> DataFrame:

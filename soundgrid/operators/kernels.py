@@ -161,10 +161,11 @@ def follow_down(x: np.ndarray, attack: float, release: float, start: float = 1.0
 
 
 def follow_size(x: np.ndarray, attack: float, release: float) -> np.ndarray:
-    """Follower that engages while the magnitude grows and relaxes otherwise; starts on the first value."""
-    out, g = np.empty(len(x)), x[0]
+    """Followers of every column of x that engage while the magnitude grows and relax
+    otherwise; each starts on its first value."""
+    out, g = np.empty_like(x), x[0]
     for i, d in enumerate(x):
-        g = d + (attack if abs(d) > abs(g) else release) * (g - d)
+        g = d + np.where(np.abs(d) > np.abs(g), attack, release) * (g - d)
         out[i] = g
     return out
 

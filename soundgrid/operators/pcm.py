@@ -136,7 +136,7 @@ def long_term_spectrum(frames: DataFrame, keys: list[str], hop: int, overlap: in
 
 
 def band_levels(frames: DataFrame, keys: list[str], hop: int, overlap: int, rate: int, bands: int = 120, low: float = 20.0) -> DataFrame:
-    """Level of each twelfth-octave band of each frame, floor -90 dB."""
+    """Levels of the twelfth-octave bands below half the rate of each frame (arrays), floor -90 dB."""
     n = hop * overlap
     w = kernels.hann(n)
     hz = low * 2.0 ** (np.arange(bands) / 12)
@@ -153,8 +153,7 @@ def band_levels(frames: DataFrame, keys: list[str], hop: int, overlap: int, rate
         mean = (sums[:, hi + 1] - sums[:, lo]) / (hi - lo + 1)
         return pd.Series(list(np.maximum(10 * np.log10(np.maximum(mean, 1e-12)), -90.0)))
 
-    d = frames.select(*keys, "frame", F.posexplode(levels("parts")).alias("band", "db"))
-    return d.withColumn("hz", low * F.pow(F.lit(2.0), F.col("band") / 12))
+    return frames.select(*keys, "frame", levels("parts").alias("db"), F.array(*[F.lit(float(x)) for x in hz]).alias("hz"))
 
 
 def band_peaks(frames: DataFrame, keys: list[str], hop: int, overlap: int, rate: int, edges: tuple[float, ...]) -> DataFrame:

@@ -186,24 +186,31 @@ def safe_scale(samples: DataFrame, keys: list[str], gain_db: str, channels: list
     return ok
 
 
-def tone_correction(levels: DataFrame, keys: list[str], frame: str, slope_db: float, rate: float, frame_rate: float, amount: float = 1.0, attack_s: float = 0.02, release_s: float = 0.2) -> DataFrame:
-    """Band correction towards a spectral slope: levels per (frame, band, hz) in, gains out.
+def tone_correction(levels: DataFrame, keys: list[str], frame: str, slope_db: float, frame_rate: float, amount: float = 1.0, attack_s: float = 0.02, release_s: float = 0.2) -> DataFrame:
+    """Band correction towards a spectral slope, ridden over time.
 
-    Boost only where a band is present, gentler at the extremes, ridden over time.
+    `levels` has one row per frame with arrays `hz` and `db` over the bands. Boost
+    only where a band is present, gentler at the extremes.
     """
-    from soundgrid.operators.folds import ride_band
-
-    octave = F.log2(F.col("hz") / 1000)
-    mean = levels.groupBy(*keys, frame).agg(F.avg("db").alias("_m"), F.avg(slope_db * octave).alias("_t"))
-    d = levels.join(mean, [*keys, frame])
-    raw = (slope_db * octave - F.col("_t")) - (F.col("db") - F.col("_m"))
-    present = scalar.clamp((F.col("db") - (F.col("_m") - 30)) / 20, 0.0, 1.0)
-    raw = F.when(raw > 0, raw * present).otherwise(raw)
+    from soundgrid.operators.folds import ride_bands
+
+    n = F.size("db")
+    aim = F.transform("hz", lambda x: slope_db * F.log2(x / 1000))
+    d = levels.withColumns({"_aim": aim}).withColumns({
+        "_ma": F.aggregate("_aim", F.lit(0.0), lambda a, x: a + x) / n, "_mb": F.aggregate("db", F.lit(0.0), lambda a, x: a + x) / n})
+
     # Full strength between 55 Hz and 14 kHz, none below 28 Hz and above 18 kHz.
-    low, high = scalar.clamp((F.col("hz") - 28) / (55 - 28), 0.0, 1.0), scalar.clamp((18000 - F.col("hz")) / (18000 - 14000), 0.0, 1.0)
-    d = d.withColumn("_raw", 0.30 * raw * F.least(low, high))
-    g = ride_band(d, [*keys, "band"], frame, "_raw", frame_rate, attack_s, release_s, "_g")
-    return g.withColumn("gain_db", scalar.clamp(amount * F.col("_g"), -9.0, 6.0)).drop("_g")
+    def edge(hz: Column) -> Column:
+        return F.least(scalar.clamp((hz - 28) / (55 - 28), 0.0, 1.0), scalar.clamp((18000 - hz) / (18000 - 14000), 0.0, 1.0))
+
+    def one(z: Column) -> Column:
+        raw = (z["_aim"] - F.col("_ma")) - (z["db"] - F.col("_mb"))
+        present = scalar.clamp((z["db"] - (F.col("_mb") - 30)) / 20, 0.0, 1.0)
+        return 0.30 * F.when(raw > 0, raw * present).otherwise(raw) * edge(z["hz"])
+
+    d = d.withColumn("_raw", F.transform(F.arrays_zip("_aim", "db", "hz"), one))
+    g = ride_bands(d, keys, frame, "_raw", frame_rate, attack_s, release_s, "_g")
+    return g.select(*keys, frame, F.transform("_g", lambda x: scalar.clamp(amount * x, -9.0, 6.0)).alias("gain_db"))
 
 
 def match_gain_db(before_lufs: Column, after_lufs: Column, after_peak: Column) -> Column:

@@ -145,7 +145,8 @@ def ev_frames(spark, root):
 def tone_correction(spark, root):
     """Per-frame band gains towards a -3 dB per octave slope."""
     levels = materialise(pcm.band_levels(ev_frames(spark, root), K, 1024, 4, RATE))
-    return gain.tone_correction(levels, K, "frame", -3.0, RATE, RATE / 1024)
+    d = gain.tone_correction(levels, K, "frame", -3.0, RATE / 1024)
+    return d.select("track_id", "frame", F.posexplode("gain_db").alias("band", "gain_db"))
 
 
 @query("B13 G14", None)
