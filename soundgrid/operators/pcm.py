@@ -80,15 +80,13 @@ def weighted_energy(ch: DataFrame, keys: list[str], width: int, rate: int) -> Da
     return d.select(*keys, "chunk", "n", energy("pos", "l", "r", "n", past_l, past_r).alias("energy"))
 
 
-def stft_frames(ch: DataFrame, keys: list[str], hop: int, overlap: int) -> DataFrame:
+def stft_frames(ch: DataFrame, keys: list[str], overlap: int) -> DataFrame:
     """Frames of `overlap` chunks of one hop each, starting before the track.
 
-    Frame f covers the chunks f - overlap + 1 .. f; what lies outside is zero.
+    Frame f covers the chunks f - overlap + 1 .. f; what lies outside is zero. The
+    last frame starts in the last chunk.
     """
-    last = F.expr(f"(frames - 1) div {hop}") if "frames" in ch.columns else None
     d = ch.withColumn("frame", F.explode(F.sequence(F.col("chunk"), F.col("chunk") + overlap - 1)))
-    if last is not None:
-        d = d.where(F.col("frame") <= last)
     parts = F.struct((F.col("chunk") - F.col("frame") + overlap - 1).cast("int").alias("slot"), "n", "pos", "l", "r")
     return d.groupBy(*keys, "frame").agg(F.collect_list(parts).alias("parts"))  # at most `overlap` chunks
 

@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from soundgrid.operators import kernels
 
@@ -102,7 +103,9 @@ def mutual_best(pairs: DataFrame, keys: list[str], score: str, margin: float, ti
         *keys, F.col("x").alias("a"), F.col("y").alias("b"), score, "margin")
 
 
-SCORE = "harmonic double, timbre double, alignment double, combined double, rotation int, valid_bins int, reason string"
+SCORE = T.StructType(
+    [T.StructField(c, T.DoubleType()) for c in ("harmonic", "timbre", "alignment", "combined")]
+    + [T.StructField("rotation", T.IntegerType()), T.StructField("valid_bins", T.IntegerType()), T.StructField("reason", T.StringType())])
 
 
 @F.pandas_udf(SCORE)
@@ -110,4 +113,4 @@ def segment_score(a: pd.Series, b: pd.Series, ratio: pd.Series) -> pd.DataFrame:
     """Harmonic, timbral and aligned similarity of two segments given as 32 bins of
     twelve chroma values, eight shape values and activity (flat arrays)."""
     rows = [kernels.compare_bins(np.asarray(x), np.asarray(y), r) for x, y, r in zip(a, b, ratio)]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SCORE.split(", ")])
+    return pd.DataFrame(rows, columns=SCORE.names)

@@ -133,12 +133,12 @@ def output_report_weighted(spark, root):
 @query("D4 E7 E8 N2")
 def long_term_spectrum(spark, root):
     ch = pcm.chunks(event_samples(spark, root), K, 256)
-    s = pcm.long_term_spectrum(pcm.stft_frames(ch, K, 256, 4), K, 256, 4)
+    s = pcm.long_term_spectrum(pcm.stft_frames(ch, K, 4), K, 256, 4)
     return spectra.project(s, K, spectra.grid(spark, float(RATE), 1024, 20.0, 1800.0, 128))
 
 
 def ev_frames(spark, root):
-    return pcm.stft_frames(pcm.chunks(event_samples(spark, root), K, 1024), K, 1024, 4)
+    return pcm.stft_frames(pcm.chunks(event_samples(spark, root), K, 1024), K, 4)
 
 
 @query("E23 F10 J9")
