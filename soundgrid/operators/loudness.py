@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from soundgrid.functions import quantiles, scalar
 from soundgrid.operators.blocks import halo
 from soundgrid.operators.cells import dense_cells
+from soundgrid.session import materialise
 
 MOMENTARY_HOPS = 4
 SHORT_TERM_HOPS = 30
@@ -62,14 +63,10 @@ def loudness_range(blocks: DataFrame, keys: list[str], power: str = "s_power") -
     level = scalar.lufs(F.col(power))
     loud = blocks.where(level > scalar.ABSOLUTE_GATE_LUFS)
     first = loud.groupBy(*keys).agg(F.avg(power).alias("_mean"))
-    kept = loud.join(first, keys).where(level >= scalar.lufs(F.col("_mean")) - 20).withColumn("_l", level)
-
-    def near(p):
-        return quantiles.at_rank("_l", lambda n: F.floor((n - 1) * p + 0.5))
-
-    return kept.groupBy(*keys).agg(near(0.10).alias("p10"), near(0.95).alias("p95"), F.count("*").alias("n")).withColumn(
-        "lra", F.col("p95") - F.col("p10")
-    )
+    kept = materialise(loud.join(first, keys).where(level >= scalar.lufs(F.col("_mean")) - 20).select(*keys, level.alias("_l")))
+    q = quantiles.grouped(kept, keys, {"p10": ("_l", 0.10, "nearest"), "p95": ("_l", 0.95, "nearest")})
+    n = kept.groupBy(*keys).agg(F.count("*").alias("n"))
+    return q.join(n, keys).withColumn("lra", F.col("p95") - F.col("p10"))
 
 
 def regional(regions: DataFrame, readings: DataFrame, keys: list[str], region_keys: list[str], hop: int,

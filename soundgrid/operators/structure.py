@@ -176,10 +176,10 @@ def suppress(cands: DataFrame, keys: list[str], score: str, limit: int = MAX_BOU
 
 def thresholds(scores: DataFrame, keys: list[str], score: str, mad_times: float = 3.0) -> DataFrame:
     """The ladder of selection thresholds: median + 3 MAD (or P95), P97.5, P99."""
-    m = scores.groupBy(*keys).agg(
-        quantiles.lower_median(score).alias("_med"), quantiles.lower(score, 0.95).alias("_p95"),
-        quantiles.lower(score, 0.975).alias("t1"), quantiles.lower(score, 0.99).alias("t2"))
-    mad = scores.join(m, keys).withColumn("_d", F.abs(F.col(score) - F.col("_med"))).groupBy(*keys).agg(quantiles.lower_median("_d").alias("_mad"))
+    m = quantiles.grouped(scores, keys, {
+        "_med": (score, 0.5, "lower"), "_p95": (score, 0.95, "lower"), "t1": (score, 0.975, "lower"), "t2": (score, 0.99, "lower")})
+    dev = materialise(scores.join(m, keys).select(*keys, F.abs(F.col(score) - F.col("_med")).alias("_d")))
+    mad = quantiles.grouped(dev, keys, {"_mad": ("_d", 0.5, "lower")})
     return m.join(mad, keys).select(*keys, F.when(F.col("_mad") > 0, F.col("_med") + mad_times * F.col("_mad")).otherwise(F.col("_p95")).alias("t0"), "t1", "t2")
 
 

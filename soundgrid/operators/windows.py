@@ -109,12 +109,12 @@ def slew_limit(df: DataFrame, keys: list[str], pos: str, value: str, rise: float
 def robust_scale(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """(x - median) / MAD clipped at zero; P95 - median where the MAD is zero.
 
-    Lower medians. Meant for cells, whose number per track the clock bounds.
+    Lower medians; exact for tracks of any length.
     """
     df = materialise(df)
-    m = df.groupBy(*keys).agg(quantiles.lower_median(value).alias("_med"), quantiles.lower(value, 0.95).alias("_p95"))
-    d = df.join(m, keys).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-    mad = d.groupBy(*keys).agg(quantiles.lower_median("_dev").alias("_mad"))
+    m = quantiles.grouped(df, keys, {"_med": (value, 0.5, "lower"), "_p95": (value, 0.95, "lower")})
+    d = materialise(df.join(m, keys).withColumn("_dev", F.abs(F.col(value) - F.col("_med"))))
+    mad = quantiles.grouped(d, keys, {"_mad": ("_dev", 0.5, "lower")})
     unit = F.when(F.col("_mad") > 0, F.col("_mad")).otherwise(F.greatest(F.col("_p95") - F.col("_med"), F.lit(1e-12)))
     return d.join(mad, keys).withColumn(out, F.greatest(F.lit(0.0), (F.col(value) - F.col("_med")) / unit)).drop(
         "_med", "_p95", "_dev", "_mad")

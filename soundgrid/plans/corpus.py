@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from soundgrid.functions import quantiles, scalar
 from soundgrid.functions.quantiles import order_statistics
+from soundgrid.session import materialise
 
 COMPONENTS = ("stereo", "left", "right", "mid", "side")
 
@@ -30,7 +31,8 @@ def dense_bands(bands: DataFrame, keys: list[str], n_bands: int) -> DataFrame:
 def active_windows(bands: DataFrame, keys: list[str]) -> DataFrame:
     """Window totals above max(1e-8, P95 * 1e-4) of their track."""
     totals = bands.groupBy(*keys, "win").agg(F.sum((F.col("p_ll") + F.col("p_rr")) / 2).alias("total"))
-    gate = totals.groupBy(*keys).agg(F.greatest(F.lit(1e-8), quantiles.linear("total", 0.95) * 1e-4).alias("gate"))
+    totals = materialise(totals)
+    gate = quantiles.grouped(totals, keys, {"_p": ("total", 0.95, "linear")}).select(*keys, F.greatest(F.lit(1e-8), F.col("_p") * 1e-4).alias("gate"))
     return totals.join(gate, keys).where("total >= gate")
 
 

@@ -75,7 +75,8 @@ def macro_curve(hops: DataFrame, edges: DataFrame, keys: list[str], rate: int, h
     radius = max(1, math.floor(6 * (1 / 3) ** speed * 0.5 * rate / hop + 0.5))
     soft = max(1, math.floor(0.5 * 1.2 * (1 / 6) ** speed * rate / hop + 0.5))
     hops = materialise(hops.select(*keys, "hop", "energy", "n", "peak").withColumn("power", F.col("energy") / F.col("n")))
-    f = hops.groupBy(*keys).agg(F.greatest(F.lit(-65.0), scalar.power_db(quantiles.floor_rank("power", 0.9)) - 35).alias("floor"), F.count("*").alias("bins"), (F.sum("energy") / F.sum("n")).alias("_whole"))
+    f = hops.groupBy(*keys).agg(F.count("*").alias("bins"), (F.sum("energy") / F.sum("n")).alias("_whole"))
+    f = f.join(quantiles.grouped(hops, keys, {"_p": ("power", 0.9, "floor")}), keys).withColumn("floor", F.greatest(F.lit(-65.0), scalar.power_db(F.col("_p")) - 35)).drop("_p")
     top = windows.frame_mean(hops, keys, "hop", "energy", "n", {"_w": (0, wide)}).groupBy(*keys).agg(F.max("_w").alias("_best"))
     t = f.join(top, keys).withColumn("target", F.coalesce("_best", "_whole"))
     # Points 0..bins; the last repeats the cell before it. Regions between edges are numbered by their start.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from soundgrid.functions import quantiles, scalar
 from soundgrid.operators import cells, loudness
 from soundgrid.queries.registry import query, rnd
+from soundgrid.session import materialise
 from soundgrid.sources.views import EV_SQL, HOP, LI_SQL, event_samples, line_samples
 
 K = ["track_id"]
@@ -225,8 +226,8 @@ SELECT track_id, gate, R6(10 * log10(threshold)) AS threshold_db, CAST(count(*)
   R6(quantile_cont(db, 0.1) FILTER (sel)) AS p10, R6(quantile_cont(db, 0.5) FILTER (sel)) AS p50, R6(quantile_cont(db, 0.9) FILTER (sel)) AS p90
 FROM s GROUP BY track_id, gate, threshold""")
 def gate_sensitivity(spark, root):
-    w = ev_windows(spark, root).withColumn("_e", F.col("mid") + F.col("side"))
-    p95 = w.groupBy("track_id").agg(quantiles.linear("_e", 0.95).alias("_p95"))
+    w = materialise(ev_windows(spark, root).select("track_id", "mid", "side", (F.col("mid") + F.col("side")).alias("_e")))
+    p95 = quantiles.grouped(w, K, {"_p95": ("_e", 0.95, "linear")})
     floor = F.lit(1e-8)
     # The drops below the 95th percentile, in dB.
     gates = F.array(
@@ -239,16 +240,12 @@ def gate_sensitivity(spark, root):
     t = p95.select("track_id", F.inline(gates))
     sel = F.col("_e") >= F.col("threshold")
     db = F.when(sel, scalar.ratio_db(F.col("side"), F.col("mid")))
-    return (
-        w.join(t, "track_id")
-        .withColumn("_db", db)
-        .groupBy("track_id", "gate", "threshold")
-        .agg(
-            F.sum(sel.cast("bigint")).alias("selected_windows"), F.count("_db").alias("finite_windows"),
-            *[rnd(quantiles.linear("_db", p / 100)).alias(f"p{p}") for p in (10, 50, 90)],
-        )
-        .select("track_id", "gate", rnd(10 * F.log10("threshold")).alias("threshold_db"), "selected_windows", "finite_windows", "p10", "p50", "p90")
-    )
+    d = materialise(w.join(t, "track_id").select("track_id", "gate", "threshold", sel.alias("_in"), db.alias("_db")))
+    keys = ["track_id", "gate", "threshold"]
+    n = d.groupBy(*keys).agg(F.sum(F.col("_in").cast("bigint")).alias("selected_windows"), F.count("_db").alias("finite_windows"))
+    q = quantiles.grouped(d, keys, {f"p{p}": ("_db", p / 100, "linear") for p in (10, 50, 90)})
+    return n.join(q, keys).select(
+        "track_id", "gate", rnd(10 * F.log10("threshold")).alias("threshold_db"), "selected_windows", "finite_windows", *[rnd(c).alias(c) for c in ("p10", "p50", "p90")])
 
 
 @query("C4 C6 C7", "WITH" + CELLS_SQL + """,
@@ -259,10 +256,9 @@ SELECT track_id, c AS cells, R6(greatest(-65, 10 * log10(greatest(1e-100, max(po
 FROM p GROUP BY 1, 2""")
 def gate_thresholds(spark, root):
     d = cells.dense_cells(event_samples(spark, root), K, "frame", HOP, {"energy": F.sum(F.col("l") * F.col("l") + F.col("r") * F.col("r"))}, "hop")
-    d = d.withColumn("power", F.col("energy") / F.col("n"))
-    g = d.groupBy("track_id").agg(
-        F.count("*").alias("cells"), quantiles.floor_rank("power", 0.9).alias("_p90"),
-        quantiles.linear("power", 0.95).alias("_p95"), F.sum((F.col("power") >= 1e-8).cast("bigint")).alias("active_cells"))
+    d = materialise(d.select("track_id", (F.col("energy") / F.col("n")).alias("power")))
+    g = d.groupBy("track_id").agg(F.count("*").alias("cells"), F.sum((F.col("power") >= 1e-8).cast("bigint")).alias("active_cells"))
+    g = g.join(quantiles.grouped(d, K, {"_p90": ("power", 0.9, "floor"), "_p95": ("power", 0.95, "linear")}), "track_id")
     return g.select(
         "track_id", "cells", rnd(F.greatest(F.lit(-65.0), scalar.power_db(F.col("_p90")) - 35)).alias("activity_floor_db"),
         rnd(F.greatest(F.lit(1e-6), F.col("_p95") / 10), 9).alias("research_gate"),

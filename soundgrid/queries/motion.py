@@ -92,7 +92,7 @@ def level_step_candidates(spark, root):
     from soundgrid.functions import quantiles
 
     h = materialise(ev_hops(spark, root))
-    floor = h.groupBy("track_id").agg(F.greatest(F.lit(-65.0), scalar.power_db(quantiles.floor_rank("power", 0.9)) - 35).alias("floor"))
+    floor = quantiles.grouped(h, K, {"_p": ("power", 0.9, "floor")}).select("track_id", F.greatest(F.lit(-65.0), scalar.power_db(F.col("_p")) - 35).alias("floor"))
     spans = {"left": (-10, 0), "right": (0, 10), "l1": (-10, -5), "l2": (-5, 0), "r1": (0, 5), "r2": (5, 10)}
     d = windows.frame_mean(h, K, "hop", "energy", "n", spans)
     db = {s: scalar.power_db(F.col(s)) for s in spans}

@@ -276,7 +276,8 @@ def onset_excess(spark, root):
     s = ev.select("track_id", "frame", F.greatest(F.abs("l"), F.abs("r")).alias("a"))
     p = joins.range_join(o, s, K, "lo", "hi", "frame", 1024).groupBy("track_id", "event_id").agg(
         (20 * F.log10(F.greatest(F.max("a"), F.lit(1e-6)))).alias("db"))
-    med = p.groupBy("track_id").agg(quantiles.upper_median("db").alias("med"))
+    p = materialise(p)
+    med = quantiles.grouped(p, K, {"med": ("db", 0.5, "upper")})
     return p.join(med, "track_id").select(
         "track_id", "event_id", rnd("db").alias("peak_db"), rnd(F.greatest(F.lit(0.0), F.col("db") - F.col("med"))).alias("excess_db"))
 

@@ -192,11 +192,12 @@ def band_summary(spark, root):
     v = v.select("track_id", "band", *args, scalar.stereo_state(*args).alias("state"), scalar.ratio_db(scalar.side_power(*args), scalar.mid_power(*args)).alias("db"))
     states = v.groupBy("track_id", "band", "state").agg(F.count("*").alias("n")).groupBy("track_id", "band").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("state", "n")))).alias("states"))
-    g = v.groupBy("track_id", "band").agg(
-        F.count("*").alias("valid_windows"), *[F.avg(c).alias(c) for c in ("p_ll", "p_rr", "p_lr")], *[rnd(quantiles.linear("db", p / 100)).alias(f"p{p}") for p in (10, 50, 90)])
+    v = materialise(v)
+    g = v.groupBy("track_id", "band").agg(F.count("*").alias("valid_windows"), *[F.avg(c).alias(c) for c in ("p_ll", "p_rr", "p_lr")])
+    g = g.join(quantiles.grouped(v, ["track_id", "band"], {f"p{p}": ("db", p / 100, "linear") for p in (10, 50, 90)}), ["track_id", "band"])
     text = F.array_join(F.transform(F.map_entries("states"), lambda e: F.concat_ws(":", e["key"], e["value"])), "|")
     return g.join(states, ["track_id", "band"]).select(
-        "track_id", "band", "valid_windows", text.alias("states"), rnd(scalar.ratio_db(corpus.component("side"), corpus.component("mid"))).alias("pooled_side_mid_db"), "p10", "p50", "p90")
+        "track_id", "band", "valid_windows", text.alias("states"), rnd(scalar.ratio_db(corpus.component("side"), corpus.component("mid"))).alias("pooled_side_mid_db"), *[rnd(c).alias(c) for c in ("p10", "p50", "p90")])
 
 
 @query("C7 E12", "WITH" + DENSE_SQL + """,
@@ -205,8 +206,10 @@ SELECT track_id, band, count(*) AS windows, R6(avg(fr)) AS mean_fraction, R6(qua
 def tonal_shape(spark, root):
     d = wb_dense(spark, root)
     f = d.join(corpus.active_windows(d, K), ["track_id", "win"]).select("track_id", "band", (corpus.component("stereo") / F.col("total")).alias("fr"))
-    return f.groupBy("track_id", "band").agg(
-        F.count("*").alias("windows"), rnd(F.avg("fr")).alias("mean_fraction"), *[rnd(quantiles.linear("fr", p / 100)).alias(f"p{p}") for p in (10, 50, 90)])
+    f = materialise(f)
+    g = f.groupBy("track_id", "band").agg(F.count("*").alias("windows"), rnd(F.avg("fr")).alias("mean_fraction"))
+    q = quantiles.grouped(f, ["track_id", "band"], {f"p{p}": ("fr", p / 100, "linear") for p in (10, 50, 90)})
+    return g.join(q, ["track_id", "band"]).select("track_id", "band", "windows", "mean_fraction", *[rnd(c).alias(c) for c in ("p10", "p50", "p90")])
 
 
 @query("C8 E12", "WITH" + DENSE_SQL + """,
@@ -234,7 +237,8 @@ def dynamics(spark, root):
     w = cells.overlapping_windows(ev, K, "frame", 1440, 720, lr_sums()).where("NOT partial").withColumn("p", (F.col("ll") + F.col("rr")) / 2 / 1440).where("p >= 1e-8")
     full = ev.groupBy("track_id").agg(
         F.max(F.greatest(F.abs("l"), F.abs("r"))).alias("peak"), (F.sum((F.col("l") ** 2 + F.col("r") ** 2) / 2) / (F.max("frame") + 1)).alias("power"))
-    g = w.groupBy("track_id").agg((10 * F.log10(quantiles.linear("p", 0.9)) - 10 * F.log10(quantiles.linear("p", 0.1))).alias("range_db"))
+    q = quantiles.grouped(materialise(w.select("track_id", "p")), K, {"_hi": ("p", 0.9, "linear"), "_lo": ("p", 0.1, "linear")})
+    g = q.select("track_id", (10 * F.log10("_hi") - 10 * F.log10("_lo")).alias("range_db"))
     return g.join(full, "track_id").select("track_id", rnd("range_db").alias("range_db"), rnd(scalar.ratio_db(F.col("peak") ** 2, F.col("power"))).alias("crest_db"))
 
 

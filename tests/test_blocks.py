@@ -77,6 +77,19 @@ def test_order_statistics_of_a_hot_group(spark):
         assert np.allclose([r.p0, r.p10, r.p50, r.p90], np.percentile(v, [0, 10, 50, 90]), rtol=1e-12)
 
 
+def test_grouped_quantiles_beyond_the_limit(spark):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"k": rng.choice(4, 9000, p=[0.7, 0.2, 0.09, 0.01]), "v": np.round(rng.normal(0, 5, 9000), 1)})
+    specs = {m: ("v", 0.3, m) for m in quantiles.RANKS} | {"um": ("v", 0.5, "upper")}
+    d = spark.createDataFrame(pdf)
+    a = quantiles.grouped(d, K, specs).toPandas().sort_values("k")
+    b = quantiles.grouped(d, K, specs, limit=10).toPandas().sort_values("k")
+    for m in specs:
+        assert np.allclose(a[m], b[m]), m
+    s = np.sort(pdf[pdf.k == 0].v)
+    assert a.um.iloc[0] == s[len(s) // 2] and a.nearest.iloc[0] == s[int((len(s) - 1) * 0.3 + 0.5)]
+
+
 def test_greedy_gap(spark):
     pdf = series(6)[["k", "pos"]]
     got = windows.greedy_gap(spark.createDataFrame(pdf), K, "pos", 9).toPandas()
