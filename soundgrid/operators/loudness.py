@@ -96,9 +96,6 @@ def regional(regions: DataFrame, readings: DataFrame, keys: list[str], region_ke
         F.avg(F.when(loud, scalar.power_from_lufs(x))).alias("_mean"),
     ).where("valid >= 3 AND valid * 2 >= possible")
     kept = inside.join(stats, g).where(loud & (x > scalar.lufs(F.col("_mean")) - 20))
-    return kept.groupBy(*g).agg(
-        F.first("possible").alias("possible"),
-        F.first("valid").alias("valid"),
-        F.count("*").alias("selected"),
-        quantiles.lower_median("s_lufs").alias("lufs"),
-    ).where("selected >= 3")
+    kept = materialise(kept.select(*g, "possible", "valid", "s_lufs"))
+    n = kept.groupBy(*g, "possible", "valid").agg(F.count("*").alias("selected")).where("selected >= 3")
+    return n.join(quantiles.grouped(kept, g, {"lufs": ("s_lufs", 0.5, "lower")}), g)

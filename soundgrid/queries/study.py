@@ -262,12 +262,12 @@ def captures(spark, root):
     quiet = F.lit(False)
     prov = F.struct(
         F.when(F.col("o_orderstatus") == "P", "partial").otherwise("candidate").alias("quality"),
-        F.struct(cid.alias("id"), F.when(F.col("o_orderkey") % 17 == 0, "other").otherwise(url).alias("url")).alias("job"), quiet.alias("routeTailTest"),
+        F.struct(cid.alias("id"), F.when(F.col("o_totalprice") > 450000, "other").otherwise(url).alias("url")).alias("job"), quiet.alias("routeTailTest"),
         F.lit(True).alias("sourceMuted"), F.lit(True).alias("receiverMuted"), F.lit(True).alias("sourceMutedAfterCaptureStop"), quiet.alias("pcmPersisted"),
         F.struct(F.lit("none").alias("sink"), F.lit(2).alias("channels"), F.lit(48000).alias("rate"),
                  F.struct(quiet.alias("autoGainControl"), quiet.alias("echoCancellation"), quiet.alias("noiseSuppression")).alias("settings")).alias("capture"),
         F.col("d").alias("expectedDuration"), elapsed.alias("capturedDuration"), F.struct((F.col("d") - 0.1).alias("time")).alias("endBoundary"), F.lit(None).cast("double").alias("tailGuardSeconds"),
-        F.array(F.struct(F.when(F.col("o_orderkey") % 23 == 0, 96000).otherwise(0).cast("bigint").alias("startFrame"), F.lit(4800).cast("bigint").alias("frames"))).alias("inputGaps"), tl.alias("timeline"))
+        F.array(F.struct(F.when(F.col("o_orderpriority") == "2-HIGH", 96000).otherwise(0).cast("bigint").alias("startFrame"), F.lit(4800).cast("bigint").alias("frames"))).alias("inputGaps"), tl.alias("timeline"))
     meas = F.struct(
         F.lit(48000).alias("sample_rate"), frames.alias("frames"), elapsed.alias("duration_s"), F.array(F.col("o_totalprice") / 1e6, F.lit(0.0)).alias("sample_peak_lr"),
         F.struct(F.col("o_totalprice").alias("mid_power"), F.col("o_totalprice").alias("side_power")).alias("full_file"), F.lit(5).alias("long_windows"))
@@ -279,8 +279,8 @@ def captures(spark, root):
 
 QC_SQL = """WITH ln AS (SELECT l_orderkey, count(*) AS n, bool_or(l_returnflag = 'R' AND l_discount >= 0.1) AS ad, max(CASE WHEN l_tax >= 0.08 THEN 0.6 ELSE 0.5 END) - min(CASE WHEN l_tax >= 0.08 THEN 0.6 ELSE 0.5 END) AS dv,
    count(*) FILTER (l_linenumber * 8 > 10) AS clocks, count(*) FILTER (l_linenumber * 8 > 10 AND l_quantity >= 49) AS drift FROM lineitem GROUP BY 1),
-a AS (SELECT o_orderkey, o_custkey, coalesce(clocks, 0) AS clocks, list_filter([CASE WHEN o_orderstatus = 'P' THEN 'capture_not_candidate' END, CASE WHEN o_orderkey % 17 = 0 THEN 'source_url_mismatch' END,
-   CASE WHEN 80 + o_totalprice / 1000 < 90 THEN 'invalid_content_duration' END, CASE WHEN o_orderkey % 23 = 0 THEN 'missing_interior_audio_input' END, CASE WHEN n IS NULL THEN 'missing_timeline' END, CASE WHEN ad THEN 'advertising_contamination' END,
+a AS (SELECT o_orderkey, o_custkey, coalesce(clocks, 0) AS clocks, list_filter([CASE WHEN o_orderstatus = 'P' THEN 'capture_not_candidate' END, CASE WHEN o_totalprice > 450000 THEN 'source_url_mismatch' END,
+   CASE WHEN 80 + o_totalprice / 1000 < 90 THEN 'invalid_content_duration' END, CASE WHEN o_orderpriority = '2-HIGH' THEN 'missing_interior_audio_input' END, CASE WHEN n IS NULL THEN 'missing_timeline' END, CASE WHEN ad THEN 'advertising_contamination' END,
    CASE WHEN n IS NULL THEN 'missing_player_gain' END, CASE WHEN dv > 0 THEN 'player_gain_changed' END, CASE WHEN drift > 0 THEN 'sample_clock_drift' END, CASE WHEN coalesce(clocks, 0) = 0 THEN 'no_clock_evidence' END,
    CASE WHEN o_orderpriority = '1-URGENT' THEN 'dynamic_platform_gain_unverified' END], lambda v: v IS NOT NULL) AS errors
   FROM orders LEFT JOIN ln ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey)"""
