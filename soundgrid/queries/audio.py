@@ -7,7 +7,7 @@ from soundgrid.functions import scalar
 from soundgrid.operators import cells, folds, loudness, pcm, spectra, windows
 from soundgrid.plans import gain, jobs
 from soundgrid.queries.levels import K, TIMELINE_SQL
-from soundgrid.queries.motion import ev_gains, ev_hops
+from soundgrid.queries.motion import GAIN_SQL, ev_gains, ev_hops
 from soundgrid.queries.registry import query, rnd
 from soundgrid.queries.spans import PIECES_SQL, TRUE_PEAK_SQL, ev_pieces, piece_gain, tap_values
 from soundgrid.session import materialise
@@ -124,7 +124,7 @@ def batch_plan(spark, root):
 
 # --- sample-level kernels: checked against numpy in the tests ---------------------------------
 
-@query("E6 F9 M1 N3")
+@query("E6 F9 M1 N1 N3")
 def output_report_weighted(spark, root):
     """The report with K-weighted loudness from the sample-level filter."""
     return jobs.output_report(event_samples(spark, root), K, HOP, RATE)
@@ -168,24 +168,46 @@ def band_peaks(spark, root):
     return pcm.band_peaks(ev_frames(spark, root), K, 1024, 4, RATE, (120.0, 1000.0, 6000.0))
 
 
-@query("E19 J11")
+@query("E19 J11", "WITH RECURSIVE" + EV_SQL + """,
+q AS MATERIALIZED (SELECT track_id, frame, max(greatest(abs(l), abs(r))) AS a, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS i FROM ev GROUP BY 1, 2),
+f AS (SELECT track_id, i, frame, a * (1 - exp(-1 / (3600 * 0.06::DOUBLE))) AS env FROM q WHERE i = 1
+  UNION ALL SELECT q.track_id, q.i, q.frame, q.a + CASE WHEN q.a > f.env * pow(exp(-1 / (3600 * 0.3::DOUBLE)), q.frame - f.frame - 1) THEN exp(-1 / (3600 * 0.06::DOUBLE)) ELSE exp(-1 / (3600 * 0.3::DOUBLE)) END * (f.env * pow(exp(-1 / (3600 * 0.3::DOUBLE)), q.frame - f.frame - 1) - q.a)
+  FROM f JOIN q ON q.track_id = f.track_id AND q.i = f.i + 1),
+g AS (SELECT track_id, max(env) AS sustain FROM f GROUP BY 1), p AS (SELECT track_id, max(a) AS peak FROM q GROUP BY 1),
+h AS (SELECT track_id, peak, sustain, greatest(0, 20 * log10(peak / sustain)) AS hr FROM p JOIN g USING (track_id))
+SELECT track_id, peak, R9(sustain) AS sustain, R6(hr) AS headroom_db, R6(peak * pow(10, -least(hr, 2) / 20)) AS ceiling FROM h""")
 def peak_headroom(spark, root):
     """Headroom of the peaks over the sustained level, and the ceiling for -2 dB."""
     s = event_samples(spark, root).select("track_id", "frame", F.greatest(F.abs("l"), F.abs("r")).alias("a"))
     d = folds.headroom(s, K, "frame", "a", RATE)
-    return d.withColumn("ceiling", gain.peak_ceiling(F.col("peak"), F.col("headroom_db"), -2.0))
+    ceiling = gain.peak_ceiling(F.col("peak"), F.col("headroom_db"), -2.0)
+    return d.select("track_id", "peak", rnd("sustain", 9).alias("sustain"), rnd("headroom_db").alias("headroom_db"), rnd(ceiling).alias("ceiling"))
 
 
-@query("F8 F10")
+@query("F8 F10", "WITH RECURSIVE" + GAIN_SQL + """,
+h AS MATERIALIZED (SELECT track_id, hop, min(gain) OVER (PARTITION BY track_id ORDER BY hop ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS t FROM gn),
+f AS (SELECT track_id, hop, t + CASE WHEN t < 1 THEN exp(-1 / (10 * 0.05::DOUBLE)) ELSE exp(-1 / (10 * 0.5::DOUBLE)) END * (1 - t) AS env FROM h WHERE hop = 0
+  UNION ALL SELECT h.track_id, h.hop, h.t + CASE WHEN h.t < f.env THEN exp(-1 / (10 * 0.05::DOUBLE)) ELSE exp(-1 / (10 * 0.5::DOUBLE)) END * (f.env - h.t) FROM f JOIN h ON h.track_id = f.track_id AND h.hop = f.hop + 1)
+SELECT track_id, hop, R9(env) AS smooth FROM f""")
 def gain_follower(spark, root):
     """Look-ahead minimum, then attack/release smoothing, over 100 ms gains."""
     g = windows.forward_min(ev_gains(spark, root), K, "hop", "gain", 2, "held")
-    return folds.smooth_gain(g, K, "hop", "held", 10.0, 0.05, 0.5, "smooth")
-
-
-@query("F12")
+    return folds.smooth_gain(g, K, "hop", "held", 10.0, 0.05, 0.5, "smooth").withColumn("smooth", rnd("smooth", 9))
+
+
+@query("F12", "WITH RECURSIVE" + GAIN_SQL + """,
+n AS (SELECT track_id, max(hop) + 1 AS n FROM gn GROUP BY 1),
+x AS (SELECT track_id, n, unnest(range(-8, n + 4)) AS i FROM n),
+d AS (SELECT x.track_id, x.n, i, coalesce(gain, 1) AS g FROM x LEFT JOIN gn ON gn.track_id = x.track_id AND gn.hop = i),
+h AS MATERIALIZED (SELECT track_id, n, i, min(g) OVER (PARTITION BY track_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS held FROM d),
+f AS (SELECT track_id, n, i, 1.0::DOUBLE AS env FROM h WHERE i = -8
+  UNION ALL SELECT h.track_id, h.n, h.i, least(h.held, f.env + (1 - exp(-1 / 10.0::DOUBLE)) * (h.held - f.env)) FROM f JOIN h ON h.track_id = f.track_id AND h.i = f.i + 1),
+a AS (SELECT track_id, n, i, avg(env) OVER (PARTITION BY track_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS v FROM f),
+b AS (SELECT track_id, n, i - 4 AS hop, avg(v) OVER (PARTITION BY track_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS v FROM a)
+SELECT b.track_id, b.hop, R9(greatest(0, least(gain, least(1, v)))) AS gain FROM b JOIN gn ON gn.track_id = b.track_id AND gn.hop = b.hop""")
 def limiter_envelope(spark, root):
-    return folds.limiter(ev_hops(spark, root), K, "hop", "peak", 0.5, attack=4, release=10, out="gain")
+    """Look-ahead limiter gain for a ceiling of one half."""
+    return folds.limiter(ev_hops(spark, root), K, "hop", "peak", 0.5, attack=4, release=10, out="gain").withColumn("gain", rnd("gain", 9))
 
 
 @query("B17 C4 F2 F3 F5 J7")

@@ -126,7 +126,7 @@ def mutual_best(spark, root):
     return similarity.mutual_best(p, K, "score", 0.02).withColumn("margin", rnd("margin"))
 
 
-@query("J1 J2 J3 J4 M5")
+@query("I4 J1 J2 J3 J4 J5 M5")
 def structure_report(spark, root):
     """Whole chain per track: boundaries, segments, protection, similarity, groups, targets."""
     from soundgrid.plans.leveler import report

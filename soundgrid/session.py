@@ -34,6 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         named = tempfile.mkdtemp(prefix="spark-soundgrid-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
