@@ -92,6 +92,8 @@ def durations(onsets: DataFrame, novelty: DataFrame, keys: list[str], limit: int
 # Fixed values of the tempo estimate: seconds and beats per minute.
 BIN_SEC, MAX_LAG_SEC, KERNEL_SEC = 0.005, 2.05, 0.025
 MIN_BPM, MAX_BPM, BPM_STEP = 60.0, 200.0, 0.25
+RELIABLE = 0.25
+GRID = int((MAX_BPM - MIN_BPM) / BPM_STEP) + 1
 # Weights of the beat period and of its double, half and one and a half.
 PERIOD_WEIGHTS = ((1.0, 1.0), (2.0, 0.5), (0.5, 0.1), (1.5, 0.1))
 
@@ -118,21 +120,18 @@ def tempo_scores(hist: DataFrame, keys: list[str]) -> DataFrame:
     whole grid.
     """
     lag = F.col("bin") * BIN_SEC
-    parts = []
-    for mult, weight in PERIOD_WEIGHTS:
-        # period * mult within the kernel around the lag  ->  a range of tempi
-        slow = F.greatest(F.lit(MIN_BPM), 60 * mult / (lag + KERNEL_SEC))
-        fast = F.least(F.lit(MAX_BPM), 60 * mult / F.greatest(F.lit(1e-9), lag - KERNEL_SEC))
-        i0, i1 = F.floor((slow - MIN_BPM) / BPM_STEP), F.ceil((fast - MIN_BPM) / BPM_STEP)
-        top = int((MAX_BPM - MIN_BPM) / BPM_STEP)
-        i0, i1 = F.greatest(F.lit(0).cast("bigint"), i0), F.least(F.lit(top).cast("bigint"), i1)
-        cand = hist.where((F.col("bin") >= 1) & (slow <= fast)).withColumn("cand", F.explode(F.sequence(i0, F.greatest(i0, i1))))
-        period = mult * 60 / (MIN_BPM + F.col("cand") * BPM_STEP)
-        w = F.greatest(F.lit(0.0), 1 - F.abs(lag - period) / KERNEL_SEC)
-        parts.append(cand.where(period <= MAX_LAG_SEC).select(*keys, "cand", (weight * F.col("salience") * w).alias("s")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    top = F.lit(GRID - 1).cast("bigint")
+    d = hist.where("bin >= 1").select(*keys, "bin", "salience", F.explode(F.array(*[F.struct(F.lit(m).alias("k"), F.lit(w).alias("w")) for m, w in PERIOD_WEIGHTS])).alias("_p"))
+    k = F.col("_p.k")
+    # period * multiple within the kernel around the lag  ->  a range of tempi
+    slow = F.greatest(F.lit(MIN_BPM), 60 * k / (lag + KERNEL_SEC))
+    fast = F.least(F.lit(MAX_BPM), 60 * k / F.greatest(F.lit(1e-9), lag - KERNEL_SEC))
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((slow - MIN_BPM) / BPM_STEP))
+    last = F.least(top, F.ceil((fast - MIN_BPM) / BPM_STEP))
+    d = d.where(slow <= fast).withColumn("cand", F.explode(F.sequence(first, F.greatest(first, last))))
+    period = F.col("_p.k") * 60 / (MIN_BPM + F.col("cand") * BPM_STEP)
+    w = F.greatest(F.lit(0.0), 1 - F.abs(lag - period) / KERNEL_SEC)
+    u = d.where(period <= MAX_LAG_SEC).select(*keys, "cand", (F.col("_p.w") * F.col("salience") * w).alias("s"))
     bpm = MIN_BPM + F.col("cand") * BPM_STEP
     octave = F.log(bpm / 120.0) / math.log(2.0)
     return (
@@ -142,8 +141,6 @@ def tempo_scores(hist: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-RELIABLE = 0.25
-GRID = int((MAX_BPM - MIN_BPM) / BPM_STEP) + 1
 
 
 def _support(bpm: Column) -> Column:

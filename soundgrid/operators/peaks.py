@@ -31,7 +31,8 @@ def true_peak(samples: DataFrame, keys: list[str], frame: str, channels: list[st
         *[F.struct(F.lit(t).alias("t"), *[F.lit(ph[t]).alias(f"p{i}") for i, ph in enumerate(TRUE_PEAK_PHASES)]) for t in range(TAPS)]
     )
     merged = samples.groupBy(*keys, frame).agg(*[F.sum(c).alias(c) for c in channels])
-    last = samples.groupBy(*keys).agg(F.max(frame).alias("_last"))
+    whole = merged.groupBy(*keys).agg(
+        F.max(frame).alias("_last"), F.max(F.greatest(*[F.abs(F.col(c)) for c in channels])).alias("sample_peak"))
     outs = {f"_{c}{i}": F.sum(F.col(c) * F.col(f"_tap.p{i}")) for c in channels for i in range(4)}
     y = (
         merged.withColumn("_tap", F.explode(taps))
@@ -39,10 +40,9 @@ def true_peak(samples: DataFrame, keys: list[str], frame: str, channels: list[st
         .agg(*[v.alias(k) for k, v in outs.items()])
     )
     best = F.greatest(*[F.abs(F.col(k)) for k in outs])
-    inter = y.join(last, keys).where(F.col("_at") <= F.col("_last") + TAIL_FRAMES).groupBy(*keys).agg(F.max(best).alias("_inter"))
-    plain = merged.groupBy(*keys).agg(F.max(F.greatest(*[F.abs(F.col(c)) for c in channels])).alias("sample_peak"))
-    return plain.join(inter, keys, "left").select(
-        *keys, "sample_peak", F.greatest("sample_peak", F.coalesce("_inter", F.lit(0.0))).alias("true_peak"))
+    inter = y.select(*keys, "_at", best.alias("_y")).join(whole, keys).where(F.col("_at") <= F.col("_last") + TAIL_FRAMES)
+    return inter.groupBy(*keys, "sample_peak").agg(F.max("_y").alias("_inter")).select(
+        *keys, "sample_peak", F.greatest("sample_peak", "_inter").alias("true_peak"))
 
 
 def hard_clip_ceiling(peak: Column, reduction_db: Column) -> Column:

@@ -6,8 +6,9 @@ sum. They serve short windows; long PCM windows use the FFT kernel.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,27 +46,39 @@ def band_of(hz: Column, edges: list[float]) -> Column:
     return b
 
 
-def grid(spark: SparkSession, rate: float, fft_size: int, low: float, high: float, size: int) -> DataFrame:
-    """Logarithmic frequency grid with the range of bins each point averages."""
-    span = math.log10(high / low)
-    hz = low * F.pow(F.lit(10.0), span * F.col("id") / (size - 1))
-    top = F.lit(fft_size // 2).cast("bigint")
-    bin_hz = rate / fft_size
-    lo = F.greatest(F.lit(1).cast("bigint"), F.least(top, F.floor(F.col("hz") * 2 ** (-1 / 24) / bin_hz)))
-    hi = F.greatest(F.col("lo"), F.least(top, F.ceil(F.col("hz") * 2 ** (1 / 24) / bin_hz)))
-    return spark.range(size).select(F.col("id").alias("point"), hz.alias("hz")).withColumn("lo", lo).withColumn("hi", hi).withColumn(
-        "audible", F.col("hz") <= rate / 2)
+@dataclass(frozen=True)
+class Grid:
+    """Logarithmic frequency grid; each point averages the bins a twelfth of an octave wide around it."""
 
+    rate: float
+    fft_size: int
+    low: float
+    high: float
+    size: int
 
-def project(spectrum: DataFrame, keys: list[str], points: DataFrame, bin_col: str = "bin", power: str = "power", radius: int = 6) -> DataFrame:
+    def columns(self, point: str) -> dict[str, Column]:
+        """hz, lo, hi and audible of a point number, as expressions."""
+        hz = self.low * F.pow(F.lit(10.0), math.log10(self.high / self.low) * F.col(point) / (self.size - 1))
+        top = F.lit(self.fft_size // 2).cast("bigint")
+        step = self.rate / self.fft_size
+        lo = F.greatest(F.lit(1).cast("bigint"), F.least(top, F.floor(hz * 2 ** (-1 / 24) / step)))
+        hi = F.greatest(lo, F.least(top, F.ceil(hz * 2 ** (1 / 24) / step)))
+        return {"hz": hz, "lo": lo, "hi": hi, "audible": hz <= self.rate / 2}
+
+    def points(self) -> Column:
+        return F.sequence(F.lit(0).cast("bigint"), F.lit(self.size - 1).cast("bigint"))
+
+
+def project(spectrum: DataFrame, keys: list[str], grid: Grid, bin_col: str = "bin", power: str = "power", radius: int = 6) -> DataFrame:
     """Mean bin power around every grid point in dB, smoothed over +-6 points.
 
     The grid has a fixed number of points, so its bin table is broadcast.
     """
-    p = points.withColumn("_bin", F.explode(F.sequence("lo", "hi")))
-    tracks = spectrum.select(*keys).distinct()
+    table = spectrum.sparkSession.range(grid.size).withColumnRenamed("id", "point")
+    p = table.withColumns(grid.columns("point")).select("point", F.explode(F.sequence("lo", "hi")).alias("_bin"))
     hits = spectrum.join(F.broadcast(p), F.col(bin_col) == F.col("_bin")).groupBy(*keys, "point").agg(F.sum(power).alias("_s"))
-    d = tracks.join(F.broadcast(points)).join(hits, [*keys, "point"], "left")
+    tracks = spectrum.select(*keys).distinct().withColumn("point", F.explode(grid.points())).withColumns(grid.columns("point"))
+    d = tracks.join(hits, [*keys, "point"], "left")
     mean = F.coalesce("_s", F.lit(0.0)) / (F.col("hi") - F.col("lo") + 1)
     d = d.withColumn("raw_db", F.when(F.col("audible"), 10 * F.log10(F.greatest(mean, F.lit(1e-12)))).otherwise(F.lit(-120.0)))
     w = Window.partitionBy(*keys).orderBy("point").rowsBetween(-radius, radius)  # fixed number of grid points

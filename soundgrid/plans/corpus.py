@@ -71,11 +71,9 @@ def genre_profile(recordings: DataFrame, group: str, share: str) -> DataFrame:
 def difference_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of each table, and rows that only one of them has."""
 
-    def n(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count("*").alias(name))
-
-    parts = [n(a, "rows_a"), n(b, "rows_b"), n(a.exceptAll(b), "only_a"), n(b.exceptAll(a), "only_b")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(F.broadcast(p))  # one row each
-    return out
+    parts = {"rows_a": a, "rows_b": b, "only_a": a.exceptAll(b), "only_b": b.exceptAll(a)}
+    counts = None
+    for name, df in parts.items():
+        c = df.agg(F.count("*").alias("n")).withColumn("part", F.lit(name))
+        counts = c if counts is None else counts.unionByName(c)
+    return counts.agg(*[F.max(F.when(F.col("part") == name, F.col("n"))).alias(name) for name in parts])

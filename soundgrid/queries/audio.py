@@ -134,7 +134,7 @@ def output_report_weighted(spark, root):
 def long_term_spectrum(spark, root):
     ch = pcm.chunks(event_samples(spark, root), K, 256)
     s = pcm.long_term_spectrum(pcm.stft_frames(ch, K, 4), K, 256, 4)
-    return spectra.project(s, K, spectra.grid(spark, float(RATE), 1024, 20.0, 1800.0, 128))
+    return spectra.project(s, K, spectra.Grid(float(RATE), 1024, 20.0, 1800.0, 128))
 
 
 def ev_frames(spark, root):

@@ -9,6 +9,7 @@ from soundgrid.functions import scalar
 from soundgrid.operators import cells, onsets, spectra
 from soundgrid.queries.levels import K
 from soundgrid.queries.registry import query, rnd
+from soundgrid.session import materialise
 from soundgrid.sources.views import EV_SQL, event_samples, table
 
 N, WHOP = 64, 32
@@ -58,7 +59,7 @@ sm AS (SELECT track_id, point, hz, raw_db, CASE WHEN ok THEN avg(raw_db) FILTER
 
 def ev_grid(spark, root):
     pooled = ev_spectra(spark, root).groupBy("track_id", "bin").agg(F.avg("power").alias("power"))
-    return spectra.project(pooled, K, spectra.grid(spark, FS, N, 100.0, 5000.0, 64))
+    return spectra.project(pooled, K, spectra.Grid(FS, N, 100.0, 5000.0, 64))
 
 
 @query("B12 B14 E8", "WITH" + GRID_SQL + """
@@ -180,7 +181,7 @@ hs AS (SELECT track_id, bin, sum(s) AS salience, count(*) AS pairs FROM pr GROUP
 
 def ev_onset_times(spark, root):
     on, _ = ev_onsets(spark, root)
-    return on.select("track_id", (F.col("cell") / CELL_RATE).alias("t"), "strength")
+    return materialise(on.select("track_id", (F.col("cell") / CELL_RATE).alias("t"), "strength"))
 
 
 @query("G9", "WITH RECURSIVE" + PAIR_SQL + " SELECT track_id, bin, R6(salience) AS salience, pairs FROM hs")
