@@ -234,3 +234,42 @@ def test_report_ignores_gain_and_swap(spark):
     r = {v.track_id: v for v in jobs.output_report(d, K, 100, 1000).collect()}
     assert abs(r[1].integrated - r[2].integrated) < 1e-9 and abs(r[1].integrated - r[3].integrated - 20 * np.log10(2)) < 1e-9
     assert abs(r[1].correlation - r[3].correlation) < 1e-12 and abs(r[1].lra - r[3].lra) < 1e-9
+
+
+def test_tone_correction_matches_a_loop(spark):
+    rng = np.random.default_rng(6)
+    hz = 20 * 2 ** (np.arange(90) / 12)
+    db = rng.uniform(-70, 0, (40, 90))
+    d = spark.createDataFrame(pd.DataFrame({"track_id": 1, "frame": np.arange(40), "db": list(db), "hz": [hz] * 40}))
+    got = gain.tone_correction(d, K, "frame", -3.0, 10.0).toPandas().sort_values("frame")
+    aim = -3 * np.log2(hz / 1000)
+    edge = np.minimum(np.clip((hz - 28) / 27, 0, 1), np.clip((18000 - hz) / 4000, 0, 1))
+    a, r, g, want = np.exp(-1 / 0.2), np.exp(-1 / 2.0), None, []
+    for row in db:
+        raw = (aim - aim.mean()) - (row - row.mean())
+        raw = np.where(raw > 0, raw * np.clip((row - row.mean() + 30) / 20, 0, 1), raw) * 0.3 * edge
+        g = raw if g is None else np.array([x + (a if abs(x) > abs(y) else r) * (y - x) for x, y in zip(raw, g)])
+        want.append(np.clip(g, -9, 6))
+    assert np.allclose(np.stack(got.gain_db), want, atol=1e-12)
+
+
+def test_side_plan_does_not_depend_on_blocks(spark, monkeypatch):
+    from soundgrid.operators import blocks
+
+    rng = np.random.default_rng(7)
+    n = 1500
+    level = np.repeat(rng.uniform(0.05, 1, 15), 100)
+    pdf = pd.DataFrame({"track_id": 1, "cell": np.arange(n), "m": level * rng.uniform(0.5, 1, n), "s": rng.uniform(0.01, 0.4, n) * level})
+    d = spark.createDataFrame(pdf)
+    one = gain.side_plan(d, K, 0.1).toPandas().sort_values("cell")
+    plain = gain.halo
+    monkeypatch.setattr(gain, "halo", lambda df, keys, pos, b, a: blocks.Halo(*_blocked(df, keys, pos, b, a, 97)))
+    many = gain.side_plan(d, K, 0.1).toPandas().sort_values("cell")
+    assert plain is not gain.halo and len(many) == n
+    assert np.allclose(one.level, many.level) and np.allclose(one.guard, many.guard)
+    assert (np.diff(one.guard) <= 2 * gain.PER_DB + 1e-9).all() and (np.diff(one.guard) >= -6 * gain.PER_DB - 1e-9).all()
+
+
+def _blocked(df, keys, pos, before, after, size):
+    p = F.col(pos)
+    return df.withColumn("_blk", F.explode(F.sequence(F.floor((p - after) / size), F.floor((p + before) / size)))), list(keys), pos, size
