@@ -1,6 +1,7 @@
 """Session builder and materialised intermediates."""
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -30,15 +31,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the one the cluster names.
 
-    Only a session without one (tests) gets a scratch folder of its own.
+    Only a local session without one (tests) gets a scratch folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        named = tempfile.mkdtemp(prefix="spark-soundgrid-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+    return _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-soundgrid-")
 
 
 def materialise(df: DataFrame) -> DataFrame:
