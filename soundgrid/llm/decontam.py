@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from soundgrid.llm.texts import WORD_BYTES, append
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word where it stands in a text, before lowering.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of item texts in one automaton; more items than that are scanned for in several passes.
 BLOCK_BYTES = 16 << 20
 
