@@ -45,6 +45,14 @@ def words(text: str | None) -> list[str]:
     return [w.decode("utf-8", "replace") for w in (text or "").encode("utf-8", "replace").translate(WORD_BYTES).split()]
 
 
+def sketch(text: str | None) -> int:
+    """The least hash of two words in a row: mostly the same for near-equal texts."""
+    from xxhash import xxh64_intdigest
+
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    return min((xxh64_intdigest(a + b" " + b) for a, b in zip(w, w[1:] or [b""], strict=False)), default=0) >> 1
+
+
 class Featurizer:
     def __init__(self, strong: frozenset, mild: frozenset):
         self.strong, self.mild, self.codes = strong, mild, {}
@@ -98,9 +106,8 @@ def _sample(docs: DataFrame, labels: DataFrame, learn, max_rows: int, doc_id: st
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(learn(F.col("doc_id"))).orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    pairs = F.split(F.lower("text"), r"\s+")
-    sketch = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(pairs) - 1, F.lit(1))), lambda i: F.xxhash64(F.try_element_at(pairs, i), F.try_element_at(pairs, i + 1))))
-    rows = rows.withColumn("sketch", sketch).groupBy("sketch", "toxic").agg(F.min_by("text", "doc_id").alias("text"))
+    rows = append(rows, lambda: lambda texts: [[sketch(t) for t in texts]], [T.StructField("sketch", T.LongType())])
+    rows = rows.groupBy("sketch", "toxic").agg(F.min_by("text", "doc_id").alias("text"))
     return materialise(rows.select(F.pmod(F.col("sketch"), F.lit(10)).alias("tenth"), "toxic", "text").select(F.when(F.col("tenth") < 4, 0).when(F.col("tenth") < 8, 1).otherwise(2).alias("part"), "toxic", "text"))
 
 
