@@ -29,7 +29,7 @@ def stream_loudness(spark, root):
 
 @query("K2", "WITH" + TRUE_PEAK_SQL + " SELECT track_id, lastf + 1 AS frames, R9(true_peak) AS true_peak FROM tp JOIN la USING (track_id)")
 def stream_true_peak(spark, root):
-    d = streams.drain(streams.true_peak(stream_samples(spark, root).select("track_id", "frame", "l", "r"), "track_id"), K)
+    d = streams.true_peak(stream_samples(spark, root).select("track_id", "frame", "l", "r"), "track_id")
     return d.withColumn("true_peak", rnd("true_peak", 9))
 
 

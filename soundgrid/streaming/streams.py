@@ -16,17 +16,15 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from soundgrid.functions import scalar
-from soundgrid.operators import kernels
-from soundgrid.operators.peaks import TAIL_FRAMES, TAPS, TRUE_PEAK_PHASES
+from soundgrid.operators import kernels, peaks
 from soundgrid.session import shared_folder
 
 
 def read_table(spark: SparkSession, root: str, name: str, per_trigger: int = 64) -> DataFrame:
-    """A table as a stream of its files, with the schema of the table and no inference."""
+    """A table (one file, or a folder of files) as a stream of its files, with the schema of the table and no inference."""
     schema = spark.read.parquet(f"{root}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").option("maxFilesPerTrigger", per_trigger)
-        .option("recursiveFileLookup", "true").parquet(root))
+    exactly = f"[{name[0]}]{name[1:]}.parquet"  # as a pattern, a single file is accepted too
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{root}/{exactly}")
 
 
 def drain(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
@@ -43,6 +41,9 @@ def drain(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
+    late = sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
+    if late:
+        raise ValueError(f"{late} rows came later than the watermark allows; give a longer delay, or none for a replay")
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/rows")
     if not keys:
         return rows.drop("batch")
@@ -56,10 +57,16 @@ def at_frame(frame: Column | str, rate: int) -> Column:
     return F.timestamp_micros((c * (1_000_000 // rate)).cast("bigint"))
 
 
-def sliding_sums(samples: DataFrame, keys: list[str], rate: int, size: int, hop: int, sums: dict[str, Column], late: str = "1 second") -> DataFrame:
-    """Sums of every window of `size` frames each `hop` frames, by event time."""
+def sliding_sums(samples: DataFrame, keys: list[str], rate: int, size: int, hop: int, sums: dict[str, Column], late: str | None = None) -> DataFrame:
+    """Sums of every window of `size` frames each `hop` frames, by event time.
+
+    Without `late` every window stays open, so a replay may bring its files in any
+    order. A live source names the disorder it may have; rows beyond that make
+    drain() fail instead of being lost.
+    """
     us = 1_000_000 // rate
-    s = samples.withColumn("_at", at_frame("frame", rate)).withWatermark("_at", late)
+    s = samples.withColumn("_at", at_frame("frame", rate))
+    s = s.withWatermark("_at", late) if late else s
     w = F.window("_at", f"{size * us} microseconds", f"{hop * us} microseconds")
     g = s.groupBy(*keys, w.alias("_w")).agg(*[c.alias(n) for n, c in sums.items()])
     start = F.unix_micros("_w.start") / us
@@ -89,43 +96,30 @@ def windows_with_tail(sums: DataFrame, ends: DataFrame, keys: list[str], size: i
         (F.col("win") >= F.col("_full")).alias("partial"), *cols)
 
 
-def true_peak(samples: DataFrame, key: str) -> DataFrame:
-    """Running true peak per track; the state is the last eleven frames and the peak so far.
+def frame_sums(samples: DataFrame, key: str) -> DataFrame:
+    """Left and right per track and frame so far; frames may arrive in any order and in parts."""
+    return samples.groupBy(key, "frame").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
 
-    The value includes the six-frame tail that would follow if the track ended now.
-    Frames of one track arrive in order.
-    """
-    out = f"{key} bigint, frames bigint, true_peak double"
-    state = "pos array<bigint>, l array<double>, r array<double>, peak double"
-    taps = np.array(TRUE_PEAK_PHASES)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        pos, l, r, peak = st.get if st.exists else ([], [], [], 0.0)
-        pdf = pd.concat(list(batches)).groupby("frame", as_index=False)[["l", "r"]].sum().sort_values("frame")
-        f = np.concatenate([np.asarray(pos, dtype=np.int64), pdf["frame"].to_numpy()])
-        x = np.stack([np.concatenate([l, pdf["l"]]), np.concatenate([r, pdf["r"]])], axis=1)
-        last = int(f[-1])
-        # Outputs near each sample: frame + tap; later samples of the block add to the same output.
-        where = (f[:, None] + np.arange(TAPS)[None, :]).ravel()
-        at, inv = np.unique(where, return_inverse=True)
-        y = np.zeros((len(at), 2, 4))
-        np.add.at(y, inv, (x[:, None, :, None] * taps.T[None, :, None, :]).reshape(-1, 2, 4))
-        size = np.abs(y).reshape(len(at), -1).max(1)
-        peak = max(peak, float(np.abs(x).max()), float(size[at <= last].max(initial=0.0)))
-        tail = float(size[(at > last) & (at <= last + TAIL_FRAMES)].max(initial=0.0))
-        keep = f > last - (TAPS - 1)
-        st.update(([int(v) for v in f[keep]], [float(v) for v in x[keep, 0]], [float(v) for v in x[keep, 1]], peak))
-        yield pd.DataFrame({key: [k[0]], "frames": [last + 1], "true_peak": [max(peak, tail)]})
+def true_peak(samples: DataFrame, key: str) -> DataFrame:
+    """True peak and length per track, from a stream in any order.
 
-    return samples.groupBy(key).applyInPandasWithState(step, out, state, "update", GroupStateTimeout.NoTimeout)
+    The state is one row per sounding frame; the interpolation runs on the drained
+    frames and includes the six-frame tail that would follow if the track ended now.
+    """
+    frames = drain(frame_sums(samples, key), [key, "frame"])
+    return peaks.true_peak(frames, [key], "frame", ["l", "r"]).join(frames.groupBy(key).agg((F.max("frame") + 1).alias("frames")), key).select(key, "frames", "true_peak")
 
 
-def live_spectrum(samples: DataFrame, key: str, rate: int, fft: int, hz: list[float], rise: float = 0.6, fall: float = 0.12) -> DataFrame:
+def live_spectrum(samples: DataFrame, key: str, rate: int, fft: int, hz: list[float], rise: float = 0.6, fall: float = 0.12, hop: int | None = None) -> DataFrame:
     """Display spectrum per track: fast rise, slow fall, a peak line that decays.
 
-    One tick per micro-batch once a full buffer has been seen. State: the samples of
-    the last buffer, the curve and its peak line.
+    A tick each `hop` frames (half a buffer) once a full buffer has passed, so ticks
+    do not depend on the triggers. Frames of a track arrive in order over the
+    triggers; a frame before the last trigger's makes the query fail. State: the
+    samples of the last buffer and hop, the curve and its peak line.
     """
+    hop = hop or fft // 2
     out = f"{key} bigint, ticks int, top_db double, curve array<double>"
     state = "first bigint, pos array<bigint>, l array<double>, r array<double>, curve array<double>, top double, ticks int"
     win = kernels.hann(fft)
@@ -135,24 +129,27 @@ def live_spectrum(samples: DataFrame, key: str, rate: int, fft: int, hz: list[fl
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
         first, pos, l, r, curve, top, ticks = st.get if st.exists else (0, [], [], [], [-120.0] * len(grid), -40.0, 0)
-        pdf = pd.concat(list(batches))
-        f = np.concatenate([np.asarray(pos, dtype=np.int64), pdf["frame"].to_numpy()])
+        pdf = pd.concat(list(batches)).sort_values("frame", kind="stable")
+        new = pdf["frame"].to_numpy()
+        if pos and new[0] < pos[-1]:
+            raise ValueError(f"frame {new[0]} of track {k[0]} arrived after frame {pos[-1]}")
+        f = np.concatenate([np.asarray(pos, dtype=np.int64), new])
         x = np.stack([np.concatenate([l, pdf["l"]]), np.concatenate([r, pdf["r"]])])
-        last = int(f.max())
-        keep = f > last - fft
-        f, x = f[keep], x[:, keep]
-        if last - first + 1 >= fft:
-            buf = np.zeros((2, fft))
+        due = first + fft - 1 + ticks * hop
+        while due < f[-1]:
+            buf, inside = np.zeros((2, fft)), (f > due - fft) & (f <= due)
             for c in range(2):
-                np.add.at(buf[c], f - (last - fft + 1), x[c])
+                np.add.at(buf[c], f[inside] - (due - fft + 1), x[c, inside])
             p = (np.abs(np.fft.rfft(buf * win)) ** 2).mean(0)
             sums = np.concatenate([[0.0], np.cumsum(p)])
             raw = 10 * np.log10(np.maximum((sums[hi + 1] - sums[lo]) / (hi - lo + 1), 1e-12))
-            n = len(raw)
-            goal = np.array([raw[max(0, i - 6):i + 7].mean() for i in range(n)])
+            goal = np.array([raw[max(0, i - 6):i + 7].mean() for i in range(len(raw))])
             c = np.asarray(curve)
             c = c + (goal - c) * np.where(goal > c, rise, fall)
-            curve, top, ticks = [float(v) for v in c], max(float(c.max()), top - 0.05), ticks + 1
+            curve, top, ticks, due = [float(v) for v in c], max(float(c.max()), top - 0.05), ticks + 1, due + hop
+        keep = f > due - fft
+        keep[-1] = True
+        f, x = f[keep], x[:, keep]
         st.update((first, [int(v) for v in f], [float(v) for v in x[0]], [float(v) for v in x[1]], list(curve), top, ticks))
         yield pd.DataFrame({key: [k[0]], "ticks": [ticks], "top_db": [top], "curve": [list(curve)]})
 

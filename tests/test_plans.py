@@ -3,6 +3,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from soundgrid.operators import kernels, structure
@@ -157,33 +158,43 @@ def test_registry_covers_names_and_columns(spark):
     assert entry.entry(spark).columns == ["track_id", "n_blocks", "n_absolute", "n_selected", "lufs"]
 
 
-def test_streams_equal_batch_over_many_files(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 4, 80])
+def test_streams_equal_batch_over_many_files(spark, tmp_path, files):
+    """The registered queries, with their own settings, over a table folder of shuffled files."""
     from soundgrid.operators import loudness, peaks
     from soundgrid.queries import live
-    from soundgrid.sources.views import HOP, RATE, event_samples
+    from soundgrid.sources.views import HOP, event_samples
     from soundgrid.streaming import streams
 
     root = "/root/testdata/sf0.001"
     e = spark.read.parquet(f"{root}/events.parquet")
-    cut = e.select(F.percentile("event_id", F.array(F.lit(0.3), F.lit(0.7)))).collect()[0][0]
-    for i, (lo, hi) in enumerate(zip([-1, *cut], [*cut, 10**12])):
-        e.where((F.col("event_id") > lo) & (F.col("event_id") <= hi)).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
-    (tmp_path / "in").mkdir()
-    for i in range(3):
-        part = next((tmp_path / f"part{i}").glob("*.parquet"))
-        part.rename(tmp_path / "in" / f"events-{i}.parquet")
-    schema = e.schema
+    e.repartition(files, F.hash("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    read = streams.read_table
 
-    def stream():
-        from soundgrid.sources.views import pan
+    def one_by_one(spark, root, name):
+        return read(spark, root, name, per_trigger=max(1, files // 8))
 
-        return pan(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))).select("track_id", "frame", "l", "r")
-
-    tp = streams.drain(streams.true_peak(stream(), "track_id"), K).toPandas().sort_values("track_id")
-    want = peaks.true_peak(event_samples(spark, root), K, "frame", ["l", "r"]).toPandas().sort_values("track_id")
-    assert np.allclose(tp.true_peak, want.true_peak, rtol=1e-12)
-    s = streams.drain(streams.sliding_sums(stream(), K, RATE, 4 * HOP, HOP, live.energy(), late="20 seconds"), [*K, "win"])
-    n = streams.drain(streams.lengths(stream(), K), K)
-    got = streams.incremental_loudness(s, n, K, 4 * HOP, HOP).where("power > 0").toPandas().sort_values(["track_id", "win"])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(streams, "read_table", one_by_one)
+        loud = live.stream_loudness(spark, str(tmp_path)).toPandas().sort_values(["track_id", "win"])
+        peak = live.stream_true_peak(spark, str(tmp_path)).toPandas().sort_values("track_id")
+        energy = live.stream_windows(spark, str(tmp_path)).count()
     t = loudness.timeline(event_samples(spark, root), K, HOP).where("m_power > 0").toPandas().sort_values(["track_id", "hop"])
-    assert list(got.win) == list(t.hop) and np.allclose(got.power, t.m_power)
+    assert list(loud.win) == list(t.hop) and np.allclose(loud.lufs, -0.691 + 10 * np.log10(t.m_power), atol=1e-5)
+    want = peaks.true_peak(event_samples(spark, root), K, "frame", ["l", "r"]).toPandas().sort_values("track_id")
+    assert np.allclose(peak.true_peak, want.true_peak, atol=1e-8)
+    assert energy == live.stream_windows(spark, root).count()
+
+
+def test_late_rows_are_not_lost_in_silence(spark, tmp_path):
+    from soundgrid.streaming import streams
+
+    for i, frames in enumerate(((0, 90_000), (90_001,), (5, 7))):
+        spark.createDataFrame([(1, f, 1.0) for f in frames], "track_id long, frame long, l double").coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    schema = spark.read.parquet(str(tmp_path / "in0")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in[012]"))
+    sums = {"energy": F.sum("l")}
+    with pytest.raises(ValueError, match="later than the watermark"):
+        streams.drain(streams.sliding_sums(stream, ["track_id"], 3600, 360, 360, sums, late="1 second"), ["track_id", "win"])
+    whole = streams.drain(streams.sliding_sums(stream, ["track_id"], 3600, 360, 360, sums), ["track_id", "win"])
+    assert whole.agg(F.sum("energy")).first()[0] == 5
