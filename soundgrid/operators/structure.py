@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soundgrid.functions import quantiles
+from soundgrid.functions import quantiles, scalar
 from soundgrid.operators import kernels
 from soundgrid.operators.blocks import halo
 from soundgrid.operators.spectra import unit
@@ -21,10 +21,18 @@ from soundgrid.session import materialise
 NC, NS = 12, 8
 RADII = (4, 8, 16)          # 2, 4 and 8 seconds
 SEPARATION = 4
+MOMENTARY_HOPS = 4
 MAX_BOUNDARIES = 65
 MAX_SEGMENTS = 64
-# A pick rules out at most six neighbours, so this many candidates decide 65 picks.
-DECIDING = MAX_BOUNDARIES * (2 * SEPARATION - 1)
+
+
+def active_readings(hops: DataFrame, lengths: DataFrame, keys: list[str], hop: int, per: int) -> DataFrame:
+    """Complete momentary readings above the absolute gate that start in each cell, from the hops' energy _e."""
+    starts = hops.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.lit(MOMENTARY_HOPS - 1)), lambda k: F.col("_hop") - k)).alias("_at"), "_e").where("_at >= 0")
+    power = F.col("_e") / (MOMENTARY_HOPS * hop)
+    loud = starts.groupBy(*keys, "_at").agg(F.sum("_e").alias("_e")).where(scalar.lufs(power) > scalar.ABSOLUTE_GATE_LUFS)
+    whole = (F.col("_at") + MOMENTARY_HOPS) * hop <= F.col("frames")
+    return loud.join(lengths, keys).where(whole).groupBy(*keys, F.expr(f"_at div {per}").alias("idx")).agg(F.count("*").alias("_on"))
 
 
 def features(samples: DataFrame, keys: list[str], cell: int, hop: int, pitch: Column, band: Column, weight: Column) -> DataFrame:
@@ -32,19 +40,21 @@ def features(samples: DataFrame, keys: list[str], cell: int, hop: int, pitch: Co
     s = samples.select(*keys, "frame", pitch.alias("_p"), band.alias("_b"), weight.alias("_w"))
     sums = [F.sum(F.when(F.col("_p") == k, F.col("_w")).otherwise(0.0)).alias(f"_c{k}") for k in range(NC)]
     sums += [F.sum(F.when(F.col("_b") == k, F.col("_w")).otherwise(0.0)).alias(f"_s{k}") for k in range(NS)]
-    hops = s.groupBy(*keys, F.expr(f"frame div {hop}").alias("_hop")).agg(*sums)
+    hops = s.groupBy(*keys, F.expr(f"frame div {hop}").alias("_hop")).agg(*sums, F.sum("_w").alias("_e"))
     per = cell // hop
     names = [f"_c{k}" for k in range(NC)] + [f"_s{k}" for k in range(NS)]
-    sparse = hops.groupBy(*keys, F.expr(f"_hop div {per}").alias("idx")).agg(F.count("*").alias("_on"), *[F.sum(n).alias(n) for n in names])
+    sparse = hops.groupBy(*keys, F.expr(f"_hop div {per}").alias("idx")).agg(*[F.sum(n).alias(n) for n in names])
     n = samples.groupBy(*keys).agg((F.max("frame") + 1).alias("frames"))
     spine = n.select(*keys, "frames", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(frames - 1) div {cell}"))).alias("idx"))
-    d = spine.join(sparse, [*keys, "idx"], "left").fillna(0.0, names).fillna(0, ["_on"])
+    loud = active_readings(hops, n, keys, hop, per)
+    d = spine.join(sparse, [*keys, "idx"], "left").join(loud, [*keys, "idx"], "left").fillna(0.0, names).fillna(0, ["_on"])
+    complete = F.least(F.lit(per), F.floor((F.col("frames") - MOMENTARY_HOPS * hop) / hop) + 1 - F.col("idx") * per)
     chroma = F.array(*[F.col(f"_c{k}") for k in range(NC)])
     shape = F.array(*[F.log1p(f"_s{k}") for k in range(NS)])
     d = d.select(
         *keys, "idx", "frames", chroma.alias("_chroma"), shape.alias("_shape"),
         F.sqrt(F.aggregate(chroma, F.lit(0.0), lambda a, x: a + x)).alias("_m"),
-        (F.col("_on") / F.least(F.lit(per).cast("bigint"), F.ceil((F.col("frames") - F.col("idx") * cell) / hop))).alias("activity"))
+        F.when(complete > 0, F.col("_on") / complete).otherwise(0.0).alias("activity"))
     low = F.array_sort("_chroma")[1]
     mean = F.aggregate("_shape", F.lit(0.0), lambda a, x: a + x) / NS
     d = d.withColumn("_chroma", F.transform("_chroma", lambda x: F.greatest(F.lit(0.0), x - low))).withColumn("_shape", F.transform("_shape", lambda x: x - mean))

@@ -25,7 +25,11 @@ c2 AS (SELECT track_id, idx, k, CASE WHEN sqrt(sum(v * v) OVER w) > 1e-12 THEN v
 s0 AS (SELECT sp.track_id, sp.idx, k, ln(1 + coalesce(sum(w), 0)) AS v FROM sp CROSS JOIN ks LEFT JOIN bd ON bd.track_id = sp.track_id AND bd.idx = sp.idx AND bd.band = k GROUP BY 1, 2, 3),
 s1 AS (SELECT track_id, idx, k, v - avg(v) OVER (PARTITION BY track_id, idx) AS v FROM s0),
 s2 AS (SELECT track_id, idx, k, CASE WHEN sqrt(sum(v * v) OVER w) > 1e-12 THEN v / sqrt(sum(v * v) OVER w) ELSE v END AS v FROM s1 WINDOW w AS (PARTITION BY track_id, idx)),
-ac AS (SELECT sp.track_id, sp.idx, count(DISTINCT hop) / least(5, ceil((frames - sp.idx * 450) / 90)) AS a, sqrt(coalesce(sum(w), 0)) AS m FROM sp LEFT JOIN bd ON bd.track_id = sp.track_id AND bd.idx = sp.idx GROUP BY sp.track_id, sp.idx, frames),
+rhp AS (SELECT track_id, hop, sum(w) AS e FROM bd GROUP BY 1, 2),
+rmo AS (SELECT track_id, hop - k AS hop, sum(e) / 360 AS p FROM rhp CROSS JOIN (SELECT unnest(range(4)) AS k) WHERE hop - k >= 0 GROUP BY 1, 2),
+ram AS (SELECT track_id, hop // 5 AS idx, count(*) AS n FROM rmo JOIN nn USING (track_id) WHERE (hop + 4) * 90 <= frames AND p > 0 AND -0.691 + 10 * log10(p) > -70 GROUP BY 1, 2),
+rcm AS (SELECT sp.track_id, sp.idx, least(5, floor((frames - 360) / 90) + 1 - sp.idx * 5) AS whole, coalesce(ram.n, 0) AS n FROM sp LEFT JOIN ram ON ram.track_id = sp.track_id AND ram.idx = sp.idx),
+ac AS (SELECT rcm.track_id, rcm.idx, CASE WHEN whole > 0 THEN rcm.n / whole ELSE 0 END AS a, sqrt(coalesce(sum(w), 0)) AS m FROM rcm LEFT JOIN bd ON bd.track_id = rcm.track_id AND bd.idx = rcm.idx GROUP BY rcm.track_id, rcm.idx, whole, rcm.n),
 fx AS (SELECT track_id, idx, greatest(0, m - lag(m, 1, 0::DOUBLE) OVER (PARTITION BY track_id ORDER BY idx)) AS f FROM ac),
 vv AS (SELECT track_id, idx, k AS c, v FROM c2 UNION ALL SELECT track_id, idx, 12 + k, v FROM s2 UNION ALL SELECT track_id, idx, 20, a FROM ac UNION ALL SELECT track_id, idx, 21, f FROM fx)"""
 
