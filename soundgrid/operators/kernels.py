@@ -1,7 +1,10 @@
 """Numpy kernels used inside tasks. Each sees one block, pair or small group."""
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
+import pandas as pd
 
 NC, NS = 12, 8
 
@@ -182,44 +185,54 @@ def sustain_peak(frames: np.ndarray, a: np.ndarray, attack: float, release: floa
     return best
 
 
+def _trailing_mean(x: np.ndarray, n: int) -> np.ndarray:
+    """Mean of each value and the n - 1 before it; unity stands before the first."""
+    sums = np.cumsum(np.concatenate([np.zeros(1), np.ones(n - 1), x]))
+    return (sums[n:] - sums[:-n]) / n
+
+
 def limiter_envelope(peaks: np.ndarray, threshold: float, attack: int, release: float) -> np.ndarray:
-    """Look-ahead limiter gain: held minimum, min-release, two box averages, hard bound.
+    """Look-ahead limiter gain of each cell.
 
-    The averages span the attack exactly, so the gain at a cell never exceeds what
-    its own peak requires.
+    Works on the reduction (1 - gain) each cell needs: it holds for `attack` cells
+    before the peak, decays by the release after it, is smoothed by two means that
+    together span the attack, and never falls short of the cell's own need.
     """
-    n, span = len(peaks), max(1, attack)
-    a = span // 2 + 1
-    b = span - (a - 1) + 1
-    need = np.where(peaks > threshold, threshold / np.maximum(peaks, 1e-300), 1.0)
-    padded = np.concatenate([np.ones(span), need, np.ones(span)])
-    held = np.lib.stride_tricks.sliding_window_view(padded, span + 1).min(1)  # held[k] covers need[k-span .. k]
-    recovery = -np.expm1(-1.0 / max(1.0, release))
-    env, e = np.empty(len(held)), 1.0
-    for i, h in enumerate(held):
-        e = min(h, e + recovery * (h - e))
-        env[i] = e
-    first = np.convolve(np.concatenate([np.ones(a - 1), env]), np.ones(a) / a, "valid")
-    second = np.convolve(np.concatenate([np.ones(b - 1), first]), np.ones(b) / b, "valid")
-    return np.maximum(0.0, np.minimum(need, np.minimum(1.0, second[span:span + n])))
+    n, reach = len(peaks), max(1, attack)
+    with np.errstate(divide="ignore"):
+        reduction = np.maximum(0.0, 1 - threshold / np.maximum(peaks, threshold)) if threshold > 0 else (peaks > 0).astype(float)
+    ahead = np.pad(reduction, reach)
+    held = pd.Series(ahead[::-1]).rolling(reach + 1, min_periods=1).max().to_numpy()[::-1][: n + reach]
+    keep = np.exp(-1.0 / max(1.0, release))
+    decayed = np.fromiter(itertools.accumulate(held, lambda past, now: max(now, keep * past + (1 - keep) * now), initial=0.0), float, len(held) + 1)[1:]
+    short = reach // 2 + 1
+    smooth = _trailing_mean(_trailing_mean(1 - decayed, short), reach + 2 - short)[reach:]
+    return np.clip(np.minimum(smooth, 1 - reduction), 0.0, 1.0)
+
+
+def largest_scale(energy: np.ndarray, extra: np.ndarray, limit: float) -> float:
+    """Largest k in [0, 1] with sum(energy * (1 + k * extra)^2) at most the limit (0 if none is)."""
+    linear, square = 2 * float(energy @ extra), float(energy @ extra**2)
+    room = limit - float(energy.sum())
+    if linear + square <= max(room, 0.0):
+        return 1.0
+    if room <= 0:
+        return 0.0
+    return min(1.0, 2 * room / (linear + np.sqrt(linear**2 + 4 * square * room)))
 
 
 def bound_energy(gains: np.ndarray, energy: np.ndarray, frames: np.ndarray, width: int, target: float, starts: np.ndarray) -> np.ndarray:
-    """Retract extra gain so that no window of `width` cells exceeds the target power.
+    """Gains at cell edges, moved towards unity until no window of `width` cells holds more than the target power.
 
-    `gains` has one more point than there are cells; `starts` are the windows to
-    visit in order. Only ever moves a gain towards unity.
+    `gains` has one more point than there are cells; `starts` are the windows in
+    the order of their visit. A cell counts with the larger gain of its two edges.
     """
-    g = gains.copy()
-    for s in starts:
-        e = s + width
-        x = np.maximum(g[s:e], g[s + 1:e + 1]) - 1
-        c, a, b = energy[s:e].sum(), (energy[s:e] * x * x).sum(), 2 * (energy[s:e] * x).sum()
-        budget = max(0.0, target * frames[s:e].sum() - c)
-        if a + b > budget and a + b > 0:
-            k = budget / b if a == 0 else 2 * budget / (b + np.sqrt(b * b + 4 * a * budget))
-            g[s:e + 1] = 1 + (g[s:e + 1] - 1) * min(1.0, max(0.0, k))
-    return g
+    over = gains - 1.0
+    for cells in (slice(int(s), int(s) + width) for s in starts):
+        edges = slice(cells.start, cells.stop + 1)
+        extra = np.lib.stride_tricks.sliding_window_view(over[edges], 2).max(axis=1)
+        over[edges] *= largest_scale(energy[cells], extra, target * float(frames[cells].sum()))
+    return over + 1.0
 
 
 # --- ramps ----------------------------------------------------------------------------

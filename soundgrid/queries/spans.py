@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from soundgrid.functions import quantiles, scalar
-from soundgrid.operators import cells, intervals, joins, peaks, windows
+from soundgrid.operators import cells, intervals, joins, peaks, segments, windows
 from soundgrid.queries.levels import K
 from soundgrid.queries.motion import GAIN_SQL, HOPS_SQL, ev_gains, ev_hops
 from soundgrid.queries.registry import query, rnd
@@ -311,6 +311,17 @@ def segment_layout(spark, root):
     return intervals.segments(ev.where("event_type = 'signup'"), cells.extents(ev, K, "frame"), K, "frame", "frames")
 
 
+@query("I5", "WITH" + EV_SQL + """,
+ext AS (SELECT track_id, max(frame) + 1 AS frames FROM ev GROUP BY 1),
+b AS (SELECT track_id, frame AS e FROM ev WHERE event_type = 'signup' AND frame > 0 UNION SELECT track_id, frames FROM ext),
+n AS (SELECT track_id, count(*) AS segs FROM b GROUP BY 1)
+SELECT track_id, segs, CASE WHEN segs > 12 THEN 'too_many_segments' ELSE 'ok' END AS status FROM n""")
+def segment_layout_status(spark, root):
+    """Every track with its outcome under a limit of twelve segments: none leaves without a row."""
+    ev = event_samples(spark, root)
+    return segments.layout_status(ev.where("event_type = 'signup'"), cells.extents(ev, K, "frame"), K, "frame", "frames", limit=12)
+
+
 @query("J11", "WITH" + EV_SQL + """,
 o AS (SELECT DISTINCT track_id, frame AS s FROM ev WHERE event_type = 'signup'),
 c AS (SELECT track_id, s, s + j AS f, CASE WHEN j < 0 THEN 0.5 - 0.5 * cos(pi() * (j + 18) / 18) WHEN j <= 108 THEN 1 ELSE 0.5 + 0.5 * cos(pi() * (j - 108) / 162) END AS w

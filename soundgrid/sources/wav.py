@@ -52,12 +52,15 @@ def decode(data: bytes) -> tuple[int, np.ndarray]:
 
 def ingest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """One row per 100 ms chunk; a file that cannot be read is one row with its failure."""
-    files = scan(spark, folder, pattern).where("kind <> 'mp3'").select("path", "content")
+    content = F.when(F.col("kind") == "mp3", F.lit(None)).otherwise(F.col("content"))
+    files = scan(spark, folder, pattern).select("path", content.alias("content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
+                    if content is None:
+                        raise ValueError("mp3_not_decoded")
                     rate, x = decode(bytes(content))
                     if not len(x):
                         raise ValueError("empty")

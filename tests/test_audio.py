@@ -181,7 +181,7 @@ def test_wav_ingest_and_results(spark, tmp_path):
     d = wav.ingest(spark, str(tmp_path)).cache()
     tr = {r.path.split("/")[-1]: r for r in wav.tracks(d).collect()}
     assert set(tr) == {"a.wav", "b.dat", "c.wav", "d.wav", "mono.wav"} and all(r.frames == 2050 and r.rate == rate for r in tr.values())
-    assert {r.path.split("/")[-1]: r.reason for r in wav.failures(d).collect()} == {"bad.wav": "missing_chunk", "cut.wav": "truncated"}
+    assert {r.path.split("/")[-1]: r.reason for r in wav.failures(d).collect()} == {"bad.wav": "missing_chunk", "cut.wav": "truncated", "song.mp3": "mp3_not_decoded"}
     s = wav.samples(d).toPandas()
     for name in tr:
         got = s[s.path.str.endswith(name)].sort_values("frame")
