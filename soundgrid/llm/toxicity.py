@@ -23,8 +23,10 @@ MAX_LABELLED = 12_000
 MAX_TERMS = 400
 THRESHOLD = 0.3
 #: Lengths of word beginnings that count as terms beside whole words.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
 NEAR = 4
+#: Log odds from which a term is strong.
+STRONG = math.log(25)
 
 # Second-person pronouns of the corpus' languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner euch euer ihr tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros".split())
@@ -33,7 +35,7 @@ LOOKALIKES = str.maketrans("013457@$!|", "oieastasil")
 OBFUSCATED = re.compile(r"[A-Za-z]+(?:[0-9@$!|*]+[A-Za-z]+)+|[A-Za-z](?:[.\-_*][A-Za-z]){2,}")
 CAPITALS = re.compile(r"\b[A-Z]{3,}\b")
 STRETCHED = re.compile(r"([A-Za-z])\1{3,}")
-FEATURES = ["words", "strong_density", "strong_count", "mild_density", "mild_count", "near_you", "you_density", "capitals", "shouted", "exclaims", "asks", "punctuation", "digits", "obfuscated", "unmasked", "stretched", "word_length"]
+FEATURES = ["words", "strong_density", "strong_count", "mild_density", "mild_count", "weight_density", "weight_most", "near_you", "you_density", "capitals", "shouted", "exclaims", "asks", "punctuation", "digits", "obfuscated", "unmasked", "stretched", "word_length"]
 
 
 def terms_of(word: str) -> list[str]:
@@ -54,48 +56,45 @@ def sketch(text: str | None) -> int:
 
 
 class Featurizer:
-    def __init__(self, strong: frozenset, mild: frozenset):
-        self.strong, self.mild, self.codes = strong, mild, {}
-
-    def code(self, word: str) -> int:
-        """2: strong term, 1: mild term, 3: second person, 0: other."""
-        terms = terms_of(word)
-        if any(t in self.strong for t in terms):
-            return 2
-        if word in SECOND_PERSON:
-            return 3
-        return int(any(t in self.mild for t in terms))
+    """Values of FEATURES for a text, with the lexicon's log odds by term."""
+
+    def __init__(self, terms: dict[str, float]):
+        self.terms, self.weights = terms, {}
+
+    def weight(self, word: str) -> float:
+        """The largest log odds of the word's terms; -1 for the second person, 0 for other words."""
+        most = max((self.terms.get(t, 0.0) for t in terms_of(word)), default=0.0)
+        return most or -float(word in SECOND_PERSON)
 
     def __call__(self, text: str | None) -> list[float]:
         text = text or ""
         w = text.encode("utf-8", "replace").translate(WORD_BYTES).split()
-        if len(self.codes) > 400_000:
-            self.codes.clear()
-        known = self.codes
+        if len(self.weights) > 400_000:
+            self.weights.clear()
+        known = self.weights
         for x in set(w).difference(known):
-            known[x] = self.code(x.decode("utf-8", "replace"))
-        codes = np.fromiter(map(known.__getitem__, w), np.int8, len(w))
-        strong, mild, you = np.flatnonzero(codes == 2), np.flatnonzero(codes == 1), np.flatnonzero(codes == 3)
+            known[x] = self.weight(x.decode("utf-8", "replace"))
+        weights = np.fromiter(map(known.__getitem__, w), float, len(w))
+        strong, mild, you = np.flatnonzero(weights > STRONG), np.flatnonzero((weights > 0) & (weights <= STRONG)), np.flatnonzero(weights < 0)
         near = 0
         if len(strong) and len(you):
             at = np.searchsorted(you, strong)
             left, right = strong - you[np.maximum(at - 1, 0)], you[np.minimum(at, len(you) - 1)] - strong
             near = int(((np.abs(left) <= NEAR) | (np.abs(right) <= NEAR)).sum())
         masked = [m[0] for m in OBFUSCATED.finditer(text)]
-        unmasked = sum(self.code(re.sub(r"[^a-z]", "", m.lower().translate(LOOKALIKES))) == 2 for m in masked)
+        unmasked = sum(self.weight(re.sub(r"[^a-z]", "", m.lower().translate(LOOKALIKES))) > STRONG for m in masked)
         n, chars = max(len(w), 1), max(len(text), 1)
         ascii_bytes = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
         letters = max(int(ascii_bytes[65:91].sum() + ascii_bytes[97:123].sum()), 1)
         return [
-            math.log1p(len(w)), len(strong) / n, math.log1p(len(strong)), len(mild) / n, math.log1p(len(mild)), near / n, len(you) / n,
+            math.log1p(len(w)), len(strong) / n, math.log1p(len(strong)), len(mild) / n, math.log1p(len(mild)), float(np.maximum(weights, 0).sum()) / n, float(weights.max(initial=0.0)), near / n, len(you) / n,
             int(ascii_bytes[65:91].sum()) / letters, len(CAPITALS.findall(text)) / n, int(ascii_bytes[33]) / n, int(ascii_bytes[63]) / n,
             int(ascii_bytes[33:48].sum() + ascii_bytes[58:65].sum()) / chars, int(ascii_bytes[48:58].sum()) / chars, len(masked) / n, unmasked / n, len(STRETCHED.findall(text)) / n, chars / n]
 
 
 @dataclass
 class Model:
-    strong: frozenset
-    mild: frozenset
+    terms: dict[str, float]
     base_rate: float
     trees: GBTClassificationModel | None = field(default=None)
     calibration: IsotonicRegressionModel | None = field(default=None)
@@ -111,12 +110,12 @@ def _sample(docs: DataFrame, labels: DataFrame, learn, max_rows: int, doc_id: st
     return materialise(rows.select(F.pmod(F.col("sketch"), F.lit(10)).alias("tenth"), "toxic", "text").select(F.when(F.col("tenth") < 4, 0).when(F.col("tenth") < 8, 1).otherwise(2).alias("part"), "toxic", "text"))
 
 
-def _lexicon(rows: DataFrame) -> tuple[frozenset, frozenset]:
-    """Terms far more frequent among toxic texts: strong ones, and mild ones."""
+def _lexicon(rows: DataFrame) -> dict[str, float]:
+    """At most MAX_TERMS terms that are far more frequent among toxic texts, with their log odds."""
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
-        return frozenset(), frozenset()
+        return {}
     least = max(4, toxic // 100)
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
 
@@ -138,17 +137,16 @@ def _lexicon(rows: DataFrame) -> tuple[frozenset, frozenset]:
     shared = rows.sparkSession.sparkContext.broadcast(frozenset(bad))
     good = {r["term"]: r["n"] for r in rows.where("toxic = 0").select("text").mapInArrow(counter(shared), schema).groupBy("term").agg(F.sum("n").alias("n")).collect()}
     odds = {t: math.log((n + 0.5) / (toxic + 1)) - math.log((good.get(t, 0) + 0.5) / (clean + 1)) for t, n in bad.items()}
-    ranked = sorted((t for t in odds if odds[t] > math.log(4)), key=lambda t: (-odds[t] * math.sqrt(bad[t]), t))[:MAX_TERMS]
-    strong = frozenset(t for t in ranked if odds[t] > math.log(25))
-    return strong, frozenset(ranked) - strong
+    ranked = sorted((t for t in odds if odds[t] > math.log(4)), key=lambda t: (-odds[t] * math.sqrt(bad[t]), t))
+    return {t: odds[t] for t in ranked[:MAX_TERMS]}
 
 
-def features(docs: DataFrame, strong: frozenset, mild: frozenset, text: str = "text") -> DataFrame:
+def features(docs: DataFrame, terms: dict[str, float], text: str = "text") -> DataFrame:
     """docs with `__features`, the values of FEATURES for each whole text; a null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast((strong, mild))
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def make():
-        one = Featurizer(*shared.value)
+        one = Featurizer(shared.value)
         return lambda texts: [[one(t) for t in texts]]
 
     return append(docs, make, [T.StructField("__features", T.ArrayType(T.DoubleType()))], text)
@@ -163,17 +161,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True), ma
     model is that class' rate.
     """
     rows = _sample(docs, labels, learn, max_rows, doc_id, text)
-    strong, mild = _lexicon(rows.where("part = 0"))
-    made = materialise(features(rows.where("part > 0").select("part", F.col("toxic").cast("double").alias("label"), "text"), strong, mild).withColumn("features", array_to_vector("__features")).select("part", "label", "features"))
+    terms = _lexicon(rows.where("part = 0"))
+    made = materialise(features(rows.where("part > 0").select("part", F.col("toxic").cast("double").alias("label"), "text"), terms).withColumn("features", array_to_vector("__features")).select("part", "label", "features"))
     sizes = {(r["part"], r["label"]): r["count"] for r in made.groupBy("part", "label").count().collect()}
     base = sum(n for (_, y), n in sizes.items() if y == 1) / max(sum(sizes.values()), 1)
     if not all(sizes.get((p, y)) for p in (1, 2) for y in (0.0, 1.0)):
-        return Model(strong, mild, base)
+        return Model(terms, base)
     few = made.repartition(6)  # a bounded table
     trees = GBTClassifier(maxIter=30, maxDepth=4, stepSize=0.2, minInstancesPerNode=5, subsamplingRate=0.8, seed=7).fit(few.where("part = 1").select("label", "features"))
     margins = trees.transform(few.where("part = 2")).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
     calibration = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="calibrated").fit(margins)
-    return Model(strong, mild, base, trees, calibration)
+    return Model(terms, base, trees, calibration)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -188,7 +186,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str
     if model.trees is None:
         made = docs.select(*[F.col(quoted(c)) for c in kept], F.lit(model.base_rate).alias("score"))
     else:
-        rows = features(docs, model.strong, model.mild, text).withColumn("__vector", array_to_vector("__features"))
+        rows = features(docs, model.terms, text).withColumn("__vector", array_to_vector("__features"))
         trees = model.trees.copy().setFeaturesCol("__vector").setRawPredictionCol("__raw").setProbabilityCol("__probability").setPredictionCol("__class")
         rows = trees.transform(rows).withColumn("__margin", vector_to_array("__raw")[1]).withColumn("__own", vector_to_array("__probability")[1])
         rows = model.calibration.copy().setFeaturesCol("__margin").setPredictionCol("__calibrated").transform(rows)
