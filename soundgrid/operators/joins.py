@@ -24,11 +24,17 @@ def range_join(ranges: DataFrame, points: DataFrame, keys: list[str], lo: str, h
 
 def asof(points: DataFrame, marks: DataFrame, keys: list[str], pos: str, mark_pos: str, payload: str,
          before: str | None = None, after: str | None = None, block: int = BLOCK) -> DataFrame:
-    """Latest mark at or before each point and/or the earliest at or after it."""
-    p = points.withColumn("_m", F.lit(None).cast(marks.schema[payload].dataType)).withColumn("_kind", F.lit(1))
+    """Latest mark at or before each point and/or the earliest at or after it.
+
+    Only the distinct positions go through the blocks, so a block holds a bounded
+    number of rows however many points share a position.
+    """
+    places = points.select(*keys, pos).distinct()
+    p = places.withColumn("_m", F.lit(None).cast(marks.schema[payload].dataType)).withColumn("_kind", F.lit(1))
     m = marks.select(*keys, F.col(mark_pos).alias(pos), F.col(payload).alias("_m"), F.lit(0).alias("_kind"))
     u = p.unionByName(m, allowMissingColumns=True)
-    return nearest_marks(u, keys, pos, "_m", before, after, ["_kind"], block).where("_kind = 1").drop("_m", "_kind")
+    found = nearest_marks(u, keys, pos, "_m", before, after, ["_kind"], block).where("_kind = 1").drop("_m", "_kind")
+    return points.join(found, [*keys, pos], "left")
 
 
 def overlap_resample(cells: DataFrame, keys: list[str], pos: str, length: Column, value: str, bins: int) -> DataFrame:

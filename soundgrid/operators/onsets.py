@@ -16,8 +16,13 @@ def refine_attacks(onsets: DataFrame, power: DataFrame, lengths: DataFrame, keys
     """Move an onset to the strongest rise of the power after over the power before.
 
     Each sample adds to the rises of the frames just before it and takes from
-    those just after, so the rise curve is a scatter and a sum.
+    those just after, so the rise curve is a scatter and a sum. Only samples in a
+    bucket that an onset reaches are scattered.
     """
+    wide = 4 * (radius + window)
+    reach = F.sequence(F.floor((F.col("detected") - radius - window) / wide), F.floor((F.col("detected") + radius + window) / wide))
+    near = onsets.select(*keys, F.explode(reach).alias("_near")).distinct()
+    power = power.withColumn("_near", F.floor(F.col("frame") / wide)).join(near, [*keys, "_near"], "left_semi")
     j = F.sequence(F.lit(0), F.lit(window - 1))
     up = power.select(*keys, "frame", "p", F.explode(j).alias("_j")).select(*keys, (F.col("frame") - F.col("_j")).alias("f"), "p")
     down = power.select(*keys, "frame", "p", F.explode(j).alias("_j")).select(*keys, (F.col("frame") + 1 + F.col("_j")).alias("f"), (-F.col("p")).alias("p"))

@@ -155,7 +155,8 @@ def band_levels(frames: DataFrame, keys: list[str], hop: int, overlap: int, rate
 
 
 def band_peaks(frames: DataFrame, keys: list[str], hop: int, overlap: int, rate: int, edges: tuple[float, ...]) -> DataFrame:
-    """Largest and mean spectral RMS of each crossover band over the frames of a track."""
+    """Largest and mean spectral RMS of each crossover band over the frames of a track; edges from half the rate on are left out."""
+    edges = tuple(e for e in edges if e < rate / 2)
     n = hop * overlap
     w = kernels.hann(n)
     hz = np.fft.rfftfreq(n, 1 / rate)

@@ -273,10 +273,10 @@ SELECT track_id, event_id, R6(db) AS peak_db, R6(greatest(0, db - med)) AS exces
 def onset_excess(spark, root):
     ev = event_samples(spark, root)
     o = ev.where("event_type = 'click'").select("track_id", "event_id", F.col("frame").alias("lo"), (F.col("frame") + 107).alias("hi"))
-    s = ev.select("track_id", "frame", F.greatest(F.abs("l"), F.abs("r")).alias("a"))
-    p = joins.range_join(o, s, K, "lo", "hi", "frame", 1024).groupBy("track_id", "event_id").agg(
+    s = ev.groupBy("track_id", "frame").agg(F.max(F.greatest(F.abs("l"), F.abs("r"))).alias("a"))
+    p = joins.range_join(o.select("track_id", "lo", "hi").distinct(), s, K, "lo", "hi", "frame", 1024).groupBy("track_id", "lo").agg(
         (20 * F.log10(F.greatest(F.max("a"), F.lit(1e-6)))).alias("db"))
-    p = materialise(p)
+    p = materialise(o.select("track_id", "event_id", "lo").join(p, ["track_id", "lo"]).drop("lo"))
     med = quantiles.grouped(p, K, {"med": ("db", 0.5, "upper")})
     return p.join(med, "track_id").select(
         "track_id", "event_id", rnd("db").alias("peak_db"), rnd(F.greatest(F.lit(0.0), F.col("db") - F.col("med"))).alias("excess_db"))
