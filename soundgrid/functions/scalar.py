@@ -42,6 +42,7 @@ def side_power(ll: Column, rr: Column, lr: Column) -> Column:
     return F.greatest(F.lit(0.0), (ll + rr - 2 * lr) / 4)
 
 
+# The names of the stereo states are part of the result.
 def stereo_state(ll: Column, rr: Column, lr: Column) -> Column:
     return (
         F.when(ll + rr == 0, "silence")

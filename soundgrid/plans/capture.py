@@ -33,30 +33,34 @@ def _zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
 
-def clock_rows() -> Column:
-    return F.filter("provenance.timeline", lambda r: r["capturedFrames"].isNotNull() & (r["elapsed"] > 10))
-
-
-def progress_rows() -> Column:
-    return F.filter("events", lambda r: (r["kind"] == "PROGRESS") & (F.coalesce(r["seconds"], F.lit(0.0)) > 10))
+def derived(captures: DataFrame) -> DataFrame:
+    """The arrays that several rules read, each computed once."""
+    timeline, events = F.coalesce("provenance.timeline", F.array()), F.coalesce("events", F.array())
+    late = F.filter(events, lambda r: (r["kind"] == "PROGRESS") & (F.coalesce(r["seconds"], F.lit(0.0)) > 10))
+    return captures.withColumns({
+        "_timeline": timeline,
+        "_clocks": F.filter(timeline, lambda r: r["capturedFrames"].isNotNull() & (r["elapsed"] > 10)),
+        "_progress": late,
+        "_volumes": F.transform(timeline, lambda r: r["volume"]),
+        "_menu": F.coalesce("settings.menuAfter", F.array()),
+        "_gaps": F.coalesce("provenance.inputGaps", F.array())})
 
 
 def capture_rules() -> list[tuple[str, Column]]:
+    """Rules over a derived() table, in the order in which their names are reported."""
     p, m = F.col("provenance"), F.col("measurement")
     duration, elapsed = _zero(p["expectedDuration"]), _zero(m["duration_s"])
     boundary, guard = _zero(p["endBoundary"]["time"]), F.coalesce(p["tailGuardSeconds"], F.lit(0.25))
-    timeline = F.coalesce(p["timeline"], F.array())
-    volumes = F.transform("provenance.timeline", lambda r: r["volume"])
-    fine = (F.size(timeline) > 0) & F.forall(timeline, lambda r: r["volume"].isNotNull() & ~F.isnan(r["volume"]) & (r["volume"] > 0) & (r["volume"] < float("inf")))
+    timeline, volumes, clocks, progress, menu = (F.col(c) for c in ("_timeline", "_volumes", "_clocks", "_progress", "_menu"))
+    fine = (F.size(timeline) > 0) & F.forall(volumes, lambda v: v.isNotNull() & ~F.isnan(v) & (v > 0) & (v < float("inf")))
     interior = F.exists(
-        F.coalesce(p["inputGaps"], F.array()),
+        F.col("_gaps"),
         lambda g: (g["startFrame"] / RATE > 0.5) & ((g["startFrame"] + g["frames"]) / RATE < duration - 5))
-    clocks, progress = F.coalesce(clock_rows(), F.array()), F.coalesce(progress_rows(), F.array())
-    menu = F.coalesce(F.col("settings.menuAfter"), F.array())
 
     def power_ok(x: Column) -> Column:
         return x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < float("inf"))
 
+    # The rules' names and limits are part of the result.
     return [
         ("capture_not_candidate", p["quality"] == "candidate"),
         ("source_url_mismatch", p["job"]["url"] == F.col("job.url")),
@@ -95,12 +99,9 @@ def capture_rules() -> list[tuple[str, Column]]:
 
 def audit(captures: DataFrame) -> DataFrame:
     """Adds errors, accepted, and the kind of clock evidence."""
-    clocks, progress = F.size(F.coalesce(clock_rows(), F.array())), F.size(F.coalesce(progress_rows(), F.array()))
-    return (
-        captures.withColumn("errors", violations(capture_rules()))
-        .withColumn("accepted", F.size("errors") == 0)
-        .withColumn("clock_evidence", F.when(clocks > 0, "per_second").when(progress > 0, "30s_progress").otherwise("missing"))
-    )
+    evidence = F.when(F.size("_clocks") > 0, "per_second").when(F.size("_progress") > 0, "30s_progress").otherwise("missing")
+    audited = derived(captures).withColumn("errors", violations(capture_rules()))
+    return audited.withColumn("accepted", F.size("errors") == 0).withColumn("clock_evidence", evidence).select(*captures.columns, "errors", "accepted", "clock_evidence")
 
 
 def best_attempts(audited: DataFrame, job: str, order: str) -> DataFrame:
