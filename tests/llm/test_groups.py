@@ -15,7 +15,7 @@ from soundgrid.llm.graph import components
 from soundgrid.llm.queries import VOCABULARY
 from test_texts import SPACED, low, slow_fingerprint
 
-from conftest import ODD  # noqa: I001
+from odd_rows import ODD  # noqa: I001
 
 
 def sets_of(nodes, edges):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from soundgrid.llm import toxicity
 from soundgrid.llm.queries import remainder
 
-from conftest import ODD  # noqa: I001
+from odd_rows import ODD  # noqa: I001
 
 
 def planted(n=900, seed=1):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from soundgrid.llm import bpe, decontam, licenses, simhash
 from soundgrid.llm.queries import VOCABULARY
 
-from conftest import ODD  # noqa: I001
+from odd_rows import ODD  # noqa: I001
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
