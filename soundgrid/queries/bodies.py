@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from soundgrid.functions import scalar
 from soundgrid.operators import cells, loudness, segments, similarity, structure
+from soundgrid.operators.blocks import previous_row
 from soundgrid.plans import references
 from soundgrid.queries.forms import CELL, HOP, NOV_SQL, RATE, SLOW_SQL, ev_features, ev_short_term
 from soundgrid.queries.levels import K
@@ -137,13 +138,14 @@ def structure_report(spark, root):
 # --- similarity on the embedding table ---------------------------------------------------
 
 EM_SQL = """WITH em AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-ep AS (SELECT a.vec_id, a.e AS a, b.e AS b FROM em a JOIN em b ON b.vec_id = a.vec_id + 1)"""
+ep AS (SELECT vec_id, e AS a, lead(e) OVER (ORDER BY vec_id) AS b FROM em QUALIFY lead(vec_id) OVER (ORDER BY vec_id) IS NOT NULL)"""
 
 
 def vector_pairs(spark, root):
-    """Each vector with its successor: an equality join on the shifted id."""
-    e = table(spark, root, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
-    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    """Each vector with the one of the next id, whatever the gap between them."""
+    e = table(spark, root, "embeddings").select(F.lit(0).alias("_all"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("b"))
+    d = previous_row(e, ["_all"], "vec_id", {"_id": "vec_id", "a": "b"}).where("_id IS NOT NULL")
+    return d.select(F.col("_id").alias("vec_id"), "a", "b")
 
 
 @query("B24", EM_SQL + """,
