@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,8 +50,11 @@ def side_plan(cells: DataFrame, keys: list[str], step: float, *, target: float |
     h = h.with_columns({"_need": need})
     i = F.col("cell")
     h = h.with_columns({"_g": F.least(F.lit(0.0), F.min("_need").over(h.window.rangeBetween(-win, 0)))})
-    h = h.with_columns({"_up": F.min(F.col("_g") - rise * i).over(h.window.rangeBetween(-up, 0)) + rise * i})
-    h = h.with_columns({"guard": F.min(F.col("_up") + attack * i).over(h.window.rangeBetween(0, down)) - attack * i})
+    # Running minima: rows of the block beyond the reach of a climb lie above -60 dB and never bind.
+    so_far = (Window.unboundedPreceding, 0)
+    h = h.with_columns({"_up": F.min(F.col("_g") - rise * i).over(h.window.rowsBetween(*so_far)) + rise * i})
+    back = Window.partitionBy(*keys, "_blk").orderBy(F.desc("cell")).rowsBetween(*so_far)
+    h = h.with_columns({"guard": F.min(F.col("_up") + attack * i).over(back) - attack * i})
     return h.own().select(*keys, "cell", "m", "s", "level", "guard", "limited", "target", "observed", "_pm", "_ps", "_gate", "_n")
 
 
