@@ -1,8 +1,8 @@
 """Training-order materialisation: token sequences in a keyed random order, in fixed-stride shard files.
 
-Texts become token ids, cut into sequences of fixed length. A keyed Feistel
-permutation with cycle-walking gives every sequence a slot; tasks write ranges of
-slots as files in which the record of a slot stands at a computed offset.
+Token ids are cut into sequences of fixed length. A keyed Feistel permutation with
+cycle-walking gives every sequence a slot; tasks write ranges of slots as files in
+which the record of a slot stands at a computed offset.
 """
 from __future__ import annotations
 
@@ -15,12 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soundgrid.llm.bpe import Encoder, load_vocabulary
 from soundgrid.llm.store import Store, new_folder
-from soundgrid.llm.texts import slices
 from soundgrid.session import materialise
 
-LENGTH, PAD, RECORDS, ROUNDS = 256, 65535, 8192, 6
+LENGTH, RECORDS, ROUNDS = 512, 8192, 6
 
 
 def feistel(index: np.ndarray, count: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -47,75 +45,74 @@ def feistel(index: np.ndarray, count: int, key: int, rounds: int = ROUNDS) -> np
     return slot.astype(np.int64)
 
 
-def tokenised(docs: DataFrame, vocabulary_path: str, length: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, task, start, n_tokens, n_seq, ids): a document's ids as 16-bit numbers, and the place of its first sequence within its task."""
-    vocabulary = load_vocabulary(vocabulary_path)
-    if vocabulary["size"] > PAD:
-        raise ValueError("ids of more than 16 bits")
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("task", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_seq", T.LongType()), T.StructField("ids", T.BinaryType())])
+def byte_ids(text) -> F.Column:
+    """A text's UTF-8 bytes as token ids of one byte each; 255 never occurs in UTF-8 and serves as padding."""
+    return F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8")
 
-    def run(batches):
-        import pyarrow.compute as pc
-        from pyspark import TaskContext
-
-        encoder, task, start = Encoder(shared.value), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            names, texts = batch.column(0), batch.column(1)
-            for at, count in slices(pc.binary_length(texts).to_pylist()):
-                ids, offsets = encoder(texts.slice(at, count).to_pylist())
-                data, n = ids.astype("<u2"), np.diff(offsets)
-                seqs = np.maximum(-(-n // length), 1)
-                starts = start + np.cumsum(seqs) - seqs
-                start += int(seqs.sum())
-                rows = [data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([names.slice(at, count), pa.array(np.full(count, task, np.int32)), pa.array(starts), pa.array(n), pa.array(seqs), pa.array(rows, pa.binary())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+def wide_ids(ids) -> F.Column:
+    """An array of ids below 65535 as little-endian ids of two bytes each."""
+    pairs = F.transform(ids, lambda i: F.concat(F.lpad(F.hex(i.bitwiseAND(F.lit(255))), 2, "0"), F.lpad(F.hex(F.shiftright(i, 8)), 2, "0")))
+    return F.unhex(F.array_join(pairs, ""))
 
 
 _INDEX = T.StructType([T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("seq_no", T.LongType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("record_crc32", T.LongType())])
 
 
-def materialise_order(docs: DataFrame, vocabulary_path: str, key: int = 1, length: int = LENGTH, records: int = RECORDS, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> tuple[DataFrame, str]:
-    """Writes the shard files, and returns their index and folder.
+def materialise_order(docs: DataFrame, ids, key: int = 1, length: int = LENGTH, width: int = 1, records: int = RECORDS, doc_id: str = "doc_id", folder: str | None = None, eager: bool = True) -> tuple[DataFrame, str]:
+    """The index of the shard files, and their folder; the files are written as the index is computed.
 
-    The index has a row per sequence: slot (0 to count - 1, each once), shard (slot
-    div records), byte offset of the record in the shard's file, doc_id, seq_no
-    within the document, tokens before the padding, CRC-32 of the record. A record
-    is `length` little-endian 16-bit ids, padded by PAD. A null or empty text is one
-    sequence of padding; repeated rows are written each. Sequences are numbered by
-    input file and row, so slots are the same for the same files and key. Files are
-    put in place in one step: tasks may run again, and a reader needs only the
-    manifest to resume at any slot.
+    ids: a binary column with a document's token ids, `width` bytes each, see
+    byte_ids() and wide_ids(). The index has a row per sequence: slot (0 to
+    count - 1, each once), shard (slot div records), byte offset of the record in
+    the shard's file, doc_id, seq_no within the document, tokens before the
+    padding, CRC-32 of the record. A record is `length` ids, padded by bytes of
+    255. Null or empty ids are one sequence of padding; repeated rows are written
+    each; other columns are ignored.
+
+    Sequences are numbered by the partitions of docs, which must be a plain scan of
+    files: a first pass counts each partition, and the second stops with an error
+    if it finds another number. Files are put in place in one step, so tasks may
+    run again, and a reader needs only the manifest to resume at any slot. Without
+    `eager` the files are there once the index has been read through.
     """
-    spark = docs.sparkSession
+    spark, stride = docs.sparkSession, length * width
     folder = folder or new_folder(spark, "order")
-    store, stride = Store(folder), 2 * length
-    rows = materialise(tokenised(docs, vocabulary_path, length, doc_id, text))
-    tasks = sorted((r["task"], r["n"]) for r in rows.groupBy("task").agg(F.sum("n_seq").alias("n")).collect())  # one number per task
+    store = Store(folder)
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(ids, F.lit(b"")).alias("ids"))
+    sequences = F.greatest(F.lit(1), F.ceil(F.octet_length("ids") / stride)).cast("long")
+    tasks = sorted((r["task"], r["n"]) for r in source.groupBy(F.spark_partition_id().alias("task")).agg(F.sum(sequences).alias("n")).collect())  # one number per partition
     count = sum(n for _, n in tasks)
-    base = dict(zip((t for t, _ in tasks), np.append(0, np.cumsum([n for _, n in tasks]))[:-1].tolist(), strict=True))
-    store.write("manifest.json", json.dumps({"count": count, "length": length, "stride": stride, "records": records, "pad": PAD, "key": key}).encode())
-    shared = spark.sparkContext.broadcast(base)
+    first = np.append(0, np.cumsum([n for _, n in tasks], dtype=np.int64))[:-1].tolist()
+    plan = {t: (a, n) for (t, n), a in zip(tasks, first, strict=True)}
+    store.write("manifest.json", json.dumps({"count": count, "length": length, "width": width, "stride": stride, "records": records, "key": key}).encode())
+    shared = spark.sparkContext.broadcast(plan)
     dealt = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("seq_no", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def deal(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        start, expected = shared.value.get(task, (0, 0))
+        done = 0
         for batch in batches:
-            doc, task, start, _, seqs, ids = (batch.column(i) for i in range(6))
-            seqs = seqs.to_numpy()
-            first = start.to_numpy() + np.array([shared.value[t] for t in task.to_pylist()], np.int64)
+            data = batch.column(1).to_pylist()
+            seqs = np.maximum(1, -(-np.fromiter(map(len, data), np.int64, len(data)) // stride))
             number = np.arange(seqs.sum()) - np.repeat(np.cumsum(seqs) - seqs, seqs)
-            slot = feistel(np.repeat(first, seqs) + number, count, key)
-            cut = [data[i * stride : (i + 1) * stride] for data, n in zip(ids.to_pylist(), seqs.tolist(), strict=True) for i in range(n)]
-            docs = doc.take(pa.array(np.repeat(np.arange(len(seqs)), seqs)))
-            yield pa.RecordBatch.from_arrays([pa.array((slot // records).astype(np.int32)), pa.array(slot), docs, pa.array(number), pa.array(cut, pa.binary())], names=dealt.names)
+            slot = feistel(start + done + np.arange(seqs.sum()), count, key)
+            done += int(seqs.sum())
+            cut = [d[i * stride : (i + 1) * stride] for d, n in zip(data, seqs.tolist(), strict=True) for i in range(n)]
+            names = batch.column(0).take(pa.array(np.repeat(np.arange(len(seqs)), seqs)))
+            yield pa.RecordBatch.from_arrays([pa.array((slot // records).astype(np.int32)), pa.array(slot), names, pa.array(number), pa.array(cut, pa.binary())], names=dealt.names)
+        if done != expected:
+            raise RuntimeError(f"partition {task} has {done} sequences, {expected} were counted: docs is no stable scan of files")
 
     def write(batches):
         from zlib import crc32
 
-        blank, shard, buffer, index = np.full(length, PAD, "<u2").tobytes(), None, bytearray(), []
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, shard, buffer, index = to_arrow_schema(_INDEX), None, bytearray(), []
 
         def finish():
             if shard is not None:
@@ -124,21 +121,18 @@ def materialise_order(docs: DataFrame, vocabulary_path: str, key: int = 1, lengt
             buffer.clear()
             index.clear()
 
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(_INDEX)
         for batch in batches:
-            for s, slot, doc, seq, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, slot, doc, seq, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != shard:
                     yield from finish()
                     shard = s
-                record = ids + blank[len(ids) :]
-                index.append((slot, s, len(buffer), doc, seq, len(ids) // 2, crc32(record)))
-                buffer.extend(record)
+                whole = record.ljust(stride, b"\xff")
+                index.append((slot, s, len(buffer), doc, seq, len(record) // width, crc32(whole)))
+                buffer.extend(whole)
         yield from finish()
 
-    ranges = rows.mapInArrow(deal, dealt).repartition("shard").sortWithinPartitions("shard", "slot")
-    return materialise(ranges.mapInArrow(write, _INDEX)), folder
+    index = source.mapInArrow(deal, dealt).repartition("shard").sortWithinPartitions("shard", "slot").mapInArrow(write, _INDEX)
+    return (materialise(index) if eager else index), folder
 
 
 def read_slots(folder: str, start: int, count: int) -> np.ndarray:
@@ -146,10 +140,11 @@ def read_slots(folder: str, start: int, count: int) -> np.ndarray:
     store = Store(folder)
     with open(store.path("manifest.json")) as f:
         spec = json.load(f)
+    kind = f"<u{spec['width']}"
     end, out = min(start + count, spec["count"]), []
     while start < end:
         shard, at = divmod(start, spec["records"])
         n = min(end - start, spec["records"] - at)
-        out.append(np.memmap(store.path(f"shard-{shard:06d}.bin"), "<u2", "r", at * spec["stride"], (n, spec["length"])))
+        out.append(np.memmap(store.path(f"shard-{shard:06d}.bin"), kind, "r", at * spec["stride"], (n, spec["length"])))
         start += n
-    return np.concatenate(out) if out else np.zeros((0, spec["length"]), "<u2")
+    return np.concatenate(out) if out else np.zeros((0, spec["length"]), kind)

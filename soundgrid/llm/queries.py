@@ -42,7 +42,7 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.materialise_order(documents(spark, sf_dir), VOCABULARY, key=42)[0]
+    return order.materialise_order(documents(spark, sf_dir), order.byte_ids(F.col("text")), key=42, eager=False)[0]
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

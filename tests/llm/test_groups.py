@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from soundgrid.llm import knn, lines, ngram, order, shards, simhash
+from soundgrid.llm import bpe, knn, lines, ngram, order, shards, simhash
 from soundgrid.llm.graph import components
 from soundgrid.llm.queries import VOCABULARY
 from test_texts import SPACED, low, slow_fingerprint
@@ -185,26 +185,29 @@ def test_feistel_is_a_permutation(count):
         assert (slots != order.feistel(np.arange(count), count, 10)).any()
 
 
-def test_training_order(docs):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(VOCABULARY)
+@pytest.mark.parametrize("width", [1, 2])
+def test_training_order(spark, docs, tmp_path, width):
     rows = [(1000 + i, " ".join(f"tok{i} é{j}" for j in range(i % 50))) for i in range(120)] + ODD
-    index, folder = order.materialise_order(docs(rows, extra=True), VOCABULARY, key=3, length=16, records=50)
+    docs(rows, extra=True).repartition(3).write.parquet(str(tmp_path / "docs"))
+    table = bpe.encode(spark.read.parquet(str(tmp_path / "docs")), VOCABULARY) if width == 2 else spark.read.parquet(str(tmp_path / "docs"))
+    ids = order.wide_ids(F.col("ids")) if width == 2 else order.byte_ids(F.col("text"))
+    want = {r["doc_id"]: r["ids"] if width == 2 else list((r["text"] or "").encode()) for r in (table if width == 2 else bpe.encode(table, VOCABULARY)).collect()}
+    sizes = [len(r["ids"]) if width == 2 else len((r["text"] or "").encode()) for r in (table if width == 2 else bpe.encode(table, VOCABULARY)).collect()]
+    index, folder = order.materialise_order(table, ids, key=3, length=16, width=width, records=50)
     index = sorted(index.collect(), key=lambda r: r["slot"])
     assert [r["slot"] for r in index] == list(range(len(index)))
-    assert len(index) == sum(max(1, -(-len(tokenizer.encode(t or "").ids) // 16)) for _, t in rows)
+    assert len(index) == sum(max(1, -(-n // 16)) for n in sizes)
     records = order.read_slots(folder, 0, len(index) + 5)
     assert (order.read_slots(folder, 37, 90) == records[37:127]).all()
     pieces = defaultdict(dict)
     for r in index:
         record = records[r["slot"]]
-        assert (r["shard"], r["offset"]) == (r["slot"] // 50, r["slot"] % 50 * 32)
-        assert r["record_crc32"] == zlib.crc32(record.tobytes()) and (record[r["n_tokens"] :] == order.PAD).all()
+        assert (r["shard"], r["offset"]) == (r["slot"] // 50, r["slot"] % 50 * 16 * width)
+        assert r["record_crc32"] == zlib.crc32(record.tobytes()) and (record[r["n_tokens"] :] == 256**width - 1).all()
         pieces[r["doc_id"]][r["seq_no"]] = record[: r["n_tokens"]].tolist()
-    for i, t in rows[:120]:
-        assert sum((pieces[i][k] for k in sorted(pieces[i])), []) == tokenizer.encode(t).ids
-    empty, folder = order.materialise_order(docs([]), VOCABULARY)
+    for i, _ in rows[:120]:
+        assert sum((pieces[i][k] for k in sorted(pieces[i])), []) == want[i]
+    empty, folder = order.materialise_order(docs([]), order.byte_ids(F.col("text")))
     assert empty.count() == 0 and len(order.read_slots(folder, 0, 5)) == 0
 
 
