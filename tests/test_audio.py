@@ -192,7 +192,7 @@ def test_wav_ingest_and_results(spark, tmp_path):
     for _ in range(2):
         sinks.write_results(out, str(tmp_path / "out"), ["kind"])
     assert spark.read.parquet(str(tmp_path / "out/results")).count() == 15
-    assert spark.read.parquet(str(tmp_path / "out/failures")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "out/failures")).count() == 3
 
 
 def clicks(bpm, beats, weak=None):
