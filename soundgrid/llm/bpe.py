@@ -239,6 +239,26 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame
     return append(df, make, [_IDS], text)
 
 
+def encode_wide(df: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
+    """As encode(), with `ids` as a binary of two little-endian bytes for each id; ids from 65535 on are refused."""
+    vocabulary = load_vocabulary(vocabulary_path)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    if max([len(vocabulary["bytes"]) - 1, *vocabulary["added"].values()]) >= 2**16 - 1:
+        raise ValueError("the vocabulary has ids that do not fit two bytes beside the padding")
+
+    def make():
+        encoder = Encoder(shared.value)
+
+        def step(texts):
+            ids, offsets = encoder(texts)
+            data = ids.astype("<u2").tobytes()
+            return [pa.array([data[2 * a : 2 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())]
+
+        return step
+
+    return append(df, make, [T.StructField("ids", T.BinaryType())], text)
+
+
 def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids") -> DataFrame:
     """df with `decoded`, the text of its array of ids; null ids give an empty text, ids outside the vocabulary nothing."""
     shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))

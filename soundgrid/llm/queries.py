@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from soundgrid.llm import bpe, decontam, knn, licenses, lines, ngram, order, shards, simhash, toxicity
 from soundgrid.llm.texts import documents
+from soundgrid.session import materialise
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -42,7 +43,8 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.materialise_order(documents(spark, sf_dir), order.byte_ids(F.col("text")), key=42, eager=False)[0]
+    table = materialise(bpe.encode_wide(documents(spark, sf_dir).select("doc_id", "text"), VOCABULARY).select("doc_id", "ids"))  # encoded once, read by both passes
+    return order.materialise_order(table, F.col("ids"), key=42, width=2, eager=False)[0]
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
