@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from soundgrid.llm.texts import quoted, without
 from soundgrid.session import materialise
 
-#: Lines with fewer characters are left alone: two short lines within one edit may be different words.
+#: Lines with fewer characters go only if they repeat exactly: two short lines within one edit may be different words.
 MIN_CHARS = 20
 #: Up to so many candidate lines (two numbers each) are broadcast; beyond that they are joined by shuffle.
 BROADCAST_LINES = 400_000
@@ -70,11 +70,11 @@ def _earlier(variants: DataFrame) -> DataFrame:
     return found.where(F.col("other").isNotNull() & (F.col("other")["first"] < F.col("first"))).select("h", "g", F.col("other")["h"].alias("oh"), F.col("other")["g"].alias("og")).distinct()
 
 
-def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, copy, keep): line numbers of each document (doc, text) that stay; see dedup()."""
+def kept_lines(docs: DataFrame, min_chars: int = 1, edit_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc, copy, keep): line numbers of each document (doc, text) that stay, of lines with `min_chars` characters or more; see dedup()."""
     lines = _occurrences(docs, min_chars)
     place = F.struct("doc", "copy", "line")
-    distinct = materialise(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.first(_halves(F.col("s"), F.col("n"))).alias("halves")))
+    distinct = materialise(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.first(F.when(F.col("n") >= edit_chars, _halves(F.col("s"), F.col("n")))).alias("halves")))
     halves = distinct.select("h", "g", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("least"), F.max("h").alias("most")).where(F.col("least") < F.col("most")).select("half")
     near = materialise(halves.join(shared, "half").select("h", "g").distinct())
@@ -87,25 +87,27 @@ def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return stay.groupBy("doc", "copy").agg(F.collect_list("line").alias("keep"))
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with their `text` cut to the lines that stay, and `n_lines`, `n_dropped`.
 
     Lines are ended by a line feed and compared without outer blanks and carriage
     returns. A line goes if an earlier place, by (doc_id, document, line number),
     holds an equal line or one within one character's edit, whether that one stays
-    or not; lines under `min_chars` characters always stay. Nulls sort first among
-    ids. Rows that repeat whole are one document and get the same lines. A null text
+    or not. Edits count between lines of MIN_CHARS characters or more, equality
+    between all but empty ones; with `min_chars`, shorter lines always stay and
+    edits count between all others. Nulls sort first among ids. Rows that repeat whole are one document and get the same lines. A null text
     stays null with no lines, an empty one has one empty line. Columns named like a
     new one are replaced; all others stay.
     """
     kept = without(docs, ["n_lines", "n_dropped"])
     rows = docs.select(*[F.col(quoted(c)) for c in kept])
     slim = rows.select(F.col(quoted(doc_id)).alias("doc"), F.col(quoted(text)).alias("text"))
-    keep = kept_lines(slim, min_chars).withColumnsRenamed({"doc": "__doc", "copy": "__copy", "keep": "__keep"})
+    least, edit_chars = (1, MIN_CHARS) if min_chars is None else (min_chars, min_chars)
+    keep = kept_lines(slim, least, edit_chars).withColumnsRenamed({"doc": "__doc", "copy": "__copy", "keep": "__keep"})
     joined = rows.join(keep, F.col(quoted(doc_id)).eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col(quoted(text))) == F.col("__copy")), "left")
     all_lines = F.split(F.col(quoted(text)), "\n")
     numbers = F.sequence(F.lit(0), F.size(all_lines) - 1)
-    short = F.filter(numbers, lambda i: F.char_length(_trimmed(F.element_at(F.col("__lines"), i + 1))) < min_chars)
+    short = F.filter(numbers, lambda i: F.char_length(_trimmed(F.element_at(F.col("__lines"), i + 1))) < least)
     joined = joined.withColumn("__lines", all_lines)
     joined = joined.withColumn("__stay", F.array_sort(F.concat(short, F.coalesce("__keep", F.array().cast("array<int>")))))
     cut = F.array_join(F.transform("__stay", lambda i: F.element_at(F.col("__lines"), i + 1)), "\n")

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from soundgrid.llm import bpe, queries
+from soundgrid.llm import bpe, lines, queries
 from soundgrid.llm.queries import VOCABULARY
 
 from odd_rows import ODD  # noqa: I001
@@ -22,3 +22,9 @@ def test_training_order_holds_token_ids(spark, docs):
     for r in queries.op5_training_order(spark, ROOT).collect():
         made[r["doc_id"]] += r["n_tokens"]
     assert made == tokens
+
+
+def test_short_lines_that_repeat_exactly_go(docs):
+    rows = [(1, "Menu\nHome\n\n  \na line of its own that is long"), (2, "Menu \nHomes\n\nmenu"), (3, "Menu")]
+    made = sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in lines.dedup(docs(rows)).collect())
+    assert made == [(1, rows[0][1], 0), (2, "Homes\n\nmenu", 1), (3, "", 1)]
