@@ -46,6 +46,11 @@ def test_toxicity_ranks_held_out_documents(docs, fitted):
     assert sum(hits) / len(hits) > 0.9 and sum(clean) / len(clean) < 0.05
 
 
+def test_toxicity_model_has_its_full_size(fitted):
+    trees = fitted[2].trees
+    assert trees.getNumTrees == 30 and trees.getMaxDepth() == 4
+
+
 def test_toxicity_takes_odd_rows(spark, docs, fitted):
     *_, model = fitted
     out = toxicity.score(docs(ODD, extra=True), model)
