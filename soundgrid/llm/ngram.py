@@ -1,7 +1,8 @@
-"""Interpolated modified Kneser-Ney model of word pairs, counted in Spark.
+"""Interpolated modified Kneser-Ney model of any order from two on, counted in Spark.
 
-Counts of pairs travel as sorted, packed arrays by shard of the context's hash and
-are merged per shard; the merged shards are stored as sorted hash arrays in the
+The highest order has counts of n-grams, each lower one counts of distinct words
+before. A pair is a word and its context, the hash of the words before it. Counts of pairs travel as sorted, packed arrays by shard of the context's hash and
+are merged per shard, order by order; the merged shards are stored as sorted hash arrays in the
 shared folder. Workers map these arrays into memory and score texts by binary
 search, so no worker ever holds the model.
 """
@@ -52,11 +53,16 @@ class WordHashes(dict):
         return out, counts
 
 
-def contexts(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.append(0, np.cumsum(counts)[:-1])] = BEGIN
-    return before
+def contexts(tokens: np.ndarray, counts: np.ndarray, order: int = 2) -> list[np.ndarray]:
+    """Hashes of the order - 1 tokens before each token, of the order - 2 before it, and so on to the one before; BEGIN stands before a text."""
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out: list[np.ndarray] = []
+    for back in range(1, order):
+        before = np.full_like(tokens, BEGIN)
+        before[back:] = tokens[:-back]
+        before[place < back] = BEGIN
+        out.insert(0, mixed(before, out[0]) if out else before)
+    return out
 
 
 def mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -86,8 +92,21 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _count(batches, bits: int, hot: np.ndarray):
-    """Packed pair counts (context, word, count) by shard."""
+def _packs(levels: list[np.ndarray], word: np.ndarray, values: list[np.ndarray], bits: int, hot: np.ndarray) -> list[tuple[int, bytes]]:
+    """(shard, packed rows) of pairs sorted by (levels[0], word); the lower contexts in levels follow from the first one."""
+    shard = shards_of(levels[0], mixed(levels[0], word), bits, hot)
+    order = np.argsort(shard, kind="stable")
+    shard, levels, word, values = shard[order], [x[order] for x in levels], word[order], [x[order] for x in values]
+    at, out = runs(shard), []
+    for a, b in zip(at, np.append(at[1:], len(shard)), strict=True):
+        starts = runs(levels[0][a:b])
+        small = [x[a:b].astype(np.min_scalar_type(x[a:b].max())) for x in values]
+        out.append((int(shard[a]), packed(*(x[a:b][starts] for x in levels), np.diff(np.append(starts, b - a)).astype(np.uint32), word[a:b], *small)))
+    return out
+
+
+def _count(batches, order: int, bits: int, hot: np.ndarray):
+    """Packed pair counts (contexts, word, count) of the highest order by shard."""
     import pyarrow.compute as pc
 
     hashes, held, size = WordHashes(), [], 0
@@ -95,30 +114,20 @@ def _count(batches, bits: int, hot: np.ndarray):
     def flush():
         if not held:
             return
-        context, word = (np.concatenate(x) for x in zip(*held, strict=True))
+        *levels, word = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((word, context))
-        context, word = context[order], word[order]
-        at = runs(context, word)
-        count = np.diff(np.append(at, len(context))).astype(np.uint32)
-        context, word = context[at], word[at]
-        shard = shards_of(context, mixed(context, word), bits, hot)
-        order = np.argsort(shard, kind="stable")
-        shard, context, word, count = shard[order], context[order], word[order], count[order]
-        at = runs(shard)
-        parts = []
-        for a, b in zip(at, np.append(at[1:], len(shard)), strict=True):
-            c = context[a:b]
-            starts = runs(c)
-            n = count[a:b]
-            parts.append(packed(c[starts], np.diff(np.append(starts, b - a)).astype(np.uint32), word[a:b], n.astype(np.min_scalar_type(n.max()))))
-        yield pa.RecordBatch.from_arrays([pa.array(shard[at], pa.int32()), pa.array(parts, pa.binary())], names=["shard", "data"])
+        sort = np.lexsort((word, levels[0]))
+        levels, word = [x[sort] for x in levels], word[sort]
+        at = runs(levels[0], word)
+        made = _packs([x[at] for x in levels], word[at], [np.diff(np.append(at, len(word)))], bits, hot)
+        shard, parts = zip(*made, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(parts, pa.binary())], names=["shard", "data"])
 
     for batch in batches:
         texts = batch.column(0)
         for start, count in slices(pc.binary_length(texts).to_pylist()):
             tokens, counts = hashes.of(texts.slice(start, count).to_pylist())
-            held.append((contexts(tokens, counts), tokens))
+            held.append((*contexts(tokens, counts, order), tokens))
             size += len(tokens)
             if size >= FLUSH_TOKENS:
                 yield from flush()
@@ -137,31 +146,37 @@ def _grouped(context: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
     return [context[at], *(np.add.reduceat(x, at).astype(np.int64) if len(at) else np.zeros(0, np.int64) for x in (count, count == 1, count == 2, count > 2))]
 
 
-def _merge_pairs(parts: list[bytes], shard: int, bits: int, hot: np.ndarray, store: Store):
-    """One shard's pairs: stores keys, counts and contexts; returns what its words and hot contexts add up to."""
-    pieces = [unpacked(p, 4) for p in parts]
-    context = np.concatenate([np.repeat(c, n) for c, n, _, _ in pieces])
-    word = np.concatenate([w for _, _, w, _ in pieces])
-    count = np.concatenate([n.astype(np.int64) for *_, n in pieces])
-    order = np.lexsort((word, context))
-    context, word, count = context[order], word[order], count[order]
-    at = runs(context, word)
-    count = np.add.reduceat(count, at)
-    context, word = context[at], word[at]
+def _merge_pairs(parts: list[bytes], shard: int, level: int, top: bool, bits: int, hot: np.ndarray, store: Store) -> list[tuple[int, bytes]]:
+    """One shard's pairs of an order: stores keys, counts and contexts; returns rows (shard, packed) for the order below, and what its hot contexts add up to at -level."""
+    pieces = [unpacked(p, level + 2 + (not top)) for p in parts]
+    levels = [np.concatenate([np.repeat(p[i], p[level - 1]) for p in pieces]) for i in range(level - 1)]
+    word = np.concatenate([p[level] for p in pieces])
+    count, total = (np.concatenate([p[i].astype(np.int64) for p in pieces]) for i in (level + 1, -1))
+    order = np.lexsort((word, levels[0]))
+    at = runs(levels[0][order], word[order])
+    count, total = np.add.reduceat(count[order], at), np.add.reduceat(total[order], at)
+    levels, word = [x[order][at] for x in levels], word[order][at]
+    context = levels[0]
     key = pair_keys(np.full(len(context), shard), mixed(context, word), bits)
     order = np.argsort(key, kind="stable")
-    store.save(f"pair-key-{shard}", key[order])
-    store.save(f"pair-count-{shard}", count[order].astype(np.min_scalar_type(count.max())))
+    store.save(f"pair-key-{level}-{shard}", key[order])
+    store.save(f"pair-count-{level}-{shard}", count[order].astype(np.min_scalar_type(count.max())))
     stats = _grouped(context, count)
     spread = np.isin(stats[0], hot)
     for name, x in zip(("context", "total", "ones", "twos", "more"), stats, strict=True):
         x = x[~spread]
-        store.save(f"{name}-{shard}", x if name == "context" else x.astype(np.uint32 if not len(x) or x.max() < 2**32 else np.uint64))
-    order = np.argsort(word, kind="stable")
-    word, count = word[order], count[order]
-    at = runs(word)
-    word, kinds, total = word[at], np.diff(np.append(at, len(word))), np.add.reduceat(count, at)
-    return (word, kinds, total), [x[spread] for x in stats], _tally(count)
+        store.save(f"{name}-{level}-{shard}", x if name == "context" else x.astype(np.uint32 if not len(x) or x.max() < 2**32 else np.uint64))
+    rows = [(-level, packed(*(x[spread] for x in stats), _tally(count)))]
+    below = levels[1:]
+    order = np.lexsort((word, *below[:1]))
+    below, word, total = [x[order] for x in below], word[order], total[order]
+    at = runs(*below[:1], word)
+    below, kinds, word, total = [x[at] for x in below], np.diff(np.append(at, len(word))), word[at], np.add.reduceat(total, at)
+    if below:
+        return rows + _packs(below, word, [kinds, total], bits, hot)
+    to = (word >> np.uint64(64 - bits)).astype(np.int32)
+    at = runs(to)
+    return rows + [(int(to[a]), packed(word[a:b], *(x[a:b].astype(np.min_scalar_type(x[a:b].max())) for x in (kinds, total)))) for a, b in zip(at, np.append(at[1:], len(to)), strict=True)]
 
 
 def _merge_words(parts: list[bytes], shard: int, store: Store) -> np.ndarray:
@@ -177,13 +192,14 @@ def _merge_words(parts: list[bytes], shard: int, store: Store) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What a scorer needs beside the array files: discounts and totals, and the few hot contexts."""
+    """What a scorer needs beside the array files: discounts and totals, and the few hot contexts, by order."""
 
     folder: str
     bits: int
     hot: np.ndarray
-    hot_stats: list[np.ndarray]
-    pair_discounts: np.ndarray
+    order: int
+    hot_stats: dict[int, list[np.ndarray]]
+    pair_discounts: dict[int, np.ndarray]
     word_discounts: np.ndarray
     word_tally: np.ndarray
     words: int
@@ -191,60 +207,68 @@ class Model:
 
 
 def discounts(tally: np.ndarray) -> np.ndarray:
-    """Discounts for counts 0, 1, 2 and more, from the counts of counts; half steps where these are missing."""
+    """Discounts for counts 0, 1, 2 and more, from the counts of counts; half steps where these are missing or leave a count undiscounted."""
     n = tally[:4].astype(float)
     if (n <= 0).any():
         return np.array([0, 0.5, 1.0, 1.5])
     y = n[0] / (n[0] + 2 * n[1])
-    return np.array([0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0), k) for k in (1, 2, 3))])
+    found = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
+    return np.array([0, *found] if min(found) > 0 else [0, 0.5, 1.0, 1.5])
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Counts the texts of docs and stores the model in the shared folder.
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
+    """Counts the texts of docs and stores a model of n-grams of `order` words in the shared folder.
 
     Tokens are words between ASCII white space, A-Z lowered, then one end. The
     number of shards follows the bytes of text, so a shard stays small at any size.
     An empty table gives a model that finds everything equally unlikely.
     """
+    if order < 2:
+        raise ValueError("the order is two at least")
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(max((size // SHARD_BYTES).bit_length(), 3), 16)
-    hot = _hot_words(texts)
+    hot = _hot_contexts(texts, order)
     folder = new_folder(spark, "ngram")
     store = Store(folder)
 
     def count(batches):
-        return _count(batches, bits, hot)
+        return _count(batches, order, bits, hot)
 
-    def pairs(key, group: pd.DataFrame) -> pd.DataFrame:
-        words, hot_stats, tally = _merge_pairs(list(group["data"]), int(key[0]), bits, hot, store)
-        shard = (words[0] >> np.uint64(64 - bits)).astype(np.int32)
-        at = runs(shard)
-        rows = [(int(shard[a]), packed(*(x[a:b].astype(np.min_scalar_type(x[a:b].max())) if i else x[a:b] for i, x in enumerate(words)))) for a, b in zip(at, np.append(at[1:], len(shard)), strict=True)]
-        return pd.DataFrame([*rows, (-1, packed(*hot_stats, tally))], columns=["shard", "data"])
+    def merging(level: int):
+        def pairs(key, group: pd.DataFrame) -> pd.DataFrame:
+            shard = int(key[0])
+            return group if shard < 0 else pd.DataFrame(_merge_pairs(list(group["data"]), shard, level, level == order, bits, hot, store), columns=["shard", "data"])
+
+        return pairs
 
     def words(key, group: pd.DataFrame) -> pd.DataFrame:
         shard = int(key[0])
         if shard < 0:
             *stats, tally = ([*x] for x in zip(*(unpacked(p, 6) for p in group["data"]), strict=True))
             context, *sums = (np.concatenate(x) for x in stats)
-            order = np.argsort(context, kind="stable")
-            at = runs(context[order])
-            merged = [context[order][at], *(np.add.reduceat(x[order], at) if len(at) else x for x in sums)]
+            sort = np.argsort(context, kind="stable")
+            at = runs(context[sort])
+            merged = [context[sort][at], *(np.add.reduceat(x[sort], at) if len(at) else x for x in sums)]
             return pd.DataFrame([(shard, packed(*merged, np.sum(tally, axis=0)))], columns=["shard", "data"])
         return pd.DataFrame([(shard, packed(_merge_words(list(group["data"]), shard, store)))], columns=["shard", "data"])
 
     parts = texts.mapInArrow(count, _PART)
-    made = parts.groupBy("shard").applyInPandas(pairs, _PART).groupBy("shard").applyInPandas(words, _PART).collect()  # one small row per shard
+    for level in range(order, 1, -1):
+        parts = parts.groupBy("shard").applyInPandas(merging(level), _PART)
+    made = parts.groupBy("shard").applyInPandas(words, _PART).collect()  # one small row per shard
     tallies = [unpacked(r["data"], 1)[0] for r in made if r["shard"] >= 0]
     word_tally = np.sum(tallies, axis=0) if tallies else np.zeros(7, np.int64)
-    *stats, pair_tally = next((unpacked(r["data"], 6) for r in made if r["shard"] < 0), [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4, np.zeros(6, np.int64)])
-    return Model(folder, bits, hot, stats, discounts(pair_tally), discounts(word_tally), word_tally, int(word_tally[4]), int(word_tally[6]))
+    found = {-r["shard"]: unpacked(r["data"], 6) for r in made if r["shard"] < 0}
+    none = [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4, np.zeros(6, np.int64)]
+    by_level = {level: found.get(level, none) for level in range(2, order + 1)}
+    stats = {level: x[:5] for level, x in by_level.items()}
+    return Model(folder, bits, hot, order, stats, {level: discounts(x[5]) for level, x in by_level.items()}, discounts(word_tally), word_tally, int(word_tally[4]), int(word_tally[6]))
 
 
-def _hot_words(texts: DataFrame) -> np.ndarray:
-    """At most HOT_SHARE hashes of very frequent words. They only decide where pairs are kept, never a score."""
+def _hot_contexts(texts: DataFrame, order: int) -> np.ndarray:
+    """At most HOT_SHARE hashes of very frequent contexts of any length. They only decide where pairs are kept, never a score."""
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     schema = T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -252,7 +276,7 @@ def _hot_words(texts: DataFrame) -> np.ndarray:
         hashes = WordHashes()
         for batch in batches:
             tokens, counts = hashes.of(batch.column(0).to_pylist())
-            word, n = np.unique(contexts(tokens, counts), return_counts=True)
+            word, n = np.unique(np.concatenate(contexts(tokens, counts, order)), return_counts=True)
             often = n * HOT_SHARE >= len(tokens)
             yield pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(n[often])], names=["word", "n"])
 
@@ -291,8 +315,8 @@ class Scorer:
                 x[a + hit] = self.array(name, shard)[where[hit]]
         return out
 
-    def __call__(self, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token, and its count in training."""
+    def __call__(self, tokens: np.ndarray, before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each token after its contexts(), and its count in training."""
         m = self.m
         word, back = np.unique(tokens, return_inverse=True)
         kinds, uses = self.lookup(word, ("word", "kinds", "uses"))
@@ -300,24 +324,30 @@ class Scorer:
         n1, n2 = m.word_tally[0], m.word_tally[1]
         d = m.word_discounts
         rest = (d[1] * n1 + d[2] * n2 + d[3] * (m.words - n1 - n2)) / all_kinds if m.words else 1.0
-        low = ((kinds - d[np.minimum(kinds, 3)]) / all_kinds + rest / (m.words + 1))[back]
-        uses = uses[back]
+        value = ((kinds - d[np.minimum(kinds, 3)]) / all_kinds + rest / (m.words + 1))[back]
+        for level, context in enumerate(reversed(before), 2):
+            value = self.interpolated(tokens, context, level, value)
+        return np.log10(value), uses[back]
 
+    def interpolated(self, tokens: np.ndarray, before: np.ndarray, level: int, low: np.ndarray) -> np.ndarray:
+        """Probabilities of one order, from those of the order below."""
+        m = self.m
         context, back = np.unique(before, return_inverse=True)
-        stats = self.lookup(context, ("context", "total", "ones", "twos", "more"))
-        if len(m.hot_stats[0]):
-            at = np.minimum(np.searchsorted(m.hot_stats[0], context), len(m.hot_stats[0]) - 1)
-            hit = np.flatnonzero(m.hot_stats[0][at] == context)
-            for x, hot in zip(stats, m.hot_stats[1:], strict=True):
+        stats = self.lookup(context, tuple(f"{x}-{level}" for x in ("context", "total", "ones", "twos", "more")))
+        hot_stats = m.hot_stats[level]
+        if len(hot_stats[0]):
+            at = np.minimum(np.searchsorted(hot_stats[0], context), len(hot_stats[0]) - 1)
+            hit = np.flatnonzero(hot_stats[0][at] == context)
+            for x, hot in zip(stats, hot_stats[1:], strict=True):
                 x[hit] += hot[at[hit]]
         total, *n = (x[back] for x in stats)
-        d = m.pair_discounts
+        d = m.pair_discounts[level]
         pair = mixed(before, tokens)
         key, back = np.unique(pair_keys(shards_of(before, pair, m.bits, m.hot), pair, m.bits), return_inverse=True)
-        count = self.lookup(key, ("pair-key", "pair-count"))[0][back]
+        count = self.lookup(key, (f"pair-key-{level}", f"pair-count-{level}"))[0][back]
         seen = np.maximum(total, 1)
         high = (count - d[np.minimum(count, 3)]) / seen + (d[1] * n[0] + d[2] * n[1] + d[3] * n[2]) / seen * low
-        return np.log10(np.where(total > 0, high, low)), uses
+        return np.where(total > 0, high, low)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -337,7 +367,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         def step(texts):
             tokens, counts = hashes.of(texts)
-            value, uses = scorer(tokens, contexts(tokens, counts))
+            value, uses = scorer(tokens, contexts(tokens, counts, shared.value.order))
             at = np.append(0, np.cumsum(counts)[:-1])
             return [pa.array(counts), pa.array(np.add.reduceat((uses > 0).astype(np.int64), at)), pa.array(np.add.reduceat(np.log10(uses + 1.0) - whole, at)), pa.array(np.add.reduceat(value, at))]
 

@@ -26,7 +26,7 @@ def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
     docs = documents(spark, sf_dir).select("doc_id", "text", held_out.alias("held_out"))
-    model = ngram.train(docs.where(~F.col("held_out")))
+    model = ngram.train(docs.where(~F.col("held_out")), order=3)
     scored = ngram.score(docs, model)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
