@@ -101,12 +101,13 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, learn, max_rows: int, doc_id: str, text: str) -> DataFrame:
-    """(part, toxic, text) of at most max_rows labelled documents, one of near-equal ones; part 0: lexicon, 1: trees, 2: calibration."""
+    """(part, toxic, text) of at most max_rows labelled documents, one of equal texts; part 0: lexicon, 1: trees, 2: calibration, near-equal texts mostly in the same."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(learn(F.col("doc_id"))).orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     rows = append(rows, lambda: lambda texts: [[sketch(t) for t in texts]], [T.StructField("sketch", T.LongType())])
-    rows = rows.groupBy("sketch", "toxic").agg(F.min_by("text", "doc_id").alias("text"))
+    name = [F.xxhash64("text").alias("h"), F.xxhash64(F.lit("text"), "text").alias("g")]
+    rows = rows.groupBy("sketch", "toxic", *name).agg(F.min_by("text", "doc_id").alias("text"))
     return materialise(rows.select(F.pmod(F.col("sketch"), F.lit(10)).alias("tenth"), "toxic", "text").select(F.when(F.col("tenth") < 4, 0).when(F.col("tenth") < 8, 1).otherwise(2).alias("part"), "toxic", "text"))
 
 

@@ -51,6 +51,15 @@ def test_toxicity_model_has_its_full_size(fitted):
     assert trees.getNumTrees == 30 and trees.getMaxDepth() == 4
 
 
+def test_toxicity_learns_from_unlike_texts_with_a_common_pair(spark, docs):
+    pair = min((f"a{i} b{i}" for i in range(4000)), key=toxicity.sketch)
+    rows = [(i, f"{pair} own{i} words{i}") for i in range(30)] + [(100 + i, f"{pair} own0 words0") for i in range(5)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows[:30]] + [(i, 0) for i, _ in rows[30:]], "doc_id long, toxic int")
+    made = toxicity._sample(docs(rows), labels, lambda i: F.lit(True), 1000, "doc_id", "text").collect()
+    assert sorted(r["text"] for r in made) == sorted(t for _, t in rows[:30])
+    assert len({r["part"] for r in made if toxicity.sketch(r["text"]) == toxicity.sketch(pair)}) == 1
+
+
 def test_toxicity_takes_odd_rows(spark, docs, fitted):
     *_, model = fitted
     out = toxicity.score(docs(ODD, extra=True), model)
