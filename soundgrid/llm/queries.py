@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundgrid.llm import bpe, decontam, knn, licenses, lines, ngram, order, shards, simhash, toxicity
+from soundgrid.llm import bpe, decontam, knn, licenses, lines, ngram, order, periods, shards, simhash, toxicity
 from soundgrid.llm.texts import documents
 from soundgrid.session import materialise
 
@@ -75,6 +75,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string"))
+    text = F.when(h % 10 == 0, periods.repeated(F.col("text"), F.floor(h / 10))).otherwise(F.col("text"))
+    made = periods.collapse(documents(spark, sf_dir).select("doc_id", text.alias("text")))
+    best, lines_of = F.col("strongest"), F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return made.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"), F.sha2(F.array_join(lines_of, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -107,7 +117,7 @@ FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)
 
 
 def queries() -> dict:
-    ops = [op1_voronoi_knn, op2_kneser_ney, op3_bpe, op4_minimax_shards, op5_training_order, op6_decontamination, op7_simhash, op8_license_scan, op9_line_dedup, op10_toxicity]
+    ops = [op1_voronoi_knn, op2_kneser_ney, op3_bpe, op4_minimax_shards, op5_training_order, op6_decontamination, op7_simhash, op8_license_scan, op9_line_dedup, op10_toxicity, op11_periodic_runs]
     return {f.__name__: f for f in [*ops, pipeline]}
 
 
