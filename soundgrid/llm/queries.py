@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundgrid.llm import bpe, decontam, knn, licenses, lines, ngram, order, periods, shards, simhash, toxicity
+from soundgrid.llm import bpe, decontam, knn, licenses, lines, ngram, order, periods, secretscan, shards, simhash, toxicity
 from soundgrid.llm.texts import documents
 from soundgrid.session import materialise
 
@@ -85,6 +85,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"), F.sha2(F.array_join(lines_of, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = secretscan.scan(documents(spark, sf_dir))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    base = of(*[r.kind for r in secretscan.BASE])
+    counts = [F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in secretscan.BASE]
+    return made.select("doc_id", *counts, F.sha2(secretscan.listed(base), 256).alias("base_sha256"), secretscan.listed(F.col("spans")).alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -116,13 +124,36 @@ FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)
 """
 
 
+def _secrets_sql() -> str:
+    def kind(rank: int, r: secretscan.Rule) -> str:
+        rx = r.pattern.replace("'", "''")
+        cut = f"string_split_regex(text, '{rx}') AS before, regexp_extract_all(text, '{rx}', 0) AS found, regexp_extract_all(text, '{rx}', {r.group}) AS part"
+        return f"SELECT row, '{r.kind}' AS kind, {rank} AS rank, {r.least} AS least, {cut} FROM d WHERE regexp_matches(text, '{rx}')"
+
+    count = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secretscan.BASE)
+    counted = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secretscan.BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(kind(i, r) for i, r in enumerate(secretscan.RULES))}),
+p AS (SELECT *, unnest(range(1, len(found) + 1)) AS nth FROM m),
+s AS (
+  SELECT row, kind, rank, list_sum(list_transform(before[1 : nth], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1 : nth - 1], lambda x: length(x))), 0) AS start, length(found[nth]) AS size
+  FROM p WHERE length(part[nth]) >= least),
+g AS (
+  SELECT row, {counted}, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT), ',' ORDER BY start, rank) AS spans,
+    string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < {len(secretscan.BASE)}) AS base
+  FROM s GROUP BY row)
+SELECT doc_id, {count}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (row)
+"""
+
+
 def queries() -> dict:
-    ops = [op1_voronoi_knn, op2_kneser_ney, op3_bpe, op4_minimax_shards, op5_training_order, op6_decontamination, op7_simhash, op8_license_scan, op9_line_dedup, op10_toxicity, op11_periodic_runs]
+    ops = [op1_voronoi_knn, op2_kneser_ney, op3_bpe, op4_minimax_shards, op5_training_order, op6_decontamination, op7_simhash, op8_license_scan, op9_line_dedup, op10_toxicity, op11_periodic_runs, op12_secret_scan]
     return {f.__name__: f for f in [*ops, pipeline]}
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {"op1_voronoi_knn": OP1_SQL, "op6_decontamination": OP6_SQL}
+    own = {"op1_voronoi_knn": OP1_SQL, "op6_decontamination": OP6_SQL, "op12_secret_scan": _secrets_sql()}
     if sql := importlib.import_module("corpus_pipeline").ORACLE_SQL:
         own["pipeline"] = sql
     return own
