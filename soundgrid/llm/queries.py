@@ -1,13 +1,14 @@
 """Registered queries of the training-data operators, with SQL twins where SQL can express them."""
 from __future__ import annotations
 
+import hashlib
 import importlib
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundgrid.llm import bpe, decontam, knn, licenses, lines, ngram, order, periods, secretscan, shards, simhash, toxicity
+from soundgrid.llm import bpe, clusters, decontam, knn, licenses, lines, ngram, order, periods, secretscan, shards, simhash, toxicity
 from soundgrid.llm.texts import documents
 from soundgrid.session import materialise
 
@@ -93,6 +94,20 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *counts, F.sha2(secretscan.listed(base), 256).alias("base_sha256"), secretscan.listed(F.col("spans")).alias("spans"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, centroids = clusters.assign(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    inertia = clusters.inertias(made)
+    digests = {c: hashlib.sha256(",".join(map(str, map(int, v))).encode()).hexdigest() for c, v in enumerate(centroids)}
+
+    def of(values: dict, kind: str):
+        found = F.lit(None).cast(kind)
+        for c, value in values.items():
+            found = F.when(F.col("cluster") == c, F.lit(value).cast(kind)).otherwise(found)
+        return found
+
+    return made.select("vec_id", "cluster", "distance", of(inertia, "long").alias("cluster_inertia"), F.lit(sum(inertia.values())).cast("long").alias("inertia"), of(digests, "string").alias("centroid_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -147,13 +162,38 @@ SELECT doc_id, {count}, sha256(coalesce(base, '')) AS base_sha256, coalesce(span
 """
 
 
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    def assigned(r: int) -> str:
+        far = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+        return f"a{r} AS MATERIALIZED (SELECT row, vec_id, v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (SELECT row, vec_id, v, cluster, {far} AS d FROM e, c{r}) GROUP BY row, vec_id, v)"
+
+    def moved(r: int) -> str:
+        mean = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+        sums = f"SELECT cluster, nth, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS nth FROM a{r - 1}) GROUP BY cluster, nth"
+        return f"c{r} AS MATERIALIZED (SELECT cluster, coalesce(m.c, o.c) AS c FROM c{r - 1} o LEFT JOIN (SELECT cluster, list({mean} ORDER BY nth) AS c FROM ({sums}) GROUP BY cluster) m USING (cluster))"
+
+    steps = [assigned(0)]
+    for r in range(1, rounds + 1):
+        steps += [moved(r), assigned(r)]
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS cluster, v AS c FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM e ORDER BY h, v LIMIT {k})),
+{", ".join(steps)}
+SELECT vec_id, cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)
+"""
+
+
 def queries() -> dict:
-    ops = [op1_voronoi_knn, op2_kneser_ney, op3_bpe, op4_minimax_shards, op5_training_order, op6_decontamination, op7_simhash, op8_license_scan, op9_line_dedup, op10_toxicity, op11_periodic_runs, op12_secret_scan]
+    ops = [op1_voronoi_knn, op2_kneser_ney, op3_bpe, op4_minimax_shards, op5_training_order, op6_decontamination, op7_simhash, op8_license_scan, op9_line_dedup, op10_toxicity, op11_periodic_runs, op12_secret_scan, op13_centroid_clustering]
     return {f.__name__: f for f in [*ops, pipeline]}
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {"op1_voronoi_knn": OP1_SQL, "op6_decontamination": OP6_SQL, "op12_secret_scan": _secrets_sql()}
+    own = {"op1_voronoi_knn": OP1_SQL, "op6_decontamination": OP6_SQL, "op12_secret_scan": _secrets_sql(), "op13_centroid_clustering": _clusters_sql()}
     if sql := importlib.import_module("corpus_pipeline").ORACLE_SQL:
         own["pipeline"] = sql
     return own
