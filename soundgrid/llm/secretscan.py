@@ -7,6 +7,7 @@ rule. Rules without mandatory trigrams read all texts.
 """
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +46,10 @@ RULES = (
 )
 
 
+#: Places of the index that hold the postings of one trigram.
+SPLIT = 64
+
+
 def _table(spark, rows: list[tuple], names: list[str]) -> DataFrame:
     """A small table of constants."""
     return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names, strict=True)]) for r in rows])))
@@ -56,10 +61,15 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def index(docs: DataFrame, wanted: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index (trigram, k1, k2) of the wanted trigrams over lowered texts, stored in the order of the trigrams; (k1, k2) names a row by its id and text."""
+    """The inverted index (trigram, k1, k2) of the wanted trigrams over lowered texts; (k1, k2) names a row by its id and text.
+
+    One pass takes the stretches that could be wanted by their three characters and
+    keeps the wanted ones. A trigram's postings lie sorted in SPLIT places at most.
+    """
     low = _keyed(docs, doc_id, text).where("text <> ''").select("k1", "k2", F.lower("text").alias("low"))
-    found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in wanted]))
-    return materialise(low.select(F.explode(found).alias("trigram"), "k1", "k2").repartitionByRange("trigram", "k1").sortWithinPartitions("trigram", "k1"))
+    sets = ["".join(re.escape(c) for c in sorted({g[i] for g in wanted})) for i in range(3)]
+    found = F.array_intersect(F.regexp_extract_all("low", F.lit("(?=([{}][{}][{}]))".format(*sets)), F.lit(1)), F.lit(wanted))
+    return materialise(low.select(F.explode(found).alias("trigram"), "k1", "k2").repartition("trigram", F.pmod("k1", F.lit(SPLIT))).sortWithinPartitions("trigram", "k1"))
 
 
 def candidates(postings: DataFrame, queries: dict[str, list[list[str]]]) -> DataFrame:
