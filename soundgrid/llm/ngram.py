@@ -1,10 +1,11 @@
 """Interpolated modified Kneser-Ney model of any order from two on, counted in Spark.
 
 The highest order has counts of n-grams, each lower one counts of distinct words
-before. A pair is a word and its context, the hash of the words before it. Counts of pairs travel as sorted, packed arrays by shard of the context's hash and
-are merged per shard, order by order; the merged shards are stored as sorted hash arrays in the
-shared folder. Workers map these arrays into memory and score texts by binary
-search, so no worker ever holds the model.
+before. Frequent words have short codes, so that an n-gram of such words is one
+64-bit key; the others travel as hashes. Counts of n-grams travel as sorted blocks by
+shard of the context's hash and are merged per shard, order by order; the merged
+shards are stored as sorted hash arrays in the shared folder. Workers map these
+arrays into memory and score texts by binary search, so no worker ever holds the model.
 """
 from __future__ import annotations
 
@@ -17,54 +18,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soundgrid.llm.store import Store, new_folder, packed, unpacked
+from soundgrid.llm.store import Store, new_folder, packed, planes, unpacked, unplanes
 from soundgrid.llm.texts import append, slices
 
 BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Tokens that a counting task holds before it passes their pairs on.
+#: Tokens that a counting task holds before it passes their n-grams on.
 FLUSH_TOKENS = 3_000_000
-#: Bytes of training text per shard of the model.
-SHARD_BYTES = 12 << 20
-#: Words with over a thousandth of the tokens (of one document in SAMPLE) have their pairs dealt out over all shards.
+#: Bytes of training text per shard of the model, and bits of a shard's number at most.
+SHARD_BYTES, SHARD_BITS = 12 << 20, 20
+#: Words with over a thousandth of the tokens (of one document in SAMPLE) have their n-grams dealt out over all shards.
 HOT_SHARE, SAMPLE = 1000, 64
+#: Bits of a short code at most; documents of which the coded words are taken are one in CODE_SAMPLE.
+CODE_BITS, CODE_SAMPLE = 18, 16
+#: Hashes from here on are hashes, numbers below are short codes.
+WIDE = np.uint64(1 << 32)
 
 _PART = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
 
 class WordHashes(dict):
-    """XXH64 of words; forgets all when it has grown too large."""
+    """XXH64 of words, or their short codes where there are such; forgets all when it has grown too large."""
+
+    def __init__(self, codes: dict[int, int] | None = None, end=END):
+        super().__init__()
+        self.codes, self.end = codes, end
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        self[word] = value = xxh64_intdigest(word)
+        value = xxh64_intdigest(word)
+        value = value if value >> 32 else value | 1 << 40
+        self[word] = value = self.codes.get(value, value) if self.codes else value
         return value
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all tokens in a row (each text's words, then END), and the tokens of each text."""
+        """Hashes of all tokens in a row (each text's words, then the end), and the tokens of each text."""
         if len(self) > 400_000:
             self.clear()
         words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
         counts = np.array([len(w) + 1 for w in words], np.int64)
-        out = np.full(counts.sum(), END, np.uint64)
+        out = np.full(counts.sum(), self.end, np.uint64)
         inner = np.ones(len(out), bool)
         inner[np.cumsum(counts) - 1] = False
         out[inner] = np.fromiter((self[x] for w in words for x in w), np.uint64, len(out) - len(words))
         return out, counts
 
 
-def contexts(tokens: np.ndarray, counts: np.ndarray, order: int = 2) -> list[np.ndarray]:
-    """Hashes of the order - 1 tokens before each token, of the order - 2 before it, and so on to the one before; BEGIN stands before a text."""
+def before(tokens: np.ndarray, counts: np.ndarray, order: int, begin=BEGIN) -> list[np.ndarray]:
+    """The tokens order - 1 to one places before each token; `begin` stands before a text."""
     place = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
-    out: list[np.ndarray] = []
-    for back in range(1, order):
-        before = np.full_like(tokens, BEGIN)
-        before[back:] = tokens[:-back]
-        before[place < back] = BEGIN
-        out.insert(0, mixed(before, out[0]) if out else before)
+    out = []
+    for back in range(order - 1, 0, -1):
+        there = np.full_like(tokens, begin)
+        there[back:] = tokens[:-back]
+        there[place < back] = begin
+        out.append(there)
+    return out
+
+
+def context(words: list[np.ndarray]) -> np.ndarray:
+    """The hash of the words of a context, the nearest one last."""
+    out = words[-1]
+    for w in reversed(words[:-1]):
+        out = mixed(w, out)
     return out
 
 
+def contexts(tokens: np.ndarray, counts: np.ndarray, order: int = 2) -> list[np.ndarray]:
+    """Hashes of the order - 1 tokens before each token, of the order - 2 before it, and so on to the one before."""
+    words = before(tokens, counts, order)
+    return [context(words[i:]) for i in range(order - 1)]
+
+
 def mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     x = context * np.uint64(0xBF58476D1CE4E5B9) + (word ^ (word >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(29)
@@ -92,42 +117,104 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _packs(levels: list[np.ndarray], word: np.ndarray, values: list[np.ndarray], bits: int, hot: np.ndarray) -> list[tuple[int, bytes]]:
-    """(shard, packed rows) of pairs sorted by (levels[0], word); the lower contexts in levels follow from the first one."""
-    shard = shards_of(levels[0], mixed(levels[0], word), bits, hot)
-    order = np.argsort(shard, kind="stable")
-    shard, levels, word, values = shard[order], [x[order] for x in levels], word[order], [x[order] for x in values]
-    at, out = runs(shard), []
-    for a, b in zip(at, np.append(at[1:], len(shard)), strict=True):
-        starts = runs(levels[0][a:b])
-        small = [x[a:b].astype(np.min_scalar_type(x[a:b].max())) for x in values]
-        out.append((int(shard[a]), packed(*(x[a:b][starts] for x in levels), np.diff(np.append(starts, b - a)).astype(np.uint32), word[a:b], *small)))
-    return out
+@dataclass
+class Plan:
+    """What all counting and merging tasks share: the shards, hot contexts, and the hashes of the coded words by code (0: begin, 1: end)."""
 
+    order: int
+    bits: int
+    hot: np.ndarray
+    words: np.ndarray
+
+    def code_bits(self, width: int) -> int:
+        return min(CODE_BITS, 64 // width)
+
+    def hashes(self, words: np.ndarray) -> np.ndarray:
+        """Hashes of codes and hashes."""
+        return np.where(words < WIDE, self.words[np.where(words < WIDE, words, 0).astype(np.int64)], words)
 
-def _count(batches, order: int, bits: int, hot: np.ndarray):
-    """Packed pair counts (contexts, word, count) of the highest order by shard."""
+    def narrow(self, columns: list[np.ndarray]) -> np.ndarray:
+        limit = np.uint64(1 << self.code_bits(len(columns)))
+        out = columns[0] < limit
+        for c in columns[1:]:
+            out &= c < limit
+        return out
+
+    def keys(self, columns: list[np.ndarray]) -> np.ndarray:
+        step, out = np.uint64(self.code_bits(len(columns))), columns[0].copy()
+        for c in columns[1:]:
+            out = (out << step) | c
+        return out
+
+    def columns(self, keys: np.ndarray, width: int) -> list[np.ndarray]:
+        bits = self.code_bits(width)
+        mask = np.uint64((1 << bits) - 1)
+        return [(keys >> np.uint64(bits * i)) & mask for i in range(width - 1, -1, -1)]
+
+    def summed(self, columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Distinct rows of words, those that fit one key first, each kind sorted, and their summed values."""
+        fits, parts = self.narrow(columns), []
+        inner = np.flatnonzero(fits)
+        keys = self.keys([c[inner] for c in columns])
+        order = np.argsort(keys, kind="stable")
+        at = runs(keys[order])
+        parts.append((inner[order], at))
+        outer = np.flatnonzero(~fits)
+        order = outer[np.lexsort([c[outer] for c in reversed(columns)])]
+        parts.append((order, runs(*[c[order] for c in columns])))
+        rows = np.concatenate([o[a] for o, a in parts])
+        sums = [np.concatenate([np.add.reduceat(v[o], a) if len(a) else v[:0] for o, a in parts]) for v in values]
+        return [c[rows] for c in columns], sums
+
+    def pack(self, columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+        """Rows as summed() leaves them: differences of keys, whole hashes for the others, and small values."""
+        fits = self.narrow(columns)
+        n = int(fits.sum())  # these come first
+        keys = self.keys([c[:n] for c in columns])
+        small = [v.astype(np.min_scalar_type(v.max(initial=0))) for v in values]
+        return packed(planes(np.diff(keys, prepend=np.uint64(0))), *(planes(c[n:]) for c in columns), *small)
+
+    def unpack(self, data: bytes, width: int, values: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        steps, *rest = unpacked(data, 1 + width + values)
+        inner = self.columns(np.cumsum(unplanes(steps, np.uint64), dtype=np.uint64), width)
+        return [np.concatenate([a, unplanes(b, np.uint64)]) for a, b in zip(inner, rest[:width], strict=True)], [v.astype(np.int64) for v in rest[width:]]
+
+    def packs(self, columns: list[np.ndarray], values: list[np.ndarray]) -> list[tuple[int, bytes]]:
+        """(shard, block) of rows as summed() leaves them: the shard of an n-gram is its context's, that of a single word its own."""
+        hashes = [self.hashes(c) for c in columns]
+        if len(columns) > 1:
+            c = context(hashes[:-1])
+            shard = shards_of(c, mixed(c, hashes[-1]), self.bits, self.hot)
+        else:
+            shard = (hashes[0] >> np.uint64(64 - self.bits)).astype(np.int32)
+        order = np.argsort(shard.astype(np.uint16) if self.bits <= 16 else shard, kind="stable")
+        at, out = runs(shard[order]), []
+        for a, b in zip(at, np.append(at[1:], len(shard)), strict=True):
+            rows = order[a:b]
+            out.append((int(shard[rows[0]]), self.pack([x[rows] for x in columns], [x[rows] for x in values])))
+        return out
+
+
+def _count(batches, plan: Plan):
+    """Blocks of the highest order's n-gram counts by shard."""
     import pyarrow.compute as pc
 
-    hashes, held, size = WordHashes(), [], 0
+    hashes, held, size = WordHashes({int(h): i for i, h in enumerate(plan.words.tolist()) if i > 1}, np.uint64(1)), [], 0
 
     def flush():
         if not held:
             return
-        *levels, word = (np.concatenate(x) for x in zip(*held, strict=True))
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
         held.clear()
-        sort = np.lexsort((word, levels[0]))
-        levels, word = [x[sort] for x in levels], word[sort]
-        at = runs(levels[0], word)
-        made = _packs([x[at] for x in levels], word[at], [np.diff(np.append(at, len(word)))], bits, hot)
-        shard, parts = zip(*made, strict=True)
+        columns, (counts,) = plan.summed(columns, [np.ones(len(columns[0]), np.uint32)])
+        shard, parts = zip(*plan.packs(columns, [counts]), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(parts, pa.binary())], names=["shard", "data"])
 
     for batch in batches:
         texts = batch.column(0)
         for start, count in slices(pc.binary_length(texts).to_pylist()):
             tokens, counts = hashes.of(texts.slice(start, count).to_pylist())
-            held.append((*contexts(tokens, counts, order), tokens))
+            held.append((*before(tokens, counts, plan.order, np.uint64(0)), tokens))
             size += len(tokens)
             if size >= FLUSH_TOKENS:
                 yield from flush()
@@ -140,53 +227,77 @@ def _tally(counts: np.ndarray) -> np.ndarray:
     return np.array([*((counts == i).sum() for i in (1, 2, 3, 4)), len(counts), counts.sum()], np.int64)
 
 
-def _grouped(context: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
-    """Per context of sorted pairs: the context, its total, and its pairs with count 1, 2, and more."""
-    at = runs(context)
-    return [context[at], *(np.add.reduceat(x, at).astype(np.int64) if len(at) else np.zeros(0, np.int64) for x in (count, count == 1, count == 2, count > 2))]
-
-
-def _merge_pairs(parts: list[bytes], shard: int, level: int, top: bool, bits: int, hot: np.ndarray, store: Store) -> list[tuple[int, bytes]]:
-    """One shard's pairs of an order: stores keys, counts and contexts; returns rows (shard, packed) for the order below, and what its hot contexts add up to at -level."""
-    pieces = [unpacked(p, level + 2 + (not top)) for p in parts]
-    levels = [np.concatenate([np.repeat(p[i], p[level - 1]) for p in pieces]) for i in range(level - 1)]
-    word = np.concatenate([p[level] for p in pieces])
-    count, total = (np.concatenate([p[i].astype(np.int64) for p in pieces]) for i in (level + 1, -1))
-    order = np.lexsort((word, levels[0]))
-    at = runs(levels[0][order], word[order])
-    count, total = np.add.reduceat(count[order], at), np.add.reduceat(total[order], at)
-    levels, word = [x[order][at] for x in levels], word[order][at]
-    context = levels[0]
-    key = pair_keys(np.full(len(context), shard), mixed(context, word), bits)
-    order = np.argsort(key, kind="stable")
-    store.save(f"pair-key-{level}-{shard}", key[order])
-    store.save(f"pair-count-{level}-{shard}", count[order].astype(np.min_scalar_type(count.max())))
-    stats = _grouped(context, count)
-    spread = np.isin(stats[0], hot)
-    for name, x in zip(("context", "total", "ones", "twos", "more"), stats, strict=True):
-        x = x[~spread]
-        store.save(f"{name}-{level}-{shard}", x if name == "context" else x.astype(np.uint32 if not len(x) or x.max() < 2**32 else np.uint64))
-    rows = [(-level, packed(*(x[spread] for x in stats), _tally(count)))]
-    below = levels[1:]
-    order = np.lexsort((word, *below[:1]))
-    below, word, total = [x[order] for x in below], word[order], total[order]
-    at = runs(*below[:1], word)
-    below, kinds, word, total = [x[at] for x in below], np.diff(np.append(at, len(word))), word[at], np.add.reduceat(total, at)
-    if below:
-        return rows + _packs(below, word, [kinds, total], bits, hot)
-    to = (word >> np.uint64(64 - bits)).astype(np.int32)
-    at = runs(to)
-    return rows + [(int(to[a]), packed(word[a:b], *(x[a:b].astype(np.min_scalar_type(x[a:b].max())) for x in (kinds, total)))) for a, b in zip(at, np.append(at[1:], len(to)), strict=True)]
-
-
-def _merge_words(parts: list[bytes], shard: int, store: Store) -> np.ndarray:
-    word, kinds, total = (np.concatenate(x) for x in zip(*(unpacked(p, 3) for p in parts), strict=True))
+def _grouped(context: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+    """The distinct contexts, sorted, and their summed values."""
+    order = np.argsort(context, kind="stable")
+    at = runs(context[order])
+    return [context[order][at], *(np.add.reduceat(v[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64) for v in values)]
+
+
+def table(keys: np.ndarray, values: dict[str, np.ndarray], bits: int) -> dict[str, np.ndarray]:
+    """Sorted keys of one shard as a directory of their next bits and 32 bits each; values of 8 bits, larger ones apart."""
+    depth = max(1, len(keys).bit_length() - 2)
+    rest = keys << np.uint64(bits)
+    out = {"starts": np.searchsorted(rest >> np.uint64(64 - depth), np.arange((1 << depth) + 1, dtype=np.uint64)).astype(np.uint32), "keys": ((rest << np.uint64(depth)) >> np.uint64(32)).astype(np.uint32)}
+    for name, v in values.items():
+        large = np.flatnonzero(v >= 255)
+        out |= {name: np.minimum(v, 255).astype(np.uint8), f"{name}-at": large.astype(np.uint32), f"{name}-is": v[large].astype(np.int64)}
+    return out
+
+
+def found(t: dict[str, np.ndarray], keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the shard's keys are in a table(), and where."""
+    depth = (len(t["starts"]) - 1).bit_length() - 1
+    rest = keys << np.uint64(bits)
+    bucket = (rest >> np.uint64(64 - depth)).astype(np.int64)
+    low, end = t["starts"][bucket].astype(np.int64), t["starts"][bucket + 1].astype(np.int64)
+    want, high, size = ((rest << np.uint64(depth)) >> np.uint64(32)).astype(np.uint32), end.copy(), len(t["keys"])
+    for _ in range(int((high - low).max(initial=0)).bit_length()):
+        middle = (low + high) >> 1
+        less = (low < high) & (t["keys"][np.minimum(middle, size - 1)] < want)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+    hit = np.flatnonzero(low < end)
+    hit = hit[t["keys"][low[hit]] == want[hit]]
+    return hit, low[hit]
+
+
+def value(t: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    out = t[name][at].astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    out[large] = t[f"{name}-is"][np.searchsorted(t[f"{name}-at"], at[large])]
+    return out
+
+
+STATS = ("total", "ones", "twos", "more")
+
+
+def _merge(parts: list[bytes], shard: int, level: int, plan: Plan, store: Store) -> list[tuple[int, bytes]]:
+    """One shard's n-grams of an order: stores their counts and contexts; returns blocks (shard, data) for the order below, and at -level the order's tally and what its hot contexts add up to."""
+    top = level == plan.order
+    pieces = [plan.unpack(p, level, 1 if top else 2) for p in parts]
+    columns = [np.concatenate(x) for x in zip(*(p[0] for p in pieces), strict=True)]
+    values = [np.concatenate(x) for x in zip(*(p[1] for p in pieces), strict=True)]
+    columns, sums = plan.summed(columns, values)
+    count, total = sums[0], sums[-1]
+    hashes = [plan.hashes(c) for c in columns]
+    c = context(hashes[:-1])
+    keys = pair_keys(np.full(len(c), shard), mixed(c, hashes[-1]), plan.bits)
+    order = np.argsort(keys, kind="stable")
+    store.save_all(f"pairs-{level}-{shard}", table(keys[order], {"count": count[order]}, plan.bits))
+    stats = _grouped(c, [count, count == 1, count == 2, count > 2])
+    spread = np.isin(stats[0], plan.hot)
+    store.save_all(f"contexts-{level}-{shard}", table(stats[0][~spread], dict(zip(STATS, (x[~spread] for x in stats[1:]), strict=True)), plan.bits))
+    tail = [(-level, packed(*(x[spread] for x in stats), _tally(count)))]
+    columns, sums = plan.summed(columns[1:], [np.ones(len(c), np.int64), total])
+    return plan.packs(columns, sums) + tail
+
+
+def _merge_words(parts: list[bytes], shard: int, plan: Plan, store: Store) -> np.ndarray:
+    pieces = [plan.unpack(p, 1, 2) for p in parts]
+    columns, (kinds, total) = plan.summed([np.concatenate([p[0][0] for p in pieces])], [np.concatenate([p[1][i] for p in pieces]) for i in (0, 1)])
+    word = plan.hashes(columns[0])
     order = np.argsort(word, kind="stable")
-    word, at = word[order], runs(word[order])
-    kinds, total = np.add.reduceat(kinds[order].astype(np.int64), at), np.add.reduceat(total[order].astype(np.int64), at)
-    store.save(f"word-{shard}", word[at])
-    store.save(f"kinds-{shard}", kinds.astype(np.min_scalar_type(kinds.max())))
-    store.save(f"uses-{shard}", total.astype(np.min_scalar_type(total.max())))
+    store.save_all(f"words-{shard}", table(word[order], {"kinds": kinds[order], "uses": total[order]}, plan.bits))
     return np.append(_tally(kinds), total.sum())
 
 
@@ -228,31 +339,29 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = min(max((size // SHARD_BYTES).bit_length(), 3), 16)
+    bits = min(max((size // SHARD_BYTES).bit_length(), 3), SHARD_BITS)
     hot = _hot_contexts(texts, order)
     folder = new_folder(spark, "ngram")
     store = Store(folder)
+    shared = spark.sparkContext.broadcast(Plan(order, bits, hot, _coded_words(texts, order)))
 
     def count(batches):
-        return _count(batches, order, bits, hot)
+        return _count(batches, shared.value)
 
     def merging(level: int):
         def pairs(key, group: pd.DataFrame) -> pd.DataFrame:
             shard = int(key[0])
-            return group if shard < 0 else pd.DataFrame(_merge_pairs(list(group["data"]), shard, level, level == order, bits, hot, store), columns=["shard", "data"])
+            if shard < 0:
+                return pd.DataFrame([(shard, _added(list(group["data"])))], columns=["shard", "data"])
+            return pd.DataFrame(_merge(list(group["data"]), shard, level, shared.value, store), columns=["shard", "data"])
 
         return pairs
 
     def words(key, group: pd.DataFrame) -> pd.DataFrame:
         shard = int(key[0])
         if shard < 0:
-            *stats, tally = ([*x] for x in zip(*(unpacked(p, 6) for p in group["data"]), strict=True))
-            context, *sums = (np.concatenate(x) for x in stats)
-            sort = np.argsort(context, kind="stable")
-            at = runs(context[sort])
-            merged = [context[sort][at], *(np.add.reduceat(x[sort], at) if len(at) else x for x in sums)]
-            return pd.DataFrame([(shard, packed(*merged, np.sum(tally, axis=0)))], columns=["shard", "data"])
-        return pd.DataFrame([(shard, packed(_merge_words(list(group["data"]), shard, store)))], columns=["shard", "data"])
+            return pd.DataFrame([(shard, _added(list(group["data"])))], columns=["shard", "data"])
+        return pd.DataFrame([(shard, packed(_merge_words(list(group["data"]), shard, shared.value, store)))], columns=["shard", "data"])
 
     parts = texts.mapInArrow(count, _PART)
     for level in range(order, 1, -1):
@@ -267,6 +376,28 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     return Model(folder, bits, hot, order, stats, {level: discounts(x[5]) for level, x in by_level.items()}, discounts(word_tally), word_tally, int(word_tally[4]), int(word_tally[6]))
 
 
+def _added(parts: list[bytes]) -> bytes:
+    """Tallies, and what hot contexts add up to, of several shards: HOT_SHARE rows at most."""
+    *stats, tally = ([*x] for x in zip(*(unpacked(p, 6) for p in parts), strict=True))
+    context, *sums = (np.concatenate(x) for x in stats)
+    return packed(*_grouped(context, sums), np.sum(tally, axis=0))
+
+
+def _coded_words(texts: DataFrame, order: int) -> np.ndarray:
+    """Hashes of begin, end and the most frequent words of a sample, at most as many as there are codes. They only decide how n-grams travel, never a count."""
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(CODE_SAMPLE)) == 0)
+
+    def count(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            word, n = np.unique(hashes.of(batch.column(0).to_pylist())[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    most = (1 << min(CODE_BITS, 64 // order)) - 2
+    rows = sample.mapInArrow(count, "word long, n long").where(F.col("word") != int(END.view(np.int64))).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word").toArrow()
+    return np.concatenate([[BEGIN, END], rows["word"].to_numpy().view(np.uint64)])
+
+
 def _hot_contexts(texts: DataFrame, order: int) -> np.ndarray:
     """At most HOT_SHARE hashes of very frequent contexts of any length. They only decide where pairs are kept, never a score."""
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
@@ -288,38 +419,34 @@ class Scorer:
     def __init__(self, model: Model):
         self.m, self.store, self.open = model, Store(model.folder), {}
 
-    def array(self, name: str, shard: int) -> np.ndarray | None:
-        at = (name, shard)
-        if at not in self.open:
+    def table(self, name: str) -> dict[str, np.ndarray] | None:
+        if name not in self.open:
             if len(self.open) >= 384:  # each map holds a file open
                 self.open.pop(next(iter(self.open)))
             try:
-                self.open[at] = self.store.load(f"{name}-{shard}")
+                self.open[name] = self.store.load_all(name)
             except FileNotFoundError:  # no text fell into this shard
-                self.open[at] = None
-        return self.open[at]
+                self.open[name] = None
+        return self.open[name]
 
-    def lookup(self, keys: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
+    def lookup(self, keys: np.ndarray, kind: str, names: tuple[str, ...]) -> list[np.ndarray]:
         """Values of sorted distinct keys, zero where there is none; the keys' top bits are their shard."""
-        out = [np.zeros(len(keys), np.int64) for _ in names[1:]]
+        out = [np.zeros(len(keys), np.int64) for _ in names]
         shards = keys >> np.uint64(64 - self.m.bits)
         at = runs(shards)
         for a, b in zip(at, np.append(at[1:], len(keys)), strict=True):
-            shard = int(shards[a])
-            table = self.array(names[0], shard)
-            if table is None or not len(table):
-                continue
-            where = np.minimum(np.searchsorted(table, keys[a:b]), len(table) - 1)
-            hit = np.flatnonzero(table[where] == keys[a:b])
-            for x, name in zip(out, names[1:], strict=True):
-                x[a + hit] = self.array(name, shard)[where[hit]]
+            t = self.table(f"{kind}-{int(shards[a])}")
+            if t is not None and len(t["keys"]):
+                hit, where = found(t, keys[a:b], self.m.bits)
+                for x, name in zip(out, names, strict=True):
+                    x[a + hit] = value(t, name, where)
         return out
 
     def __call__(self, tokens: np.ndarray, before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each token after its contexts(), and its count in training."""
         m = self.m
         word, back = np.unique(tokens, return_inverse=True)
-        kinds, uses = self.lookup(word, ("word", "kinds", "uses"))
+        kinds, uses = self.lookup(word, "words", ("kinds", "uses"))
         all_kinds = max(m.word_tally[5], 1)
         n1, n2 = m.word_tally[0], m.word_tally[1]
         d = m.word_discounts
@@ -333,7 +460,7 @@ class Scorer:
         """Probabilities of one order, from those of the order below."""
         m = self.m
         context, back = np.unique(before, return_inverse=True)
-        stats = self.lookup(context, tuple(f"{x}-{level}" for x in ("context", "total", "ones", "twos", "more")))
+        stats = self.lookup(context, f"contexts-{level}", STATS)
         hot_stats = m.hot_stats[level]
         if len(hot_stats[0]):
             at = np.minimum(np.searchsorted(hot_stats[0], context), len(hot_stats[0]) - 1)
@@ -344,7 +471,7 @@ class Scorer:
         d = m.pair_discounts[level]
         pair = mixed(before, tokens)
         key, back = np.unique(pair_keys(shards_of(before, pair, m.bits, m.hot), pair, m.bits), return_inverse=True)
-        count = self.lookup(key, (f"pair-key-{level}", f"pair-count-{level}"))[0][back]
+        count = self.lookup(key, f"pairs-{level}", ("count",))[0][back]
         seen = np.maximum(total, 1)
         high = (count - d[np.minimum(count, 3)]) / seen + (d[1] * n[0] + d[2] * n[1] + d[3] * n[2]) / seen * low
         return np.where(total > 0, high, low)

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import os
 import tempfile
 import uuid
@@ -67,6 +68,29 @@ class Store:
     def load(self, name: str) -> np.ndarray:
         return np.load(self.path(f"{name}.npy"), mmap_mode="r")
 
+    def save_all(self, name: str, arrays: dict[str, np.ndarray]) -> None:
+        """Several arrays in one file: a line that lists them, then each at a multiple of eight bytes."""
+        listed, body, at = {}, [], 0
+        for key, a in arrays.items():
+            data = np.ascontiguousarray(a).tobytes()
+            listed[key] = (a.dtype.str, len(a), at)
+            body.append(data + bytes(-len(data) % 8))
+            at += len(body[-1])
+        head = json.dumps(listed).encode()
+        head += b" " * (-(len(head) + 1) % 8) + b"\n"
+        self.write(f"{name}.arrays", head + b"".join(body))
+
+    def load_all(self, name: str) -> dict[str, np.ndarray]:
+        path = self.path(f"{name}.arrays")
+        with open(path, "rb") as f:
+            head = f.readline()
+        whole = np.memmap(path, np.uint8, "r")
+        out = {}
+        for key, (kind, n, at) in json.loads(head).items():
+            start = len(head) + at
+            out[key] = np.asarray(whole[start : start + n * np.dtype(kind).itemsize]).view(kind)
+        return out
+
 
 def packed(*arrays: np.ndarray) -> bytes:
     import zstandard
@@ -82,3 +106,12 @@ def unpacked(data: bytes, count: int) -> list[np.ndarray]:
 
     source = io.BytesIO(zstandard.ZstdDecompressor().decompress(data))
     return [np.load(source) for _ in range(count)]
+
+
+def planes(x: np.ndarray) -> np.ndarray:
+    """The first bytes of all numbers, then the second ones, and so on: small numbers pack well so."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+
+
+def unplanes(x: np.ndarray, kind) -> np.ndarray:
+    return np.ascontiguousarray(x.T).view(kind).reshape(x.shape[1])
