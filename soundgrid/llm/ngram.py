@@ -10,6 +10,7 @@ arrays into memory and score texts by binary search, so no worker ever holds the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,13 +41,13 @@ class WordHashes(dict):
     """XXH64 of words, or their short codes where there are such; forgets all when it has grown too large."""
 
     def __init__(self, codes: dict[int, int] | None = None, end=END):
+        from xxhash import xxh64_intdigest
+
         super().__init__()
-        self.codes, self.end = codes, end
+        self.codes, self.end, self.hash = codes, end, xxh64_intdigest
 
     def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        value = xxh64_intdigest(word)
+        value = self.hash(word)
         value = value if value >> 32 else value | 1 << 40
         self[word] = value = self.codes.get(value, value) if self.codes else value
         return value
@@ -60,7 +61,7 @@ class WordHashes(dict):
         out = np.full(counts.sum(), self.end, np.uint64)
         inner = np.ones(len(out), bool)
         inner[np.cumsum(counts) - 1] = False
-        out[inner] = np.fromiter((self[x] for w in words for x in w), np.uint64, len(out) - len(words))
+        out[inner] = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.uint64, len(out) - len(words))
         return out, counts
 
 
@@ -234,15 +235,18 @@ def _grouped(context: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
     return [context[order][at], *(np.add.reduceat(v[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64) for v in values)]
 
 
-def table(keys: np.ndarray, values: dict[str, np.ndarray], bits: int) -> dict[str, np.ndarray]:
-    """Sorted keys of one shard as a directory of their next bits and 32 bits each; values of 8 bits, larger ones apart."""
+def table(keys: np.ndarray, bits: int, **whole: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted keys of one shard as a directory of their next bits and 32 bits each, and whole values of them."""
     depth = max(1, len(keys).bit_length() - 2)
     rest = keys << np.uint64(bits)
     out = {"starts": np.searchsorted(rest >> np.uint64(64 - depth), np.arange((1 << depth) + 1, dtype=np.uint64)).astype(np.uint32), "keys": ((rest << np.uint64(depth)) >> np.uint64(32)).astype(np.uint32)}
-    for name, v in values.items():
-        large = np.flatnonzero(v >= 255)
-        out |= {name: np.minimum(v, 255).astype(np.uint8), f"{name}-at": large.astype(np.uint32), f"{name}-is": v[large].astype(np.int64)}
-    return out
+    return out | {name: v.astype(np.min_scalar_type(v.max(initial=0))) for name, v in whole.items()}
+
+
+def small(count: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in one byte each, the few larger ones apart."""
+    large = np.flatnonzero(count >= 255)
+    return {"count": np.minimum(count, 255).astype(np.uint8), "count-at": large.astype(np.uint32), "count-is": count[large].astype(np.int64)}
 
 
 def found(t: dict[str, np.ndarray], keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,14 +265,29 @@ def found(t: dict[str, np.ndarray], keys: np.ndarray, bits: int) -> tuple[np.nda
     return hit, low[hit]
 
 
-def value(t: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
-    out = t[name][at].astype(np.int64)
+def unsmall(t: dict[str, np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+    out = t["count"][at].astype(np.int64)
     large = np.flatnonzero(out == 255)
-    out[large] = t[f"{name}-is"][np.searchsorted(t[f"{name}-at"], at[large])]
-    return out
+    out[large] = t["count-is"][np.searchsorted(t["count-at"], at[large])]
+    return [out]
+
 
+def brief(total: np.ndarray, ones: np.ndarray, twos: np.ndarray, more: np.ndarray) -> dict[str, np.ndarray]:
+    """What a context's n-grams add up to: one byte for few n-grams of counts one and two, else 255 and four numbers apart."""
+    plain = (more == 0) & (ones < 16) & (twos < 15)
+    large = np.flatnonzero(~plain)
+    return {"brief": np.where(plain, ones + 16 * twos, 255).astype(np.uint8), "brief-at": large.astype(np.uint32)} | {f"brief-{i}": x[large].astype(np.int64) for i, x in enumerate((total, ones, twos, more))}
 
-STATS = ("total", "ones", "twos", "more")
+
+def unbrief(t: dict[str, np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+    code = t["brief"][at].astype(np.int64)
+    ones, twos = code & 15, code >> 4
+    out = [ones + 2 * twos, ones, twos, np.zeros(len(at), np.int64)]
+    large = np.flatnonzero(code == 255)
+    where = np.searchsorted(t["brief-at"], at[large])
+    for i, x in enumerate(out):
+        x[large] = t[f"brief-{i}"][where]
+    return out
 
 
 def _merge(parts: list[bytes], shard: int, level: int, plan: Plan, store: Store) -> list[tuple[int, bytes]]:
@@ -283,10 +302,10 @@ def _merge(parts: list[bytes], shard: int, level: int, plan: Plan, store: Store)
     c = context(hashes[:-1])
     keys = pair_keys(np.full(len(c), shard), mixed(c, hashes[-1]), plan.bits)
     order = np.argsort(keys, kind="stable")
-    store.save_all(f"pairs-{level}-{shard}", table(keys[order], {"count": count[order]}, plan.bits))
+    store.save_all(f"pairs-{level}-{shard}", table(keys[order], plan.bits) | small(count[order]))
     stats = _grouped(c, [count, count == 1, count == 2, count > 2])
     spread = np.isin(stats[0], plan.hot)
-    store.save_all(f"contexts-{level}-{shard}", table(stats[0][~spread], dict(zip(STATS, (x[~spread] for x in stats[1:]), strict=True)), plan.bits))
+    store.save_all(f"contexts-{level}-{shard}", table(stats[0][~spread], plan.bits) | brief(*(x[~spread] for x in stats[1:])))
     tail = [(-level, packed(*(x[spread] for x in stats), _tally(count)))]
     columns, sums = plan.summed(columns[1:], [np.ones(len(c), np.int64), total])
     return plan.packs(columns, sums) + tail
@@ -297,7 +316,7 @@ def _merge_words(parts: list[bytes], shard: int, plan: Plan, store: Store) -> np
     columns, (kinds, total) = plan.summed([np.concatenate([p[0][0] for p in pieces])], [np.concatenate([p[1][i] for p in pieces]) for i in (0, 1)])
     word = plan.hashes(columns[0])
     order = np.argsort(word, kind="stable")
-    store.save_all(f"words-{shard}", table(word[order], {"kinds": kinds[order], "uses": total[order]}, plan.bits))
+    store.save_all(f"words-{shard}", table(word[order], plan.bits, kinds=kinds[order], uses=total[order]))
     return np.append(_tally(kinds), total.sum())
 
 
@@ -429,49 +448,48 @@ class Scorer:
                 self.open[name] = None
         return self.open[name]
 
-    def lookup(self, keys: np.ndarray, kind: str, names: tuple[str, ...]) -> list[np.ndarray]:
-        """Values of sorted distinct keys, zero where there is none; the keys' top bits are their shard."""
-        out = [np.zeros(len(keys), np.int64) for _ in names]
-        shards = keys >> np.uint64(64 - self.m.bits)
-        at = runs(shards)
+    def lookup(self, keys: np.ndarray, kind: str, count: int, read) -> list[np.ndarray]:
+        """`count` values of each key, zero where there is none; the keys' top bits are their shard."""
+        out = [np.zeros(len(keys), np.int64) for _ in range(count)]
+        shards = (keys >> np.uint64(64 - self.m.bits)).astype(np.uint16 if self.m.bits <= 16 else np.uint32)
+        order = np.argsort(shards, kind="stable")
+        at = runs(shards[order])
         for a, b in zip(at, np.append(at[1:], len(keys)), strict=True):
-            t = self.table(f"{kind}-{int(shards[a])}")
+            t, rows = self.table(f"{kind}-{int(shards[order[a]])}"), order[a:b]
             if t is not None and len(t["keys"]):
-                hit, where = found(t, keys[a:b], self.m.bits)
-                for x, name in zip(out, names, strict=True):
-                    x[a + hit] = value(t, name, where)
+                hit, where = found(t, keys[rows], self.m.bits)
+                for x, v in zip(out, read(t, where), strict=True):
+                    x[rows[hit]] = v
         return out
 
     def __call__(self, tokens: np.ndarray, before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each token after its contexts(), and its count in training."""
         m = self.m
-        word, back = np.unique(tokens, return_inverse=True)
-        kinds, uses = self.lookup(word, "words", ("kinds", "uses"))
+        kinds, uses = self.lookup(tokens, "words", 2, lambda t, at: [t["kinds"][at], t["uses"][at]])
         all_kinds = max(m.word_tally[5], 1)
         n1, n2 = m.word_tally[0], m.word_tally[1]
         d = m.word_discounts
         rest = (d[1] * n1 + d[2] * n2 + d[3] * (m.words - n1 - n2)) / all_kinds if m.words else 1.0
-        value = ((kinds - d[np.minimum(kinds, 3)]) / all_kinds + rest / (m.words + 1))[back]
+        value = (kinds - d[np.minimum(kinds, 3)]) / all_kinds + rest / (m.words + 1)
         for level, context in enumerate(reversed(before), 2):
             value = self.interpolated(tokens, context, level, value)
-        return np.log10(value), uses[back]
+        return np.log10(value), uses
 
-    def interpolated(self, tokens: np.ndarray, before: np.ndarray, level: int, low: np.ndarray) -> np.ndarray:
+    def interpolated(self, tokens: np.ndarray, context: np.ndarray, level: int, low: np.ndarray) -> np.ndarray:
         """Probabilities of one order, from those of the order below."""
         m = self.m
-        context, back = np.unique(before, return_inverse=True)
-        stats = self.lookup(context, f"contexts-{level}", STATS)
+        stats = self.lookup(context, f"contexts-{level}", 4, unbrief)
         hot_stats = m.hot_stats[level]
         if len(hot_stats[0]):
             at = np.minimum(np.searchsorted(hot_stats[0], context), len(hot_stats[0]) - 1)
             hit = np.flatnonzero(hot_stats[0][at] == context)
             for x, hot in zip(stats, hot_stats[1:], strict=True):
                 x[hit] += hot[at[hit]]
-        total, *n = (x[back] for x in stats)
+        total, *n = stats
         d = m.pair_discounts[level]
-        pair = mixed(before, tokens)
-        key, back = np.unique(pair_keys(shards_of(before, pair, m.bits, m.hot), pair, m.bits), return_inverse=True)
-        count = self.lookup(key, f"pairs-{level}", ("count",))[0][back]
+        pair = mixed(context, tokens)
+        key = pair_keys(shards_of(context, pair, m.bits, m.hot), pair, m.bits)
+        (count,) = self.lookup(key, f"pairs-{level}", 1, unsmall)
         seen = np.maximum(total, 1)
         high = (count - d[np.minimum(count, 3)]) / seen + (d[1] * n[0] + d[2] * n[1] + d[3] * n[2]) / seen * low
         return np.where(total > 0, high, low)
