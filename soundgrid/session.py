@@ -65,13 +65,33 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-soundgrid-")
 
 
+#: Spark's switch that removes an execution's shuffle files when it ends; a task that still needs some computes them again.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write an intermediate table once and continue from it.
 
     Used where a reduced table (cells, regions, onsets) feeds several branches, so
-    that the raw scan behind it runs once and a lost executor costs no re-scan.
+    that the raw scan behind it runs once and a lost executor costs no re-scan. The
+    shuffle files behind it go as soon as the table stands; the table itself stays
+    until discard() or the folder's own rule removes it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/soundgrid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that materialise() wrote, once nothing will read them again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
