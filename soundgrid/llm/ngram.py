@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from soundgrid.llm.store import Store, new_folder, packed, planes, unpacked, unplanes
 from soundgrid.llm.texts import append, slices
+from soundgrid.session import discard, materialise
 
 BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Tokens that a counting task holds before it passes their n-grams on.
@@ -383,9 +384,12 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
         return pd.DataFrame([(shard, packed(_merge_words(list(group["data"]), shard, shared.value, store)))], columns=["shard", "data"])
 
     parts = texts.mapInArrow(count, _PART)
-    for level in range(order, 1, -1):
-        parts = parts.groupBy("shard").applyInPandas(merging(level), _PART)
+    for level in range(order, 1, -1):  # a table each, so that the shuffle files of the order above go
+        above, parts = parts, materialise(parts.groupBy("shard").applyInPandas(merging(level), _PART))
+        if level < order:
+            discard(above)
     made = parts.groupBy("shard").applyInPandas(words, _PART).collect()  # one small row per shard
+    discard(parts)
     tallies = [unpacked(r["data"], 1)[0] for r in made if r["shard"] >= 0]
     word_tally = np.sum(tallies, axis=0) if tallies else np.zeros(7, np.int64)
     found = {-r["shard"]: unpacked(r["data"], 6) for r in made if r["shard"] < 0}
