@@ -4,21 +4,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soundgrid.session import materialise
+from soundgrid.session import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each connected component of edges (a, b).
 
     Each round hangs a node's larger neighbours on its least one, then its smaller
-    ones, and writes the edges to the shared folder, until no edge moves. A node
-    with many edges is only ever reduced to a minimum; nodes without an edge are
-    not in the result.
+    ones, and writes the edges to the shared folder, until no edge moves. Of a node
+    with many edges only a minimum is taken, and the join that hands it to the edges
+    has one row a node on its other side, so Spark may split it; nodes without an
+    edge are not in the result.
     """
     now = materialise(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        now = materialise(_star(_star(now, True), False))
+        last, now = now, materialise(_star(_star(now, True), False))
+        discard(last)
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == seen:
             break
