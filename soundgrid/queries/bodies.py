@@ -35,8 +35,8 @@ ax AS (SELECT track_id, seg, fg, spread, CASE WHEN n >= 2 AND tc > hc THEN (t -
 rr AS (SELECT sg.track_id, seg, s_lufs FROM sg JOIN st ON st.track_id = sg.track_id AND hop >= ceil(start / 90) AND hop <= floor(("end" - 2700) / 90) WHERE "end" - start >= 2700),
 r1 AS (SELECT track_id, seg, count(*) AS possible, count(s_lufs) AS valid, -0.691 + 10 * log10(avg(pow(10, (s_lufs + 0.691) / 10)) FILTER (s_lufs > -70)) - 20 AS gate FROM rr GROUP BY 1, 2),
 rg AS (SELECT track_id, seg, quantile_disc(s_lufs, 0.5) AS lufs FROM rr JOIN r1 USING (track_id, seg) WHERE valid >= 3 AND valid * 2 >= possible AND s_lufs > -70 AND s_lufs > gate GROUP BY 1, 2 HAVING count(*) >= 3),
-de AS MATERIALIZED (SELECT sg.*, lufs, coalesce(slope, 0) AS slope, coalesce(delta, 0) AS delta, coalesce(consistency, 0) AS consistency, coalesce(fg, 0) AS fg, coalesce(spread, 0) AS spread, coalesce(act, 0) AS act,
-   coalesce(a.novelty, 0) AS ln, coalesce(b.novelty, 0) AS rn
+de AS MATERIALIZED (SELECT sg.*, R9(lufs) AS lufs, R9(coalesce(slope, 0)) AS slope, R9(coalesce(delta, 0)) AS delta, R9(coalesce(consistency, 0)) AS consistency, R9(coalesce(fg, 0)) AS fg, R9(coalesce(spread, 0)) AS spread, R9(coalesce(act, 0)) AS act,
+   R9(coalesce(a.novelty, 0)) AS ln, R9(coalesce(b.novelty, 0)) AS rn
   FROM sg LEFT JOIN rg USING (track_id, seg) LEFT JOIN ls USING (track_id, seg) LEFT JOIN ax USING (track_id, seg) LEFT JOIN nv a ON a.track_id = sg.track_id AND a.idx * 450 = start LEFT JOIN nv b ON b.track_id = sg.track_id AND b.idx * 450 = "end")"""
 SEG_SQL = "\n".join(line for line in SEG_SQL.split("\n") if not line.startswith("ls0 AS"))
 
@@ -72,14 +72,14 @@ PROT_SQL = SEG_SQL + """,
 en AS (SELECT track_id, unnest([ln, rn]) AS v FROM de),
 e1 AS (SELECT track_id, quantile_disc(v, 0.5) AS m FROM en GROUP BY 1), e2 AS (SELECT track_id, any_value(m) + 3 * quantile_disc(abs(v - m), 0.5) AS nl FROM en JOIN e1 USING (track_id) GROUP BY 1),
 p1 AS (SELECT track_id, quantile_disc(spread, 0.5) AS m FROM de GROUP BY 1), p2 AS (SELECT track_id, any_value(m) + 3 * quantile_disc(abs(spread - m), 0.5) AS sl FROM de JOIN p1 USING (track_id) GROUP BY 1),
-nb AS (SELECT de.*, nl, sl, lag(lufs) OVER w AS pl, lead(lufs) OVER w AS xl, lag(fg) OVER w AS pf, lead(fg) OVER w AS xf, lufs - lag(lufs) OVER w AS dl, fg - lag(fg) OVER w AS df,
+nb AS (SELECT de.*, nl, sl, lag(lufs) OVER w AS pl, lead(lufs) OVER w AS xl, lag(fg) OVER w AS pf, lead(fg) OVER w AS xf, R9(lufs - lag(lufs) OVER w) AS dl, R9(fg - lag(fg) OVER w) AS df,
    min(CASE WHEN lufs IS NOT NULL THEN seg END) OVER (PARTITION BY de.track_id) AS on0, max(CASE WHEN lufs IS NOT NULL THEN seg END) OVER (PARTITION BY de.track_id) AS on1 FROM de JOIN e2 USING (track_id) JOIN p2 USING (track_id) WINDOW w AS (PARTITION BY de.track_id ORDER BY seg)),
 bu AS (SELECT *, count(df) OVER v AS na, count(dl) OVER v AS nl2, sum(dl) OVER v AS tl, sum(df) OVER v AS ta, count(*) FILTER (dl >= 0.25) OVER v AS lu, count(*) FILTER (dl <= -0.25) OVER v AS ld, count(*) FILTER (df >= 0.025) OVER v AS au, count(*) FILTER (df <= -0.025) OVER v AS ad
   FROM nb WINDOW v AS (PARTITION BY track_id ORDER BY seg ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING)),
 pt AS MATERIALIZED (SELECT *, CASE WHEN lufs IS NULL OR fg <= 0.5 THEN 1 ELSE 0 END + CASE WHEN seg = 0 OR on0 IS NULL OR seg <= on0 THEN 2 ELSE 0 END + CASE WHEN seg = segs - 1 OR on1 IS NULL OR seg >= on1 THEN 4 ELSE 0 END
   + CASE WHEN abs(delta) >= 3 AND abs(slope) >= 0.25 AND consistency >= 0.75 THEN 8 ELSE 0 END + CASE WHEN lufs <= pl - 3 AND lufs <= xl - 3 AND fg <= 0.75 * pf AND fg <= 0.75 * xf THEN 16 ELSE 0 END
   + CASE WHEN (ln > nl AND rn > nl AND spread > sl) OR "end" - start < 2700 THEN 32 ELSE 0 END + CASE WHEN (abs(slope) >= 0.1 AND abs(delta) >= 2) OR abs(act) >= 0.01 THEN 64 ELSE 0 END
-  + CASE WHEN na >= 3 AND ((nl2 >= 3 AND ((tl >= 3 AND lu * 4 >= nl2 * 3) OR (tl <= -3 AND ld * 4 >= nl2 * 3))) OR ((ta >= 0.2 AND au * 4 >= na * 3) OR (ta <= -0.2 AND ad * 4 >= na * 3))) THEN 128 ELSE 0 END AS bits FROM bu)"""
+  + CASE WHEN na >= 3 AND ((nl2 >= 3 AND ((R9(tl) >= 3 AND lu * 4 >= nl2 * 3) OR (R9(tl) <= -3 AND ld * 4 >= nl2 * 3))) OR ((R9(ta) >= 0.2 AND au * 4 >= na * 3) OR (R9(ta) <= -0.2 AND ad * 4 >= na * 3))) THEN 128 ELSE 0 END AS bits FROM bu)"""
 
 
 def protected(spark, root):
