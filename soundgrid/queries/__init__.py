@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["levels", "motion", "spans", "tones", "study", "forms", "bodies", "audio", "live"]
+MODULES = ["levels", "motion", "spans", "tones", "study", "forms", "bodies", "audio", "live", "matches"]
 
 
 def load():
