@@ -1,11 +1,14 @@
 """Window operators along a track's cells."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from soundgrid.functions import quantiles
-from soundgrid.operators.blocks import halo, previous_row, running
+from soundgrid.operators.blocks import halo, running
 from soundgrid.session import materialise
 
 
@@ -58,22 +61,83 @@ def local_maxima(df: DataFrame, keys: list[str], pos: str, value: str, reach: in
     return h.with_columns({out: ok}).own()
 
 
-def greedy_gap(df: DataFrame, keys: list[str], pos: str, gap: int) -> DataFrame:
+_TRANSFER = T.StructType([T.StructField("upper", T.ArrayType(T.LongType())), T.StructField("exit", T.ArrayType(T.LongType()))])
+
+
+def _transfers(gap: int, size: int):
+    @F.pandas_udf(_TRANSFER)
+    def transfer(start: pd.Series, places: pd.Series) -> pd.DataFrame:
+        """What a block of candidates does to the first free position: the exit of the first upper bound that is not below the entry."""
+        rows = []
+        for first, own in zip(start, places, strict=True):
+            c = np.asarray(own, np.int64)
+            following = np.searchsorted(c, c + gap)
+            leave = np.empty(len(c), np.int64)
+            for i in range(len(c) - 1, -1, -1):
+                leave[i] = leave[following[i]] if following[i] < len(c) else c[i] + gap
+            end = first + size
+            use = min(len(c), int(np.searchsorted(c, first + gap)) + 1)
+            upper, exits = c[:use], leave[:use]
+            if c[use - 1] < first + gap:  # an entry may lie behind all candidates
+                upper, exits = np.append(upper, end), np.append(exits, end)
+            exits = np.maximum(exits, end)
+            change = np.append(exits[1:] != exits[:-1], True)  # the last of equal exits
+            rows.append((upper[change], exits[change]))
+        return pd.DataFrame(rows, columns=_TRANSFER.names)
+
+    return transfer
+
+
+def _kept(gap: int):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def kept(entry: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for free, own in zip(entry, places, strict=True):
+            c, chosen = np.asarray(own, np.int64), []
+            at = int(np.searchsorted(c, free))
+            while at < len(c):
+                chosen.append(int(c[at]))
+                at = int(np.searchsorted(c, c[at] + gap))
+            out.append(chosen)
+        return pd.Series(out)
+
+    return kept
+
+
+def greedy_gap(df: DataFrame, keys: list[str], pos: str, gap: int, block: int = 4096) -> DataFrame:
     """Keep a candidate only when it is at least `gap` after the last kept one.
 
-    A candidate that far from its predecessor is always kept, so the sequence
-    splits there and each short run is folded on its own.
+    Positions are distinct and not negative. A block of positions turns the first
+    free position at its start into that of the next block: a step function with
+    few steps, most often one, as different entries soon meet in one candidate.
+    Blocks that still depend on their entry take over their predecessor's function,
+    which doubles the blocks covered by each round, until all entries are known. A
+    task holds the candidates of single blocks, however long a run is.
     """
-    d = previous_row(materialise(df.select(*keys, pos)), keys, pos, {"_p": pos})
-    head = F.when(F.col("_p").isNull() | (F.col(pos) - F.col("_p") >= gap), F.col(pos))
-    d = running(d, keys, pos, {"_head": ("max", head)})
-    runs = d.groupBy(*keys, "_head").agg(F.array_sort(F.collect_list(pos)).alias("_a"))
-    kept = F.aggregate(
-        "_a",
-        F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return runs.select(*keys, F.explode(kept).alias(pos))
+    size = max(block, gap)
+    d = df.select(*keys, F.col(pos).cast("long").alias("_p")).withColumn("_block", F.expr(f"_p div {size}"))
+    d = d.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list("_p")).alias("_places"))  # `size` at most
+    d = materialise(d.withColumn("_t", _transfers(gap, size)(F.col("_block") * size, "_places")))
+    own = [*keys, "_block"]
+    pieces = d.select(*own, F.col("_block").alias("_from"), F.arrays_zip(F.col("_t.upper").alias("upper"), F.col("_t.exit").alias("exit")).alias("_f"))
+
+    def of(f: Column, x: Column) -> Column:
+        return F.filter(f, lambda p: p["upper"] >= x)[0]["exit"]
+
+    now = pieces.withColumn("_exit", F.when(F.size("_f") == 1, F.col("_f")[0]["exit"]))
+    while True:
+        prior = now.select(*keys, (F.col("_block") + 1).alias("_from"), F.col("_f").alias("_g"), F.col("_exit").alias("_e"), F.col("_from").alias("_back"))
+        met = now.join(prior, [*keys, "_from"], "left")
+        entry = F.when(F.col("_back").isNull(), F.col("_from") * size).otherwise(F.col("_e"))  # no candidates before: all is free
+        known = F.coalesce("_exit", F.when(entry.isNotNull(), of(F.col("_f"), entry)))
+        longer = F.when(known.isNull(), F.transform("_g", lambda p: F.struct(p["upper"], of(F.col("_f"), p["exit"]).alias("exit")))).otherwise(F.col("_f"))
+        step = met.select(*own, F.when(known.isNull(), F.col("_back")).otherwise(F.col("_from")).alias("_from"), longer.alias("_f"), known.alias("_exit"))
+        now = materialise(step)
+        if now.where("_exit IS NULL").isEmpty():
+            break
+    before = now.select(*keys, (F.col("_block") + 1).alias("_block"), "_exit")
+    d = d.join(before, own, "left").withColumn("_entry", F.coalesce("_exit", F.col("_block") * size))
+    return d.select(*keys, F.explode(_kept(gap)("_entry", "_places")).alias(pos))
 
 
 def forward_min(df: DataFrame, keys: list[str], pos: str, value: str, look: int, out: str) -> DataFrame:
