@@ -6,6 +6,7 @@ decides, and gives edits and span.
 """
 from __future__ import annotations
 
+import bisect
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -74,26 +75,27 @@ class Scanner:
         self.automaton.make_automaton()
 
     def fuzzy(self, joined: str) -> list[tuple[int, int, int, int]]:
-        """(notice number, start, end, edits) in the joined words, best match of each merged candidate area."""
-        areas: dict[int, list[list[int]]] = {}
+        """(notice number, start, end, edits) in the joined words: each seed's own window is verified, of overlapping matches of a notice that with the fewest edits stays."""
+        matches: dict[int, dict[tuple[int, int], int]] = {}
+        tried: set[tuple[int, int]] = set()
         for last, (length, owners) in self.automaton.iter(joined):
             for number, offset in owners:
-                notice, _, edits, _ = self.notices[number]
-                start = last + 1 - length - offset - edits
-                end = start + len(notice) + 2 * edits
-                mine = areas.setdefault(number, [])
-                if mine and start <= mine[-1][1]:
-                    mine[-1][1] = max(mine[-1][1], end)
-                    mine[-1][0] = min(mine[-1][0], start)
-                else:
-                    mine.append([start, end])
+                notice, _, edits, pattern = self.notices[number]
+                at = last + 1 - length - offset
+                mine = matches.setdefault(number, {})
+                if (number, at) in tried or mine.get((at, at + len(notice))) == 0:
+                    continue
+                tried.add((number, at))
+                if m := pattern.search(joined, max(at - edits, 0), at + len(notice) + edits):
+                    mine[m.span()] = sum(m.fuzzy_counts)
         found = []
-        for number, mine in areas.items():
-            _, _, _, pattern = self.notices[number]
-            for start, end in mine:
-                start = max(start, 0)
-                for m in pattern.finditer(joined[start:end]):
-                    found.append((number, start + m.start(), start + m.end(), sum(m.fuzzy_counts)))
+        for number, mine in matches.items():
+            kept: list[tuple[int, int]] = []
+            for (start, end), edits in sorted(mine.items(), key=lambda x: (x[1], x[0])):
+                near = bisect.bisect(kept, (start, end))
+                if (not near or kept[near - 1][1] <= start) and (near == len(kept) or end <= kept[near][0]):
+                    kept.insert(near, (start, end))
+                    found.append((number, start, end, edits))
         return sorted(found)
 
     def __call__(self, text: str | None) -> tuple:
