@@ -19,13 +19,11 @@ from soundgrid.session import materialise
 PIVOTS = 64
 #: Rows of a tile: queries of a block and data rows of a chunk, about.
 BLOCK_QUERIES, CHUNK_ROWS = 512, 4096
-#: Quantised components are held between plus and minus this.
-LIMIT = 1 << 26
 
 
 def quantised(vector) -> F.Column:
-    """floor(256 * x) of every component."""
-    return F.transform(vector.cast("array<double>"), lambda x: F.least(F.greatest(F.floor(x * 256), F.lit(-LIMIT)), F.lit(LIMIT)).cast("int"))
+    """floor(256 * x) of every component, as a long."""
+    return F.transform(vector.cast("array<double>"), lambda x: F.floor(x * 256).cast("long"))
 
 
 def usable(vector) -> F.Column:
@@ -40,6 +38,21 @@ def _matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
+def _blobs(vectors, width: int) -> list[bytes]:
+    """Rows of integers in four bytes each, or eight where a row needs them."""
+    out = np.zeros((len(vectors), width), np.int64)
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    short = ((out >= -(2**31)) & (out < 2**31)).all(1)
+    return [(r.astype(np.int32) if s else r).tobytes() for r, s in zip(out, short, strict=True)]
+
+
+def _unblobbed(blobs, width: int) -> np.ndarray:
+    if all(len(b) == 4 * width for b in blobs):
+        return np.frombuffer(b"".join(blobs), np.int32).reshape(len(blobs), width).astype(np.int64)
+    return np.stack([np.frombuffer(b, np.int32 if len(b) == 4 * width else np.int64).astype(np.int64) for b in blobs])
+
+
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     square = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T
     return np.sqrt(np.maximum(square, 0))
@@ -112,7 +125,7 @@ def _plan(s: pd.DataFrame, pivots: np.ndarray, k: int) -> dict:
 def _route(base: DataFrame, pivots: np.ndarray, plan: dict) -> DataFrame:
     """Rows by (block, chunk): each query once per chunk of its block, each data row once per block that may need it."""
     shared, width = base.sparkSession.sparkContext.broadcast((pivots, plan)), pivots.shape[1]
-    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("is_query", T.BooleanType()), T.StructField("vec_id", T.LongType()), T.StructField("v", T.BinaryType())])
+    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("is_query", T.BooleanType()), T.StructField("vec_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("v", T.BinaryType())])
 
     def route(frames):
         pivots, p = shared.value
@@ -123,7 +136,7 @@ def _route(base: DataFrame, pivots: np.ndarray, plan: dict) -> DataFrame:
             x = _matrix(f["v"], width)
             ids, query = f["vec_id"].to_numpy(np.int64), f["is_query"].to_numpy(bool)
             spread = f["spread"].to_numpy(np.int64)
-            packed = [r.tobytes() for r in x.astype(np.int32)]
+            rows, packed = f["row"].to_numpy(np.int64), _blobs(f["v"], width)
             d = _distances(x, pivots)
             square, size, inner = (x**2).sum(1), np.sqrt((x**2).sum(1)), x @ pivots.T
             block, chunk, kind, row = [], [], [], []
@@ -147,32 +160,34 @@ def _route(base: DataFrame, pivots: np.ndarray, plan: dict) -> DataFrame:
             block, chunk, row, kind = (np.concatenate(v) for v in (block, chunk, row, kind))
             for a in range(0, len(row), 20_000):
                 r = row[a : a + 20_000]
-                yield pd.DataFrame({"block": block[a : a + 20_000].astype(np.int32), "chunk": chunk[a : a + 20_000].astype(np.int32), "is_query": kind[a : a + 20_000], "vec_id": ids[r], "v": [packed[i] for i in r]})
+                yield pd.DataFrame({"block": block[a : a + 20_000].astype(np.int32), "chunk": chunk[a : a + 20_000].astype(np.int32), "is_query": kind[a : a + 20_000], "vec_id": ids[r], "row": rows[r], "v": [packed[i] for i in r]})
 
     return base.mapInPandas(route, schema)
 
 
-_TOP = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+_TOP = T.StructType([T.StructField("row", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
 
 def _solver(k: int, width: int):
     def solve(tile: pd.DataFrame) -> pd.DataFrame:
-        ids, query = tile["vec_id"].to_numpy(np.int64), tile["is_query"].to_numpy(bool)
-        x = np.frombuffer(b"".join(tile["v"]), np.int32).reshape(len(tile), width)
+        ids, own, query = tile["vec_id"].to_numpy(np.int64), tile["row"].to_numpy(np.int64), tile["is_query"].to_numpy(bool)
+        x = _unblobbed(list(tile["v"]), width)
         order = np.argsort(ids, kind="stable")  # ties go to the smaller id
         data = order[~query[order]]
         asked = np.flatnonzero(query)
-        rows = [(np.zeros(0, np.int64),) * 3]
+        rows = [(np.zeros(0, np.int64),) * 4]
         if len(asked) and len(data):
-            exact = np.float64 if float(np.abs(x.astype(np.int64)).max()) ** 2 * width < 2**53 else np.int64
-            scores = (x[asked].astype(exact) @ x[data].astype(exact).T).astype(np.int64)
+            most = int(np.abs(x.astype(float)).max()) ** 2 * width
+            exact = np.float64 if most < 2**53 else np.int64 if most < 2**62 else object  # Python's integers; a score over 64 bits fails
+            scores = x[asked].astype(exact) @ x[data].astype(exact).T
+            scores = scores if exact is object else scores.astype(np.int64)
             for at, score in zip(asked, scores, strict=True):
-                other = ids[data] != ids[at]
+                other = own[data] != own[at]
                 score, mine = score[other], ids[data][other]
                 keep = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k]) if len(score) > k else np.arange(len(score))
                 keep = keep[np.argsort(-score[keep], kind="stable")][:k]
-                rows.append((np.full(len(keep), ids[at]), mine[keep], score[keep]))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*rows, strict=True)), strict=True)))
+                rows.append((np.full(len(keep), own[at]), np.full(len(keep), ids[at]), mine[keep], score[keep].astype(np.int64)))
+        return pd.DataFrame(dict(zip(_TOP.names, (np.concatenate(c) for c in zip(*rows, strict=True)), strict=True)))
 
     return solve
 
@@ -180,16 +195,18 @@ def _solver(k: int, width: int):
 def top_k(data: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where the condition is_query(vec_id) holds, the k rows with the highest inner product.
 
-    Components are quantised to floor(256 * x), held within LIMIT. Vectors that are
-    null or hold null or non-finite components, and rows without a vec_id, take no
-    part. Ties go to the smaller vec_id. A repeated vec_id counts once, with its
-    smallest vector. Shorter vectors count as ended by zeros; empty vectors score
-    zero. Queries without another row give no row; other columns are ignored.
+    Components are quantised to floor(256 * x) and scored exactly; a score that a
+    long can't hold fails the job. Vectors that are null or hold null or non-finite
+    components, and rows without a vec_id, take no part. Ties go to the smaller
+    vec_id. Rows that share a vec_id are rows each: as queries they have a result
+    each, and they are candidates of each other. Shorter vectors count as ended by
+    zeros; empty vectors score zero. Queries without another row give no row; other
+    columns are ignored.
     """
     ident, v = F.col(vec_id).cast("long"), F.col(vector)
     rows = data.where(usable(v) & ident.isNotNull()).select(ident.alias("vec_id"), quantised(v).alias("v"))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    base = materialise(rows.select("vec_id", "v", F.coalesce(is_query(F.col("vec_id")), F.lit(False)).alias("is_query"), F.shiftrightunsigned(F.xxhash64("vec_id"), 1).alias("spread")))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # kept by the table
+    base = materialise(rows.select("vec_id", "row", "v", F.coalesce(is_query(F.col("vec_id")), F.lit(False)).alias("is_query"), F.shiftrightunsigned(F.xxhash64("vec_id", "row"), 1).alias("spread")))
     width = base.agg(F.max(F.size("v"))).first()[0] or 0
     chosen = base.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").limit(pivots).select("v").collect()
     if not chosen:
@@ -199,5 +216,5 @@ def top_k(data: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector:
     plan = _plan(_summaries(base, centres, k), centres, k)
     tiles = _route(base, centres, plan)
     tops = tiles.groupBy("block", "chunk").applyInPandas(_solver(k, width), _TOP)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return tops.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

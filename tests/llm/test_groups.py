@@ -224,15 +224,29 @@ def test_knn(spark, block, chunk, monkeypatch):
     made = defaultdict(list)
     for x in sorted(knn.top_k(df, lambda i: i % 10 == 0, 5, pivots=8).collect(), key=lambda x: x["rank"]):
         made[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
-    q = {i: [math.floor(256 * float(np.float32(c))) for c in v] for i, v in vectors + [(440, []), (450, [0.25])]}
+    rows = [(i, [math.floor(256 * float(np.float32(c))) for c in v]) for i, v in [*vectors, (440, []), (450, [0.25]), (5, vectors[5][1])]]
     dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
-    for i in (i for i in q if i % 10 == 0):
-        best = sorted(((-dot(q[i], q[j]), j) for j in q if j != i))[:5]
+    for at, (i, v) in ((at, r) for at, r in enumerate(rows) if r[0] % 10 == 0):
+        best = sorted(((-dot(v, w), j) for k, (j, w) in enumerate(rows) if k != at))[:5]
         assert made.pop(i) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
     assert not made
     assert knn.top_k(df.where("false"), lambda i: i % 10 == 0).count() == 0
 
 
+def test_knn_keeps_repeated_rows_and_large_components(spark):
+    rows = [(10, [1.0, 2.0]), (10, [1.0, 2.0]), (10, [-3.0, 0.5]), (7, [2.0e6, -1.5e6]), (20, [3.0e7, 1.0]), (3, [0.0, 0.0]), (4, [5.0e5, 8.0])]
+    whole = [(i, [math.floor(256 * c) for c in v]) for i, v in rows]
+    got = defaultdict(list)
+    for x in knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 10 == 0, 4, pivots=3).collect():
+        got[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
+    want = defaultdict(list)
+    for at, (i, v) in enumerate(whole):
+        if i % 10 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for k, (j, w) in enumerate(whole) if k != at)[:4]
+            want[i] += [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+
+
 def brute_model(texts):
     """Interpolated modified Kneser-Ney of word pairs, by dictionaries."""
     tokens = lambda t: SPACED.findall(low(t)) + [None]
