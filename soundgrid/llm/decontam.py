@@ -17,8 +17,8 @@ from soundgrid.llm.texts import WORD_BYTES, append
 
 #: A word where it stands in a text, before lowering.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: Bytes of item texts in one automaton; more items than that are scanned for in several passes.
-BLOCK_BYTES = 16 << 20
+#: Bytes of windows in one automaton, which is what bounds its nodes: some 400 MB at most. More windows are scanned for in several passes.
+BLOCK_BYTES = 8 << 20
 
 _HIT = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())]))
 _OUT = [T.StructField("n_words", T.LongType()), T.StructField("hits", _HIT), T.StructField("item_ids", T.ArrayType(T.StringType()))]
@@ -75,15 +75,19 @@ def spans(text: str | None, hit: np.ndarray) -> list[dict]:
     return [{"start": at[a][0], "end": at[b - 1][1], "first_word": int(a), "last_word": int(b - 1)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _blocks(items: DataFrame, item_id: str, text: str):
-    """Items by blocks of bounded size, one after another through the driver."""
+def _blocks(items: DataFrame, item_id: str, text: str, width: int):
+    """Items, a long one in overlapping parts, by blocks whose windows are bounded in size, one after another through the driver."""
     block, size = [], 0
     for row in items.select(F.col(item_id).cast("string"), F.col(text).cast("string")).toLocalIterator():
-        if block and size + len(row[1] or "") > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((row[0], row[1]))
-        size += len(row[1] or "")
+        w = words(row[1] or "")
+        step = max(width, BLOCK_BYTES // (width * 16))
+        for at in range(0, max(len(w) - width + 1, 1), step):
+            part = b" ".join(w[at : at + step + width - 1])  # every window that starts in this step
+            if block and size + width * len(part) > BLOCK_BYTES:
+                yield block
+                block, size = [], 0
+            block.append((row[0], part.decode("utf-8", "replace")))
+            size += width * len(part)
     yield block
 
 
@@ -99,7 +103,7 @@ def scan(docs: DataFrame, items: DataFrame, width: int = 10, text: str = "text",
     docs named like a new one are replaced, all others and repeated rows stay.
     """
     spark = docs.sparkSession
-    for number, block in enumerate(_blocks(items.where(F.col(item_id).isNotNull()), item_id, item_text)):
+    for number, block in enumerate(_blocks(items.where(F.col(item_id).isNotNull()), item_id, item_text, width)):
         shared = spark.sparkContext.broadcast(block)
         new = [T.StructField(f.name if number == 0 else f"__more_{f.name}", f.dataType) for f in _OUT]
 
