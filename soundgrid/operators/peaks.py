@@ -1,8 +1,13 @@
 """Peaks: sample, true (inter-sample), per block, and ceilings planned from them."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The four-phase, twelve-tap interpolation filter of the published
 # true-peak standard (one row per phase, newest sample first).
@@ -20,29 +25,112 @@ TAPS = 12
 TAIL_FRAMES = 6
 
 
-def true_peak(samples: DataFrame, keys: list[str], frame: str, channels: list[str]) -> DataFrame:
-    """Largest interpolated magnitude per key, with the six-frame tail at the end.
+#: Frames of a track that one task orders at a time.
+PEAK_BLOCK = 1 << 16
+#: Interpolated values a task holds at once, about.
+_AT_ONCE = 1 << 21
+
+# Share of a sample in the output t frames after a sample that itself comes `gap` frames later: [gap, t, phase].
+_SHARES = np.zeros((TAPS, TAPS, len(TRUE_PEAK_PHASES)))
+for _gap in range(TAPS):
+    _SHARES[_gap, : TAPS - _gap] = np.asarray(TRUE_PEAK_PHASES).T[_gap:]
+
+
+def _interpolated(pos: np.ndarray, x: np.ndarray, first: int, stop: int) -> np.ndarray:
+    """Magnitudes of the outputs at and after the samples first .. stop - 1: [sample, frames after it, channel], largest phase.
 
-    A sample adds itself times tap t to the output t frames later, so the filter
-    is a twelve-fold scatter and a sum by frame: silence costs nothing, and no
-    track is ordered or gathered.
+    Only the samples up to this one count, so a value holds until the next sample.
     """
-    taps = F.array(
-        *[F.struct(F.lit(t).alias("t"), *[F.lit(ph[t]).alias(f"p{i}") for i, ph in enumerate(TRUE_PEAK_PHASES)]) for t in range(TAPS)]
-    )
-    merged = samples.groupBy(*keys, frame).agg(*[F.sum(c).alias(c) for c in channels])
-    whole = merged.groupBy(*keys).agg(
-        F.max(frame).alias("_last"), F.max(F.greatest(*[F.abs(F.col(c)) for c in channels])).alias("sample_peak"))
-    outs = {f"_{c}{i}": F.sum(F.col(c) * F.col(f"_tap.p{i}")) for c in channels for i in range(4)}
-    y = (
-        merged.withColumn("_tap", F.explode(taps))
-        .groupBy(*keys, (F.col(frame) + F.col("_tap.t")).alias("_at"))
-        .agg(*[v.alias(k) for k, v in outs.items()])
-    )
-    best = F.greatest(*[F.abs(F.col(k)) for k in outs])
-    inter = y.select(*keys, "_at", best.alias("_y")).join(whole, keys).where(F.col("_at") <= F.col("_last") + TAIL_FRAMES)
-    return inter.groupBy(*keys, "sample_peak").agg(F.max("_y").alias("_inter")).select(
-        *keys, "sample_peak", F.greatest("sample_peak", "_inter").alias("true_peak"))
+    y = np.zeros((stop - first, TAPS, len(TRUE_PEAK_PHASES), x.shape[1]))
+    for k in range(TAPS):
+        at = np.arange(max(first, k), stop)
+        gap = pos[at] - pos[at - k]
+        at, gap = at[gap < TAPS], gap[gap < TAPS]
+        if not len(at):
+            break
+        y[at - first] += _SHARES[gap][..., None] * x[at - k][:, None, None, :]
+    return np.abs(y, out=y).max(axis=2)
+
+
+def true_peaks(samples: DataFrame, keys: list[str], frame: str, channels: list[str], factors: list[Column], by: list[str] | None = None, block: int = PEAK_BLOCK) -> DataFrame:
+    """Sample and true peaks per key of the samples times each of the factors (arrays), with the six-frame tail at the end.
+
+    The factors may use the columns `by`. Sounding frames are ordered in blocks of
+    a track, and an output is interpolated at the latest sample that reaches it:
+    silence costs nothing, no sample is copied per tap or factor between tasks, and
+    a task holds a few thousand frames at a time. Only one row of peaks leaves a block.
+    """
+    size, n = len(channels), len(factors)
+    merged = samples.groupBy(*keys, frame, *(by or [])).agg(*[F.sum(c).alias(c) for c in channels])
+    reach = F.sequence(F.floor(F.col(frame) / block), F.floor((F.col(frame) + TAPS - 1) / block))
+    d = merged.withColumn("_blk", F.explode(reach)).repartition(*keys, "_blk")
+    some = F.greatest(*[F.col(c).isNotNull() for c in channels])
+    d = d.groupBy(*keys, "_blk", frame).agg(
+        F.array(*[F.coalesce(F.sum(F.col(c) * f), F.lit(0.0)) for f in factors for c in channels]).alias("_x"), F.max(some).alias("_some"))
+    w = Window.partitionBy(*keys, "_blk").orderBy(frame)
+    d = d.select(
+        *keys, "_some", "_x", F.col(frame).cast("bigint").alias("_f"), F.col("_blk"), (F.col(frame) - F.lag(frame).over(w)).cast("bigint").alias("_gap"),
+        (F.lead(frame).over(w) - F.col(frame)).cast("bigint").alias("_next")).sortWithinPartitions(*keys, "_blk", "_f")
+    values = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*[d.schema[k] for k in keys], T.StructField("_some", T.BooleanType()), T.StructField("_f", T.LongType()), *[T.StructField(c, values) for c in ("_s", "_i", "_e")]])
+
+    def arrays(a: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(a) * n + 1, n), pa.int32()), pa.array(a.ravel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pos, x = np.zeros(0, np.int64), np.zeros((0, size * n))
+        t = np.arange(TAPS)
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            column = {c: batch.column(batch.schema.get_field_index(c)) for c in ("_f", "_blk", "_gap", "_next", "_x", "_some")}
+            f, blk = column["_f"].to_numpy(), column["_blk"].to_numpy()
+            starts = column["_gap"].is_null().to_numpy(zero_copy_only=False)
+            gap = np.where(starts, TAPS, column["_gap"].fill_null(TAPS).to_numpy())
+            last = column["_next"].is_null().to_numpy(zero_copy_only=False)
+            until = column["_next"].fill_null(TAPS).to_numpy()
+            own = column["_x"].flatten().to_numpy(zero_copy_only=False).reshape(rows, size * n)
+            m = len(pos)
+            pos, x = np.concatenate([pos, (pos[-1] if m else 0) + np.cumsum(gap)]), np.concatenate([x, own])
+            low, high = blk * block - f, np.minimum((blk + 1) * block - f, until)
+            inner, edge = np.zeros((rows, n)), np.zeros((rows, n))
+            step = max(1, _AT_ONCE // (TAPS * len(TRUE_PEAK_PHASES) * size * n))
+            for i in range(0, rows, step):
+                j = min(rows, i + step)
+                y = _interpolated(pos, x, m + i, m + j).reshape(j - i, TAPS, n, size).max(axis=3)
+                there = (t >= low[i:j, None]) & (t < high[i:j, None])
+                tail = last[i:j, None] & (t > TAIL_FRAMES)
+                inner[i:j] = np.where((there & ~tail)[..., None], y, 0.0).max(axis=1)
+                edge[i:j] = np.where((there & tail)[..., None], y, 0.0).max(axis=1)
+            starts[0] = True
+            at = np.flatnonzero(starts)
+            ends = np.append(at[1:], rows) - 1
+            peak = np.abs(own).reshape(rows, n, size).max(axis=2)
+            heads = batch.take(pa.array(at))
+            out = [heads.column(heads.schema.get_field_index(k)) for k in keys]
+            out.append(pa.array(np.maximum.reduceat(column["_some"].to_numpy(zero_copy_only=False), at)))
+            out += [pa.array(f[ends]), *[arrays(np.maximum.reduceat(a, at, axis=0)) for a in (peak, inner, edge)]]
+            yield pa.RecordBatch.from_arrays(out, names=schema.names)
+            pos, x = pos[-TAPS:], x[-TAPS:]
+
+    # Beyond six frames after a block's last sample an output counts only if the track goes on.
+    found = d.mapInArrow(run, schema).withColumn("_last", F.max("_f").over(Window.partitionBy(*keys)))
+    goes_on = F.col("_f") < F.col("_last")
+
+    def top(c: str, v: int) -> Column:
+        return F.max(F.when(F.col("_some"), F.col(c)[v]))
+
+    g = found.groupBy(*keys).agg(
+        F.array(*[top("_s", v) for v in range(n)]).alias("sample_peaks"),
+        F.array(*[F.greatest(top("_s", v), top("_i", v), F.max(F.when(goes_on, F.col("_e")[v]))) for v in range(n)]).alias("true_peaks"))
+    return g.select(*keys, "sample_peaks", "true_peaks")
+
+
+def true_peak(samples: DataFrame, keys: list[str], frame: str, channels: list[str]) -> DataFrame:
+    """Largest interpolated magnitude per key, with the six-frame tail at the end; see true_peaks()."""
+    d = true_peaks(samples, keys, frame, channels, [F.lit(1.0)])
+    return d.select(*keys, F.col("sample_peaks")[0].alias("sample_peak"), F.col("true_peaks")[0].alias("true_peak"))
 
 
 def hard_clip_ceiling(peak: Column, reduction_db: Column) -> Column:
