@@ -122,8 +122,10 @@ def tempo_scores(hist: DataFrame, keys: list[str]) -> DataFrame:
     """Support and prior-weighted score of every candidate tempo a lag bin reaches.
 
     A bin is sent only to the candidates whose kernel covers it; nothing meets the
-    whole grid.
+    whole grid. The bins of a key, a few hundred at most, come together first, so that
+    the rows per candidate are summed where they arise.
     """
+    hist = hist.repartition(*keys)
     lag = F.col("bin") * BIN_SEC
     top = F.lit(GRID - 1).cast("bigint")
     d = hist.where("bin >= 1").select(*keys, "bin", "salience", F.explode(F.array(*[F.struct(F.lit(m).alias("k"), F.lit(w).alias("w")) for m, w in PERIOD_WEIGHTS])).alias("_p"))
