@@ -198,3 +198,27 @@ def test_late_rows_are_not_lost_in_silence(spark, tmp_path):
         streams.drain(streams.sliding_sums(stream, ["track_id"], 3600, 360, 360, sums, late="1 second"), ["track_id", "win"])
     whole = streams.drain(streams.sliding_sums(stream, ["track_id"], 3600, 360, 360, sums), ["track_id", "win"])
     assert whole.agg(F.sum("energy")).first()[0] == 5
+
+
+def test_novelty_over_many_blocks_and_batches(spark):
+    """Blocks of several tracks share a batch, and a block may go on in the next one."""
+    rng = np.random.default_rng(3)
+    sizes = {1: 1, 2: 2, 3: 40, 4: 5000, 5: 17, 6: 33}
+    pdf = pd.concat([pd.DataFrame({"track_id": k, "idx": np.arange(n)}) for k, n in sizes.items()], ignore_index=True)
+    v = np.round(rng.random((len(pdf), 22)), 2)
+    pdf = pdf.assign(chroma=list(v[:, :12]), shape=list(v[:, 12:20]), activity=v[:, 20], flux=v[:, 21])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        plan = structure.raw_novelty(spark.createDataFrame(pdf), K)
+        got = plan.toPandas().set_index(["track_id", "idx", "radius"]).raw
+        assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 3 * sum(n - 1 for n in sizes.values())
+    at = {k: v[(pdf.track_id == k).to_numpy()] for k in sizes}
+    for k, i, r in [(2, 1, 16), (3, 20, 8), (3, 39, 16), (4, 4095, 16), (4, 4096, 16), (4, 4097, 4), (4, 4999, 8), (5, 8, 16), (6, 32, 4)]:
+        a, b = low_median(at[k][max(0, i - r):i]), low_median(at[k][i:i + r])
+        cos = lambda x, y: x @ y / np.sqrt((x @ x) * (y @ y))
+        want = 0.5 * (1 - np.clip(cos(a[:12], b[:12]), 0, 1)) + 0.3 * (1 - cos(a[12:20], b[12:20])) / 2
+        want += 0.1 * abs(a[20] - b[20]) + 0.1 * abs(a[21] - b[21]) / (abs(a[21]) + abs(b[21]) + 1e-12)
+        assert abs(got[k, i, r] - want) < 1e-12
