@@ -105,9 +105,11 @@ def audit(captures: DataFrame) -> DataFrame:
 
 
 def best_attempts(audited: DataFrame, job: str, order: str) -> DataFrame:
-    """One accepted attempt per job: a continuous clock first, then the earliest.
+    """Attempts of each job, those accepted, and the best: a continuous clock first, then the earliest; null if none is accepted.
 
-    An aggregation, so a job with very many attempts is combined on the map side.
+    One aggregation, so that every capture is audited once and a job with very many
+    attempts is combined on the map side.
     """
     rank = F.struct((F.col("clock_evidence") != "per_second").cast("int"), F.col(order))
-    return audited.where("accepted").groupBy(job).agg(F.min_by(order, rank).alias("best"))
+    return audited.groupBy(job).agg(
+        F.count("*").alias("attempts"), F.sum(F.col("accepted").cast("bigint")).alias("accepted_attempts"), F.min_by(order, F.when(F.col("accepted"), rank)).alias("best"))

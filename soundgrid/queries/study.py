@@ -295,10 +295,9 @@ def qc_errors(spark, root):
 FROM customer LEFT JOIN a ON o_custkey = c_custkey GROUP BY 1""")
 def best_attempt(spark, root):
     a = capture.audit(captures(spark, root)).select("o_custkey", "o_orderkey", "accepted", "clock_evidence")
-    n = a.groupBy("o_custkey").agg(F.count("*").alias("attempts"), F.sum(F.col("accepted").cast("bigint")).alias("accepted_attempts"))
     best = capture.best_attempts(a, "o_custkey", "o_orderkey")
     zero = F.lit(0).cast("bigint")
-    return table(spark, root, "customer").join(n.join(best, "o_custkey", "left"), F.col("c_custkey") == F.col("o_custkey"), "left").select(
+    return table(spark, root, "customer").join(best, F.col("c_custkey") == F.col("o_custkey"), "left").select(
         "c_custkey", F.coalesce("attempts", zero).alias("attempts"), F.coalesce("accepted_attempts", zero).alias("accepted_attempts"), "best", F.col("best").isNotNull().alias("accepted"))
 
 

@@ -222,3 +222,16 @@ def test_novelty_over_many_blocks_and_batches(spark):
         want = 0.5 * (1 - np.clip(cos(a[:12], b[:12]), 0, 1)) + 0.3 * (1 - cos(a[12:20], b[12:20])) / 2
         want += 0.1 * abs(a[20] - b[20]) + 0.1 * abs(a[21] - b[21]) / (abs(a[21]) + abs(b[21]) + 1e-12)
         assert abs(got[k, i, r] - want) < 1e-12
+
+
+def test_best_attempt_audits_each_capture_once(spark):
+    rows = [(1, 5, True, "30s_progress"), (1, 7, True, "per_second"), (1, 9, True, "per_second"), (1, 3, False, "per_second"), (2, 4, False, "missing"), (3, 8, True, "missing")]
+    d = capture.best_attempts(spark.createDataFrame(rows, "job long, at long, accepted boolean, clock_evidence string"), "job", "at")
+    assert {tuple(r) for r in d.collect()} == {(1, 4, 3, 7), (2, 1, 0, None), (3, 1, 1, 8)}
+
+
+def test_best_attempt_reads_captures_once(spark):
+    from soundgrid.queries import load
+
+    plan = load()["best_attempt"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and plan.count("Relation [l_orderkey") == plan.count("Relation [o_orderkey") == 1
