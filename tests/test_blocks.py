@@ -158,3 +158,10 @@ def test_overlap_resample(spark):
     got = joins.overlap_resample(d, K, "pos", F.col("n"), "v", 32).toPandas().sort_values("bin")
     fine = np.repeat(v, 32).reshape(32, 45).mean(1)
     assert np.allclose(got.value, fine)
+
+
+def test_spread_bounds_the_rows_of_a_task(spark):
+    d = blocks.halo(spark.range(3_000_000).selectExpr("id div 500 AS track_id", "id % 500 AS cell"), ["track_id"], "cell", 3, 3).spread(3_000_000)
+    own = d.with_columns({"_n": F.count("*").over(d.reach(3, 3))}).own()
+    sizes = [r["count"] for r in own.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3_000_000 and max(sizes) < 1.5 * blocks.TASK_ROWS
