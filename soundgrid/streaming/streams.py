@@ -19,6 +19,9 @@ from soundgrid.functions import scalar
 from soundgrid.operators import kernels, peaks
 from soundgrid.session import shared_folder
 
+#: Ticks of a track that are transformed together.
+TICKS_AT_ONCE = 64
+
 
 def read_table(spark: SparkSession, root: str, name: str, per_trigger: int = 64) -> DataFrame:
     """A table (one file, or a folder of files) as a stream of its files, with the schema of the table and no inference."""
@@ -111,6 +114,25 @@ def true_peak(samples: DataFrame, key: str) -> DataFrame:
     return peaks.true_peak(frames, [key], "frame", ["l", "r"]).join(frames.groupBy(key).agg((F.max("frame") + 1).alias("frames")), key).select(key, "frames", "true_peak")
 
 
+def tick_levels(f: np.ndarray, x: np.ndarray, ends: np.ndarray, win: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Smoothed levels of the buffers that end at these frames, all ticks at once: [tick, band lo .. hi].
+
+    f: sounding frames in order, x: their samples per channel.
+    """
+    fft = len(win)
+    lead, stop = np.searchsorted(f, ends - fft, "right"), np.searchsorted(f, ends, "right")
+    n = stop - lead
+    row = np.repeat(np.arange(len(ends)), n)
+    at = np.arange(n.sum()) + np.repeat(lead - np.cumsum(n) + n, n)
+    buf = np.zeros((2, len(ends), fft))
+    for c in range(2):
+        np.add.at(buf[c], (row, f[at] - (ends[row] - fft + 1)), x[c, at])
+    p = (np.abs(np.fft.rfft(buf * win)) ** 2).mean(0)
+    sums = np.concatenate([np.zeros((len(ends), 1)), np.cumsum(p, axis=1)], axis=1)
+    raw = 10 * np.log10(np.maximum((sums[:, hi + 1] - sums[:, lo]) / (hi - lo + 1), 1e-12))
+    return np.stack([raw[:, max(0, i - 6):i + 7].mean(1) for i in range(raw.shape[1])], axis=1)
+
+
 def live_spectrum(samples: DataFrame, key: str, rate: int, fft: int, hz: list[float], rise: float = 0.6, fall: float = 0.12, hop: int | None = None) -> DataFrame:
     """Display spectrum per track: fast rise, slow fall, a peak line that decays.
 
@@ -136,17 +158,14 @@ def live_spectrum(samples: DataFrame, key: str, rate: int, fft: int, hz: list[fl
         f = np.concatenate([np.asarray(pos, dtype=np.int64), new])
         x = np.stack([np.concatenate([l, pdf["l"]]), np.concatenate([r, pdf["r"]])])
         due = first + fft - 1 + ticks * hop
-        while due < f[-1]:
-            buf, inside = np.zeros((2, fft)), (f > due - fft) & (f <= due)
-            for c in range(2):
-                np.add.at(buf[c], f[inside] - (due - fft + 1), x[c, inside])
-            p = (np.abs(np.fft.rfft(buf * win)) ** 2).mean(0)
-            sums = np.concatenate([[0.0], np.cumsum(p)])
-            raw = 10 * np.log10(np.maximum((sums[hi + 1] - sums[lo]) / (hi - lo + 1), 1e-12))
-            goal = np.array([raw[max(0, i - 6):i + 7].mean() for i in range(len(raw))])
-            c = np.asarray(curve)
-            c = c + (goal - c) * np.where(goal > c, rise, fall)
-            curve, top, ticks, due = [float(v) for v in c], max(float(c.max()), top - 0.05), ticks + 1, due + hop
+        new_ticks = max(0, -(-int(f[-1] - due) // hop))
+        for at in range(0, new_ticks, TICKS_AT_ONCE):
+            ends = due + hop * np.arange(min(TICKS_AT_ONCE, new_ticks - at))
+            for goal in tick_levels(f, x, ends, win, lo, hi):
+                c = np.asarray(curve)
+                curve = c + (goal - c) * np.where(goal > c, rise, fall)
+                top = max(float(curve.max()), top - 0.05)
+            curve, ticks, due = [float(v) for v in curve], ticks + len(ends), due + hop * len(ends)
         keep = f > due - fft
         keep[-1] = True
         f, x = f[keep], x[:, keep]

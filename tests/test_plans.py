@@ -235,3 +235,22 @@ def test_best_attempt_reads_captures_once(spark):
 
     plan = load()["best_attempt"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_orderkey#") and plan.count("Relation [l_orderkey") == plan.count("Relation [o_orderkey") == 1
+
+
+def test_ticks_of_the_live_spectrum_together_equal_one_by_one():
+    from soundgrid.streaming import streams
+
+    rng, fft = np.random.default_rng(3), 64
+    f = np.sort(rng.integers(0, 900, 200))
+    x, win = rng.normal(size=(2, 200)), kernels.hann(fft)
+    lo = np.arange(1, 21)
+    hi = lo + 3
+    ends = 63 + 32 * np.arange(26)
+    got = streams.tick_levels(f, x, ends, win, lo, hi)
+    for k, end in enumerate(ends):
+        buf, inside = np.zeros((2, fft)), (f > end - fft) & (f <= end)
+        for c in range(2):
+            np.add.at(buf[c], f[inside] - (end - fft + 1), x[c, inside])
+        p = (np.abs(np.fft.rfft(buf * win)) ** 2).mean(0)
+        raw = np.array([10 * np.log10(max(p[a:b + 1].mean(), 1e-12)) for a, b in zip(lo, hi)])
+        assert np.allclose(got[k], [raw[max(0, i - 6):i + 7].mean() for i in range(20)], atol=1e-9)
