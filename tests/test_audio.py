@@ -1,4 +1,5 @@
 """Sample-level work on generated signals with known answers."""
+import re
 import struct
 
 import numpy as np
@@ -273,3 +274,11 @@ def test_side_plan_does_not_depend_on_blocks(spark, monkeypatch):
 def _blocked(df, keys, pos, before, after, size):
     p = F.col(pos)
     return df.withColumn("_blk", F.explode(F.sequence(F.floor((p - after) / size), F.floor((p + before) / size)))), list(keys), pos, size
+
+
+def test_macro_curve_sums_its_regions_without_lists(spark, monkeypatch):
+    monkeypatch.setattr(gain, "materialise", lambda df: df)
+    h = spark.createDataFrame([(1, k, 1.0, 100, 0.1) for k in range(9)], "track_id bigint, hop bigint, energy double, n bigint, peak double")
+    e = spark.createDataFrame([(1, 4)], "track_id bigint, hop bigint")
+    plan = gain.macro_curve(h, e, K, 1000, 100)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert not re.search(r"collect_list\((named_)?struct|_near", plan)
