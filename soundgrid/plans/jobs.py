@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soundgrid.functions import scalar
-from soundgrid.operators import loudness, pcm, peaks
+from soundgrid.operators import cells, loudness, pcm, peaks
+from soundgrid.session import materialise
 
 
 @dataclass(frozen=True)
@@ -49,13 +50,16 @@ def chain(stages: list[Stage], order: list[str] | None = None) -> Callable[[Data
 def output_report(samples: DataFrame, keys: list[str], hop: int, rate: int | None = None) -> DataFrame:
     """Loudness, range, true peak and stereo measures per track; K-weighted when a rate is given.
 
-    Every part is an aggregation by track; they meet in joins on the track key.
+    Every part is an aggregation by track; they meet in joins on the track key. The
+    timeline is written once: gates, maxima and range all read it.
     """
+    hops = cells.extents(samples, keys, "frame").agg(F.sum(F.expr(f"(frames - 1) div {hop} + 1"))).first()[0] or 0  # one number
     if rate is None:
-        t = loudness.timeline(samples, keys, hop)
+        t = loudness.timeline(samples, keys, hop, hops)
     else:
         e = pcm.weighted_energy(pcm.chunks(samples, keys, hop), keys, hop, rate)
-        t = loudness.from_hops(e.withColumnRenamed("chunk", "hop"), keys, hop)
+        t = loudness.from_hops(e.withColumnRenamed("chunk", "hop"), keys, hop, hops)
+    t = materialise(t)
     integrated = loudness.integrated(t, keys).select(*keys, F.col("lufs").alias("integrated"))
     maxima = t.groupBy(*keys).agg(scalar.lufs(F.max("m_power")).alias("momentary"), scalar.lufs(F.max("s_power")).alias("short_term"))
     lra = loudness.loudness_range(t, keys).select(*keys, "lra")

@@ -42,6 +42,46 @@ def test_weighting_across_chunks(spark):
     assert np.allclose(e.energy, want, rtol=1e-11) and e.n.sum() == 5000
 
 
+@pytest.mark.parametrize("rate", [3600, 8000, 44100, 96000])
+def test_weighting_is_one_analogue_filter_at_all_rates(rate):
+    def gain(r, hz):
+        z = np.exp(-2j * np.pi * hz / r) ** np.arange(3)
+        return np.prod([abs(f[:3] @ z) / abs(np.array([1, *f[3:]]) @ z) for f in kernels.weighting(r)])
+
+    for hz in (5, 38, 200, 1000, 1600):  # the same point of the analogue filter: tan(pi hz / rate) grows with the rate
+        same = np.arctan(np.tan(np.pi * hz / rate) * rate / 48000) * 48000 / np.pi
+        assert np.isclose(gain(rate, hz), gain(48000, same), rtol=1e-6)
+
+
+def test_weighting_of_sparse_tracks(spark):
+    rate, width, rng = 3600, 360, np.random.default_rng(2)
+    tracks = {k: np.zeros((n, 2)) for k, n in ((1, 5000), (2, 361), (3, 20_000), (4, 100))}
+    for x in tracks.values():
+        at = rng.choice(len(x), max(2, len(x) // 500), replace=False)
+        x[at] = rng.normal(0, 1, (len(at), 2))
+        x[-1] = 1.0
+    rows = pd.concat([pd.DataFrame({"track_id": k, "frame": np.flatnonzero(x.any(1)), "l": x[x.any(1), 0], "r": x[x.any(1), 1]}) for k, x in tracks.items()])
+    weighted = pcm.weighted_energy(pcm.chunks(spark.createDataFrame(rows), K, width), K, width, rate)
+    plan = weighted._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "ArrowEvalPython" not in plan  # one pass, no lists of chunks
+    e = weighted.toPandas().sort_values(["track_id", "chunk"])
+    for k, x in tracks.items():
+        y = np.stack([weigh_loop(x[:, c], rate) for c in range(2)], axis=1)
+        want = [(y[i:i + width] ** 2).sum() for i in range(0, len(x), width)]
+        got = e[e.track_id == k]
+        assert list(got.chunk) == list(range(len(want))) and got.n.sum() == len(x)
+        assert np.allclose(got.energy, want, rtol=1e-9, atol=1e-12)
+
+
+def test_report_reads_its_timeline_once_written(spark):
+    from soundgrid.plans import jobs
+
+    x = np.random.default_rng(3).normal(0, 0.1, (20_000, 2))
+    for rate in (None, 3600):
+        plan = jobs.output_report(frames(spark, {1: x}), K, 360, rate)._jdf.queryExecution().optimizedPlan().toString()
+        assert "_me#" not in plan and "_se#" not in plan  # gates, maxima and range don't repeat the windows
+
+
 def test_full_scale_sine_reads_minus_three(spark):
     rate = 48000
     t = np.arange(4 * rate) / rate
