@@ -55,6 +55,33 @@ def occurrences(text: str, part: str):
         at = text.find(part, at + 1)
 
 
+def letters(notice: str) -> dict[str, int]:
+    """Each character's places in the notice, as bits."""
+    found: dict[str, int] = {}
+    for i, c in enumerate(notice):
+        found[c] = found.get(c, 0) | 1 << i
+    return found
+
+
+def within(places: dict[str, int], length: int, window: str, edits: int) -> bool:
+    """Whether some stretch of the window is at most so many edits from the notice of these letters(): Myers' columns of differences in whole numbers."""
+    full, top = (1 << length) - 1, 1 << (length - 1)
+    up, down, score = full, 0, length
+    for c in window:
+        same = places.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(diagonal | up)), up & diagonal
+        if more & top:
+            score += 1
+        elif less & top:
+            score -= 1
+            if score <= edits:
+                return True
+        more, straight = more << 1, same | down
+        up, down = full & (less << 1 | ~(straight | more)), full & more & straight
+    return score <= edits
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str], notices: dict[str, str], chars_per_edit: int):
         import ahocorasick
@@ -66,7 +93,7 @@ class Scanner:
         for number, (notice, label) in enumerate(notices.items()):
             edits = len(notice) // chars_per_edit
             pattern = regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits}}}")
-            self.notices.append((notice, label, edits, pattern))
+            self.notices.append((notice, label, edits, pattern, letters(notice)))
             for offset, part in pieces(notice, edits):
                 seeds.setdefault(part, []).append((number, offset))
         self.automaton = ahocorasick.Automaton()
@@ -75,18 +102,19 @@ class Scanner:
         self.automaton.make_automaton()
 
     def fuzzy(self, joined: str) -> list[tuple[int, int, int, int]]:
-        """(notice number, start, end, edits) in the joined words: each seed's own window is verified, of overlapping matches of a notice that with the fewest edits stays."""
+        """(notice number, start, end, edits) in the joined words: each seed's own window is verified, by distance and then for the span; of overlapping matches of a notice that with the fewest edits stays."""
         matches: dict[int, dict[tuple[int, int], int]] = {}
         tried: set[tuple[int, int]] = set()
         for last, (length, owners) in self.automaton.iter(joined):
             for number, offset in owners:
-                notice, _, edits, pattern = self.notices[number]
+                notice, _, edits, pattern, places = self.notices[number]
                 at = last + 1 - length - offset
                 mine = matches.setdefault(number, {})
                 if (number, at) in tried or mine.get((at, at + len(notice))) == 0:
                     continue
                 tried.add((number, at))
-                if m := pattern.search(joined, max(at - edits, 0), at + len(notice) + edits):
+                low, high = max(at - edits, 0), at + len(notice) + edits
+                if within(places, len(notice), joined[low:high], edits) and (m := pattern.search(joined, low, high)):
                     mine[m.span()] = sum(m.fuzzy_counts)
         found = []
         for number, mine in matches.items():
@@ -103,19 +131,21 @@ class Scanner:
         joined = " " + b" ".join(words).decode("latin-1") + " "
         starts, base = [], set()
         for phrase, label in self.phrases:
+            word = last = 0
             for at in occurrences(joined, phrase):
-                starts.append(joined.count(" ", 0, at))
+                word, last = word + joined.count(" ", last, at), at
+                starts.append(word)
                 base.add(label)
         fuzzy = self.fuzzy(joined)
         labels, score, out = set(base), 1.0 if base else 0.0, []
         if fuzzy:
-            at = [m.span() for m in WORD.finditer(text)]
+            at, gaps = [m.span() for m in WORD.finditer(text)], [i for i, c in enumerate(joined) if c == " "]
         for number, start, end, edits in fuzzy:
             notice, label, *_ = self.notices[number]
             labels.add(label)
             score = max(score, 1 - edits / len(notice))
-            first = joined.count(" ", 0, start + 1) - (joined[start] != " ")
-            last = joined.count(" ", 0, max(end - 1, start + 1)) - 1
+            first = bisect.bisect_left(gaps, start + 1) - (joined[start] != " ")
+            last = bisect.bisect_left(gaps, max(end - 1, start + 1)) - 1
             first, last = min(max(first, 0), len(at) - 1), min(max(last, 0), len(at) - 1)
             out.append({"label": label, "start": at[first][0], "end": at[max(first, last)][1], "edits": edits, "notice": notice})
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), sorted(base), sorted(labels), out, score

@@ -56,3 +56,30 @@ def test_notices_side_by_side():
     text = "releasxd under the mxt license released under the mit license releasxd undr the mit license"
     spans = [(s["start"], s["end"], s["edits"]) for s in scanner(text)[6] if s["notice"] == "released under the mit license"]
     assert [e for *_, e in spans] == [2, 0, 2] and [text[a:b] for a, b, _ in spans] == ["releasxd under the mxt license", "released under the mit license", "releasxd undr the mit license"]
+
+
+class Counted:
+    def __init__(self, pattern):
+        self.pattern, self.searches = pattern, 0
+
+    def search(self, *args):
+        self.searches += 1
+        return self.pattern.search(*args)
+
+
+def test_seeds_without_a_notice_are_left_by_their_distance():
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.NOTICES, licenses.CHARS_PER_EDIT)
+    scanner.notices = [(notice, label, edits, Counted(pattern), *rest) for notice, label, edits, pattern, *rest in scanner.notices]
+    seeds = [part for notice in licenses.NOTICES for _, part in licenses.pieces(notice, len(notice) // licenses.CHARS_PER_EDIT)]
+    assert not scanner("\n".join(f"some {s.strip()} more of other words" for s in seeds * 3))[6]
+    assert sum(n[3].searches for n in scanner.notices) == 0
+    assert scanner("released under the mit license")[6] and sum(n[3].searches for n in scanner.notices) > 0
+
+
+def test_the_distance_of_a_window():
+    r = random.Random(9)
+    for _ in range(300):
+        notice = "".join(r.choice("ab ") for _ in range(r.randrange(1, 70)))
+        window = edited(r, notice, min(r.randrange(9), max(len(notice) - 2, 0))) + "".join(r.choice("ab ") for _ in range(r.randrange(9)))
+        least = min([len(notice), *least_edits(window, notice)])
+        assert [licenses.within(licenses.letters(notice), len(notice), window, k) for k in range(len(notice))] == [least <= k for k in range(len(notice))]
